@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.llm import secret_scan, url_filter
+from shroud.llm import packing, pii, secret_scan, simhash, url_filter, warc
+from shroud.llm.scratch import write_table
 
 URL_RULES = (
     ("com", "/", "allow"),
@@ -22,13 +24,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC files and read back from them."""
+    rows = warc.round_trip(table(spark, sf_dir, "pages"))
+    return rows.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page URL under the fixed rules, else blocked if it is on the referral list."""
     pages = table(spark, sf_dir, "pages")
     return url_filter.judge_urls(pages, url_filter.referral_list(pages), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
-def _is_kind(kind: str) -> Callable:
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed along the curve into sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: the strict patterns' matches and what the model adds."""
+    cands = write_table(pii.candidates(table(spark, sf_dir, "documents")), "cands")
+    spans = pii.accepted_spans(F.col("cands"), pii.train(cands))
+    rows = cands.select("doc_id", F.filter("cands", lambda c: c["kind"] < len(pii.BASE_KINDS)).alias("base"), spans.alias("all"))
+    counts = [F.size(F.filter("base", _is_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.BASE_KINDS)]
+    return rows.select("doc_id", *counts, F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.col("all")).alias("spans"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def _is_kind(kind: str | int) -> Callable:
     return lambda s: s["kind"] == kind
 
 
@@ -42,7 +70,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_warc": op3_warc,
     "op4_url_filter": op4_url_filter,
+    "op7_packing": op7_packing,
+    "op8_pii": op8_pii,
+    "op9_simhash": op9_simhash,
     "op10_secret_scan": op10_secret_scan,
 }
 
@@ -68,6 +100,19 @@ FROM c
 """
 
 
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(sha, {5 * k + 1}, 5) AS BIGINT) >> {shift}) & 31), 1)" for k in range(8) for shift in (15, 10, 5, 0)
+)
+
+OP3_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS sha, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p
+"""
+
+
 def _secret_branch(no: int, rule: secret_scan.SecretRule) -> str:
     pattern, inner = (x.replace("'", "''") for x in (rule.pattern, rule.inner))
     return f"""
@@ -98,4 +143,4 @@ SELECT d.doc_id, CAST(coalesce(a, 0) AS BIGINT) AS n_assign, CAST(coalesce(k, 0)
 FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_url_filter": OP4_SQL, "op10_secret_scan": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op4_url_filter": OP4_SQL, "op10_secret_scan": OP10_SQL}
