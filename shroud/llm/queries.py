@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.llm import packing, pii, secret_scan, simhash, url_filter, warc
+from shroud.llm import ann, packing, pii, quality, secret_scan, simhash, url_filter, warc
 from shroud.llm.scratch import write_table
 
 URL_RULES = (
@@ -24,6 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest other vectors of every vector whose id is divisible by 20."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document from labels that aren't held out."""
+    scored, _ = quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC files and read back from them."""
     rows = warc.round_trip(table(spark, sf_dir, "pages"))
@@ -70,6 +81,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest": op1_nearest,
+    "op2_quality": op2_quality,
     "op3_warc": op3_warc,
     "op4_url_filter": op4_url_filter,
     "op7_packing": op7_packing,
