@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.llm import ann, packing, pii, quality, secret_scan, simhash, url_filter, warc
+from shroud.llm import ann, decontam, packing, pii, quality, secret_scan, simhash, url_filter, warc
 from shroud.llm.scratch import write_table
 
 URL_RULES = (
@@ -47,6 +47,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, url_filter.referral_list(pages), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and test item that it holds, with the alignment's score."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed along the curve into sequences of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_warc": op3_warc,
     "op4_url_filter": op4_url_filter,
+    "op5_decontamination": op5_decontamination,
     "op7_packing": op7_packing,
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
