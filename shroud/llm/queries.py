@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.llm import ann, decontam, packing, pii, quality, secret_scan, simhash, url_filter, warc
+from shroud.llm import ann, decontam, lm, packing, pii, quality, secret_scan, simhash, url_filter, warc
 from shroud.llm.scratch import write_table
 
 URL_RULES = (
@@ -52,6 +52,13 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score under a model of those that aren't held out."""
+    out = quality.held_out("doc_id", 7, 2)
+    rows = lm.score_documents(table(spark, sf_dir, "documents"), ~out)
+    return rows.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed along the curve into sequences of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
@@ -91,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_url_filter": op4_url_filter,
     "op5_decontamination": op5_decontamination,
+    "op6_katz": op6_katz,
     "op7_packing": op7_packing,
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
