@@ -1,6 +1,6 @@
 """SimHash near-duplicates through a Gray-order hierarchical index.
 
-Distinct fingerprints are range-sorted by Gray rank into cells. Neighbours in that order share long
+Distinct fingerprints are dealt by ranges of Gray rank into cells and sorted in them. Neighbours in that order share long
 masked bit patterns; within a cell, groups of eight consecutive fingerprints are factored into a
 node with the bits on which all agree, nodes into upper nodes, and so on. A search adds up a
 query's differences on the bits that each node adds and drops a whole group once the sum passes
@@ -134,16 +134,32 @@ def forest(home: np.ndarray, visitors: np.ndarray, radius: int, block: int = 204
     return pd.DataFrame({"a": codes[linked].view(np.int64), "b": codes[parent[linked]].view(np.int64)})
 
 
-def link(codes: DataFrame, radius: int = 2, cell_codes: int = 1 << 14, max_cells: int = 4096, task_visitors: int = 1 << 19) -> DataFrame:
+def cell_bounds(codes: DataFrame, cells: int) -> np.ndarray:
+    """Least Gray ranks of all cells but the first, so that cells hold about equally many codes."""
+    if cells < 2:
+        return np.empty(0, np.int64)
+    shares = F.array(*[F.lit(i / cells) for i in range(1, cells)])
+    bounds = codes.agg(F.percentile_approx("rank", shares, max(10_000, 20 * cells)).alias("b")).first()["b"]
+    return np.unique(np.array(bounds or [], np.int64))
+
+
+def link(codes: DataFrame, radius: int = 2, cells: int = 64, cell_codes: int = 1 << 22, max_cells: int = 4096, task_visitors: int = 1 << 19) -> DataFrame:
     """(a, b): links that connect all distinct ``codes.fp`` within ``radius`` bits, chains included.
 
-    Driver: the patterns and visitor counts of at most ``max_cells`` cells.
+    There are ``cells`` cells, more once they would hold over ``cell_codes`` codes; how many cells
+    a code visits depends on their number alone. Driver: bounds, patterns and visitor counts of at
+    most ``max_cells`` cells.
     """
-    n = codes.count()
-    cells = max(1, min(max_cells, -(-n // cell_codes)))
-    ranked = codes.select("fp", gray_rank(F.col("fp")).alias("rank")).repartitionByRange(cells, "rank").sortWithinPartitions("rank")
-    ranked = write_table(ranked.select("fp", "rank", F.spark_partition_id().alias("cell")), "gray")
-    tops = ranked.groupBy("cell").agg(F.bit_and("fp").alias("every"), F.bit_or("fp").alias("some"), F.min("rank").alias("rank")).orderBy("rank").toPandas()
+    cells = max(cells, min(max_cells, -(-codes.count() // cell_codes)))
+    by_rank = codes.select("fp", gray_rank(F.col("fp")).alias("rank"))
+    bounds = cell_bounds(by_rank, cells)
+
+    def place_codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(cell=np.searchsorted(bounds, batch["rank"].to_numpy(np.int64), side="right"))
+
+    ranked = write_table(by_rank.mapInPandas(place_codes, "fp long, rank long, cell long"), "gray")
+    tops = ranked.groupBy("cell").agg(F.bit_and("fp").alias("every"), F.bit_or("fp").alias("some")).orderBy("cell").toPandas()
     pattern = tops["every"].to_numpy(np.int64).view(np.uint64)
     mask = ~(pattern ^ tops["some"].to_numpy(np.int64).view(np.uint64))
     names = tops["cell"].to_numpy(np.int64)
