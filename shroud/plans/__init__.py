@@ -1,4 +1,12 @@
 """Registered queries over the driver tables and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+import inspect
+
+from shroud.plans import queries as _queries
+from shroud.plans.sql import ORACLE_SQL
+
+QUERIES = {name: f for name, f in vars(_queries).items() if inspect.isfunction(f) and f.__module__ == _queries.__name__ and not name.startswith("_") and name != "t"}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
