@@ -104,17 +104,21 @@ def scan_versions(
     rules: tuple[SecretRule, ...] = RULES,
     version: str = RULE_VERSION,
 ) -> ScanResult:
-    """Scan what the ledger (``scanned``: blob, rule_version; ``findings``) lacks; ``id_col`` is unique.
+    """Scan what the ledger (``scanned``: blob, rule_version; ``findings``) lacks.
 
-    The text is shuffled once, by ``id_col``, to meet the ids that stand for unseen blobs; those
-    ids are the build side of the hash join, so texts are neither sorted nor spilled.
+    One row stands for an unseen blob, that of the smallest id. The text is shuffled once, to meet
+    those rows' ids, which are the build side of the hash join, so texts are neither sorted nor
+    spilled; only where a row repeats with its id are such texts sorted to take one.
     """
     rows = versions.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     paths = write_table(with_blobs(rows, "text").select("_id", "blob"), "paths")
-    fresh = paths.groupBy("blob").agg(F.min("_id").alias("_id"))
+    fresh = paths.groupBy("blob", "_id").agg(F.count(F.lit(1)).alias("n")).groupBy("blob").agg(F.min(F.struct("_id", "n")).alias("r")).select("blob", "r._id", "r.n")
     if scanned is not None:
         fresh = fresh.join(scanned.where(F.col("rule_version") == version).select("blob").distinct(), "blob", "left_anti")
-    blobs = rows.join(fresh.hint("shuffle_hash"), "_id").select("blob", "text")
+    stands = fresh.select(F.col("blob").alias("_blob"), F.col("_id").alias("_stand")).hint("shuffle_hash")
+    blobs = with_blobs(rows, "text").join(stands, (F.col("blob") == F.col("_blob")) & F.col("_id").eqNullSafe(F.col("_stand"))).select("blob", "text")
+    if not fresh.where("n > 1").isEmpty():
+        blobs = blobs.dropDuplicates(["blob"])
     new = write_table(scan_blobs(blobs, rules, version), "findings")
     all_findings = new if findings is None else findings.unionByName(new)
     done = fresh.select("blob", F.lit(version).alias("rule_version"))
