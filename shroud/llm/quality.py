@@ -156,9 +156,15 @@ def held_out(id_col: str = "doc_id", modulus: int = 3, remainder: int = 1) -> Co
 
 
 def train(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", **options) -> RuleEnsemble:
-    """Fit on the rows of ``stats`` (id, stats) that have a label and aren't held out."""
+    """Fit on the rows of ``stats`` (id, stats) that have a label and aren't held out.
+
+    Trees draw rows by their place, so the rows are dealt and sorted by id before they are written:
+    the same rows give the same model, however tasks ran.
+    """
+    parts = max(1, int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg((F.avg(label_col) >= 0.5).cast("double").alias("label"))
-    rows = stats.where(~held_out(id_col)).join(known, id_col).select("stats", "label")
+    rows = stats.where(~held_out(id_col)).join(known, id_col).select(F.col(id_col).alias("_id"), "stats", "label")
+    rows = rows.repartition(parts, "_id").sortWithinPartitions("_id", "stats")
     return fit(write_table(rows, "labelled"), **options)
 
 
