@@ -11,77 +11,95 @@ vector follow by id. Repeated rows are each packed. An empty table gives an empt
 
 from __future__ import annotations
 
+import base64
 import functools
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shroud.llm.scratch import write_table
 
-#: Two adjacent white-space characters: there a text isn't cut into words before tokenizing.
-SPACES = re.compile(r"\s\s")
 CACHE_WORDS = 1 << 19
+#: The byte-level pattern that both libraries cut texts with before merging.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class WordTokens(dict):
-    """Ids, as little-endian unsigned 32-bit bytes, of a word with the space before it.
+    """Word -> ids, as little-endian unsigned 32-bit bytes, of the word with a space before it.
 
     The byte-level pattern never joins a single space to what stands before it, so a text's ids are
-    those of its parts, each from one such space up to the next. Parts repeat; ids are kept for the
-    last ``CACHE_WORDS`` or fewer of them.
+    those of its parts, each from one such space up to the next. Words repeat; the ids of up to
+    ``CACHE_WORDS`` are kept. A word that is empty or has white space at an end is kept as None,
+    which sends its text the slower way. With ``ranks`` the same vocabulary's merges are done by
+    ``tiktoken`` for words of Latin letters, whose classes in the pattern all libraries agree on.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merges = None
+        if ranks:
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(k): int(v) for k, v in map(bytes.split, f)}
+            self.merges = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
     def direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, part: str) -> bytes:
-        ids = self.direct(part)
-        if len(part) <= 64:
+        if self.merges and (text.isascii() or max(text) < "\u0250"):
+            ids = self.merges.encode_ordinary(text)
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, word: str) -> bytes | None:
+        ids = None if not word or word[0].isspace() or word[-1].isspace() else self.direct(" " + word)
+        if len(word) <= 64:
             if len(self) >= CACHE_WORDS:
                 self.clear()
-            self[part] = ids
+            self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if text[0].isspace() or text[-1].isspace() or SPACES.search(text):
-            return b"".join(map(self.__getitem__, self._parts(text)))
         first, *rest = text.split(" ")
-        return b"".join(map(self.__getitem__, [first, *[" " + w for w in rest]]))
-
-    @staticmethod
-    def _parts(text: str) -> list[str]:
-        """As ``encode`` cuts, but only before a space that stands alone."""
+        if not rest:
+            return self.direct(first) if first else b""
+        last = rest.pop()
+        if first and last and not first[-1].isspace() and not last[0].isspace():
+            try:
+                return b"".join([self.direct(first), *map(self.__getitem__, rest), self.direct(" " + last) if last[-1].isspace() else self[last]])
+            except TypeError:  # a None: white space stands next to a space
+                pass
         cuts = [0, *[m.start() for m in re.finditer(r"(?<=\S) (?=\S)", text)], len(text)]
-        return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return b"".join(self.direct(text[a:z]) for a, z in zip(cuts, cuts[1:], strict=False))
 
 
 @functools.lru_cache(maxsize=2)
-def word_tokens(path: str) -> WordTokens:
+def word_tokens(path: str, ranks: str | None = None) -> WordTokens:
     """One for each Python worker."""
-    return WordTokens(path)
+    return WordTokens(path, ranks)
 
 
-def document_vector(ids: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    """Signed hashed counts of the ids, damped and scaled to length one, projected."""
-    width = len(projection)
-    h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    slot, sign = (h >> np.uint64(40)) % np.uint64(width), np.where(h >> np.uint64(63), 1.0, -1.0)
-    v = np.bincount(slot.astype(np.int64), weights=sign, minlength=width)
+def document_vectors(ids: list[bytes], projection: np.ndarray) -> np.ndarray:
+    """Signed hashed counts of each document's ids, damped and scaled to length one, projected.
+
+    ``projection`` has a power of two of rows; the highest bits of a token's hash are its slot and sign.
+    """
+    width, tokens = len(projection), np.frombuffer(b"".join(ids), "<u4")
+    known = np.arange(int(tokens.max(initial=0)) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    slot = (known >> np.uint64(64 - (2 * width).bit_length() + 1)).astype(np.int64)
+    doc = np.repeat(np.arange(len(ids)) * 2 * width, [len(x) // 4 for x in ids])
+    counts = np.bincount(doc + slot[tokens], minlength=len(ids) * 2 * width).reshape(len(ids), width, 2)
+    v = (counts[:, :, 0] - counts[:, :, 1]).astype(float)
     v = np.sign(v) * np.log1p(np.abs(v))
-    return (v / max(np.linalg.norm(v), 1e-12)) @ projection
+    return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)) @ projection
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -111,20 +129,19 @@ def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, dims: int, bits: int, width: int, seed: int) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, ranks: str | None, end_id: int, id_col: str, text_col: str, dims: int, bits: int, width: int, seed: int) -> DataFrame:
     """(id, curve, n_tokens, ids) a row of ``docs``; ``ids`` are little-endian unsigned 32-bit."""
     rng = np.random.default_rng(seed)
     projection = rng.standard_normal((width, dims))
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = word_tokens(tokenizer)
+        words = word_tokens(tokenizer, ranks)
         for batch in batches:
             for i in range(0, max(len(batch), 1), 512):  # bounds what a batch of long texts holds at once
                 part = batch.iloc[i : i + 512]
                 ids = [words.encode(t or "") + end for t in part["_text"]]
-                vectors = [document_vector(np.frombuffer(x, "<u4"), projection) for x in ids]
-                cells = np.clip((np.array(vectors).reshape(len(ids), dims) + 2) / 4 * (1 << bits), 0, (1 << bits) - 1)
+                cells = np.clip((document_vectors(ids, projection) + 2) / 4 * (1 << bits), 0, (1 << bits) - 1)
                 yield pd.DataFrame({"_id": part["_id"], "curve": hilbert_key(cells, bits), "n_tokens": [len(x) // 4 for x in ids], "ids": ids})
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -148,6 +165,7 @@ def pack(
     width: int = 256,
     seed: int = 0,
     with_ids: bool = False,
+    ranks: str | None = None,
 ) -> DataFrame:
     """Pieces: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
@@ -156,7 +174,7 @@ def pack(
     there are as many as shuffle partitions. Ids then meet their places by row number.
     """
     spark = docs.sparkSession
-    tokens = tokenized(docs, tokenizer, end_id, id_col, text_col, dims, bits, width, seed)
+    tokens = tokenized(docs, tokenizer, ranks, end_id, id_col, text_col, dims, bits, width, seed)
     tokens = write_table(tokens.withColumn("row", F.monotonically_increasing_id()), "tokens")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     narrow = tokens.select("_id", "curve", "row", "n_tokens").repartitionByRange(parts, "curve", "_id", "row").sortWithinPartitions("curve", "_id", "row")

@@ -61,7 +61,8 @@ def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed along the curve into sequences of 2048 tokens."""
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+    files = {"tokenizer": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken")}
+    return packing.pack(table(spark, sf_dir, "documents"), end_id=1, **files)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
