@@ -101,9 +101,10 @@ def build_graph(x: np.ndarray, params: GraphParams) -> tuple[np.ndarray, int]:
     graph = rng.integers(0, n, (n, degree)) if n > 1 else np.full((n, degree), -1, np.int64)
     graph[graph == np.arange(n)[:, None]] = -1
     entry = int(((x - x.mean(0)) ** 2).sum(1).argmin()) if n else 0
+    turns = np.random.default_rng(params.seed + 1).permutation(n)
     for alpha in (1.0, params.alpha):
         for i in range(0, n, params.batch):
-            batch = np.sort(rng.permutation(n)[: params.batch]) if n <= params.batch else _turn(n, i, params)
+            batch = turns[i : i + params.batch]
             visited: list = []
             beam_search(x, graph, entry, x[batch], params.build_beam, visited)
             q = np.concatenate([v[0] for v in visited])
@@ -115,10 +116,6 @@ def build_graph(x: np.ndarray, params: GraphParams) -> tuple[np.ndarray, int]:
     return graph, entry
 
 
-def _turn(n: int, i: int, params: GraphParams) -> np.ndarray:
-    return np.random.default_rng(params.seed + 1).permutation(n)[i : i + params.batch]
-
-
 def _rows(key: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     """Values of each key as a row, -1 where a row has fewer."""
     order = np.argsort(key, kind="stable")
