@@ -195,8 +195,8 @@ def guard_report(spark, d):
 
 
 def guard_lines(spark, d):
-    found = guard.line_findings(t(spark, d, "conversations"), "conv_id", "text", TEXT_GUARD)
-    return found.groupBy(F.col("file").alias("conv_id"), "pid").agg(F.count(F.lit(1)).alias("lines"))
+    found = guard.line_findings(t(spark, d, "documents"), "doc_id", "text", TEXT_GUARD)
+    return found.groupBy(F.col("file").alias("doc_id"), "pid").agg(F.count(F.lit(1)).alias("lines"))
 
 
 def detect_counts_by_category(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from shroud.functions.dates import BLANK, NULL_TOKENS
 from shroud.functions.hashing import hmac_sha256_sql
 from shroud.functions.numeric import NUMERIC
-from shroud.functions.patterns import BLOCKING, SPAN_RULES, WARN
+from shroud.functions.patterns import BLOCKING, GUARD_US, SPAN_RULES, SUBJECT_ID, WARN
 from shroud.functions.text import RESTRICTED_ZIP3
 
 KEY, SALT = b"public test key", "study-salt"
@@ -42,6 +42,15 @@ _matches = lambda r: f"len(regexp_extract_all(text, {q(r.regex)}))"  # noqa: E73
 _names = lambda patterns: "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, {q(p.regex)}) THEN {q(p.name)} END" for p in patterns) + "], lambda x: x IS NOT NULL)), ',')"
 _hits = lambda patterns: "greatest(" + ", ".join(f"CAST(regexp_matches(v, {q(p.regex)}) AS INT)" for p in patterns) + ")"
 
+_guard = [p for p in GUARD_US if p.portable and not p.conditional]
+_found = lambda table, file, cell: " UNION ALL ".join(f"SELECT {file} AS file, {q(p.name)} AS pid, regexp_extract({cell}, {q(p.regex)}) AS match FROM {table} WHERE regexp_matches({cell}, {q(p.regex)})" for p in _guard)
+_ordered = "text"
+for _r in SPAN_RULES:
+    if _r.name in ("EMAIL", "PHONE", "CLINICAL_TRIAL_ID", "DEVICE_SERIAL"):
+        _ordered = f"regexp_replace({_ordered}, {q(_r.regex)}, {q(f'[{_r.category}]')}, 'g')"
+_tree = " UNION ALL ".join(
+    f"SELECT {q(c)} AS \"column\", {q(p.name)} AS pattern WHERE EXISTS (SELECT 1 FROM customer WHERE regexp_matches({c}, {q(p.regex)}))" for c in ("c_name", "c_mktsegment") for p in BLOCKING + SUBJECT_ID
+)
 _luhn_digits = "('80840' || lpad(CAST(p_partkey * 7919 AS VARCHAR), 10, '1'))"
 
 ORACLE_SQL: dict[str, str] = {
@@ -111,6 +120,21 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT 'o_orderpriority', count(*), count(DISTINCT o_orderpriority) FROM orders""",
     "blocking_scan_documents": f"SELECT source, count(*) AS rows, {_blocking} FROM documents GROUP BY source",
     "gate_conversations": f"SELECT conv_id, turn, {_names(BLOCKING)} AS blocked, {_names(WARN)} AS warned FROM conversations",
+    "tree_scan_customer": _tree,
+    "guard_top20_by_source": f"""
+        WITH f AS ({_found('documents', 'source', 'text')}),
+        n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY pid, match) AS n FROM (SELECT DISTINCT file, pid, match FROM f))
+        SELECT file, pid, CASE WHEN length(match) <= 4 THEN repeat('*', length(match)) ELSE left(match, 2) || repeat('*', length(match) - 4) || right(match, 2) END AS sample,
+          CAST(n AS INTEGER) AS n FROM n WHERE n <= 20""",
+    "guard_report": f"""
+        WITH f AS ({_found('documents', 'source', 'text')}), c AS (SELECT file, count(*) AS n FROM f GROUP BY file)
+        SELECT d.file, CASE WHEN n > 0 THEN 'blocked' ELSE 'clean' END AS status, coalesce(n, 0) AS findings
+        FROM (SELECT DISTINCT source AS file FROM documents) d LEFT JOIN c ON d.file = c.file""",
+    "guard_lines": f"""
+        WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]')) AS line FROM documents),
+        f AS ({_found('l', 'doc_id', 'line')})
+        SELECT file AS doc_id, pid, count(*) AS lines FROM f GROUP BY 1, 2""",
+    "scrub_text_documents": f"SELECT doc_id, sha256({_ordered}) AS digest FROM documents",
     "detect_counts_by_category": "SELECT lang, " + ", ".join(f"CAST(sum({_matches(r)}) AS BIGINT) AS {r.name.lower()}" for r in _counted) + " FROM documents GROUP BY lang",
     "conversation_scrub_counts": "SELECT conv_id, CAST(sum(" + " + ".join(_matches(r) for r in _counted) + ") AS BIGINT) AS spans FROM conversations GROUP BY conv_id",
     "mask_samples": """
