@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from shroud.functions import dates, hashing, numeric, text
 from shroud.functions.patterns import BLOCKING, GUARD_US, SPAN_RULES
 from shroud.operators import detect, guard, lineage, policy, privacy, profile, review, scrub, shaping, transform, verify
+from shroud.sources.work import work_path
+from shroud.streaming import streams
 
 KEY, SALT = b"public test key", "study-salt"
 PRIORITY_CODES = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "routine", "4-NOT SPECIFIED": "routine"}
@@ -348,6 +350,33 @@ def shape_verdicts(spark, d):
     return verify.shape_verdicts(release_actions(spark, d), {"c_custkey": "hash", "c_name": "drop", "zip": "zip3_truncate", "c_mktsegment": "year_only"})
 
 
+def stream_scrub_orders(spark, d):
+    """The scrub plan on a stream of the orders, all that is there, written and read back."""
+    path = work_path(spark, "stream")
+    raw = spark.readStream.schema(t(spark, d, "orders").schema).option("pathGlobFilter", "orders.parquet").parquet(d)
+    cells = raw.select(F.col("o_orderkey").cast("string").alias("o_orderkey"), F.col("o_custkey").cast("string").alias("o_custkey"), "o_orderpriority")
+    config = scrub.ScrubConfig(subject_id_fields=("o_custkey",), id_fields={"^o_custkey$": "CUST", "^o_orderkey$": "ORD"})
+    kept = scrub.scrub(cells, config, KEY).kept
+    q = kept.writeStream.format("parquet").option("path", f"{path}/kept").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(kept.schema).parquet(f"{path}/kept")
+
+
+def stream_tumbling_events(spark, d):
+    """Windowed counts over a stream of the events with a watermark, all that is there."""
+    path = work_path(spark, "windows")
+    events = t(spark, d, "events")
+    raw = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    counts = streams.tumbling_counts(raw, F.col("ts"), "event_type", "1 hour", "3650 days")
+
+    def batch(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/counts")  # complete mode: each batch has all windows
+
+    q = counts.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{path}/counts").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+
+
 def tumbling_events(spark, d):
     e = t(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
     return e.groupBy(F.window("at", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")

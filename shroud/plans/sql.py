@@ -213,6 +213,9 @@ ORACLE_SQL: dict[str, str] = {
         SELECT substr({hmac_sha256_sql(SALT.encode(), "('c_custkey:' || c_custkey)")}, 1, 16) AS c_custkey, '' AS c_name, '[HUMAN_REVIEW_PENDING]' AS c_mktsegment,
           {ZIP3.format(z="lpad(CAST(c_custkey AS VARCHAR), 5, '0')")} AS zip FROM customer""",
     "shape_verdicts": "SELECT unnest(['c_custkey', 'c_name', 'zip', 'c_mktsegment']) AS \"column\", unnest([true, true, true, false]) AS ok",
+    "stream_scrub_orders": f"""
+        SELECT {rid('ORD', 'CAST(o_orderkey AS VARCHAR)')} AS o_orderkey, {rid('CUST', 'CAST(o_custkey AS VARCHAR)')} AS o_custkey, o_orderpriority, 'v3' AS _phi_scrubbed FROM orders""",
+    "stream_tumbling_events": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "tumbling_events": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "session_events": """
         WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
