@@ -28,6 +28,7 @@ from shroud.llm.components import components
 from shroud.llm.scratch import write_table
 
 FANOUT = 8
+OPEN = 1 << 17
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -90,22 +91,31 @@ class GrayIndex:
         self.levels.append((pattern, mask))
 
     def search(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """All (query, leaf) positions whose accumulated differences stay within ``radius``."""
+        """All (query, leaf) positions whose accumulated differences stay within ``radius``.
+
+        A level's nodes are opened ``OPEN`` at a time, so memory is bounded however many there are.
+        """
         top = len(self.levels[-1][0])
-        q, node = np.repeat(np.arange(len(queries)), top), np.tile(np.arange(top), len(queries))
-        diff = np.zeros(len(q), np.uint8)
-        for depth in range(len(self.levels) - 1, -1, -1):
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def descend(depth: int, q: np.ndarray, node: np.ndarray, diff: np.ndarray) -> None:
             pattern, mask = self.levels[depth]
             diff = diff + np.bitwise_count((queries[q] ^ pattern[node]) & mask[node])
             keep = np.flatnonzero(diff <= radius)
             q, node, diff = q[keep], node[keep], diff[keep]
-            if depth:
-                below = len(self.levels[depth - 1][0])
-                node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-                q, diff = np.repeat(q, FANOUT), np.repeat(diff, FANOUT)
-                real = np.flatnonzero(node < below)
-                q, node, diff = q[real], node[real], diff[real]
-        return q, node
+            if not depth:
+                found.append((q, node))
+                return
+            below = len(self.levels[depth - 1][0])
+            for i in range(0, len(q), OPEN):
+                child = (node[i : i + OPEN, None] * FANOUT + np.arange(FANOUT)).ravel()
+                real = np.flatnonzero(child < below)
+                descend(depth - 1, np.repeat(q[i : i + OPEN], FANOUT)[real], child[real], np.repeat(diff[i : i + OPEN], FANOUT)[real])
+
+        descend(len(self.levels) - 1, np.repeat(np.arange(len(queries)), top), np.tile(np.arange(top), len(queries)), np.zeros(top * len(queries), np.uint8))
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.concatenate([q for q, _ in found]), np.concatenate([n for _, n in found])
 
 
 def merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
