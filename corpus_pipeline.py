@@ -9,11 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.llm import decontam, packing, pii, quality, simhash
+from shroud.llm import decontam, overlap, packing, pii, quality
 from shroud.llm.scratch import write_table
 
 STATS = "__statistics"
-#: Bits by which near copies may differ; the usual choice for 64-bit fingerprints of web documents.
+#: Words of a shingle, and the Jaccard similarity of shingle sets from which documents are near copies.
+WORDS, SIMILARITY = 5, 0.8
+#: Bits by which fingerprints of near copies may differ; the stage does not use them, tests compare with them.
 RADIUS = 3
 
 
@@ -27,7 +29,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each group of near copies; rows without an id stay."""
-    return simhash.deduplicate(docs, radius=RADIUS)
+    return overlap.deduplicate(docs, words=WORDS, least=SIMILARITY)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

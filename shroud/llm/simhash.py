@@ -234,13 +234,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of_code, "fp").select(id_col, "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+def keep_least(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
     """``docs`` with the smallest id of each component, once; rows with a null id cannot be told apart and stay.
 
     The ids to keep are the build side of the join, so texts are shuffled once and not sorted; only
     where an id repeats are its rows sorted to take one.
     """
-    groups = write_table(near_duplicates(docs, id_col, text_col, words, radius, seed), "groups")
     keep = groups.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count()
     kept = docs.join(keep.select(id_col).hint("shuffle_hash"), id_col, "left_semi")
     if not keep.where("count > 1").isEmpty():
@@ -248,5 +247,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return kept.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+    """``docs`` with the smallest id of each component, once; rows with a null id cannot be told apart and stay."""
+    return keep_least(docs, write_table(near_duplicates(docs, id_col, text_col, words, radius, seed), "groups"), id_col)
+
+
 def hex_print(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
