@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-A first pass over the documents counts in how many each n-gram of the test items occurs. Along each
-item the rarer half of every few n-grams become seeds, so all its parts keep some however common
-the item itself is in the corpus. A second pass joins the passages around seeds to their items, and
+A first pass over the documents counts in how many each n-gram of the test items occurs; all that
+occur are seeds. A second pass joins the passages around seeds to their items, and
 each passage is aligned locally with its item: word matches gain, mismatches and gaps lose, and the
-best score is divided by that of a verbatim copy.
+best score is divided by that of a verbatim copy. Passages that hold too few of the item's words to
+reach the least score, however they are ordered, are left out before. A copy without one intact n-gram of
+its item has no seed and is not found.
 
 The items are worked through in blocks of at most ``block_chars`` characters, each held by every
 task; a larger test set makes more passes and no larger broadcast.
@@ -17,7 +18,7 @@ empty tables.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,15 +54,13 @@ class ItemBlock:
             for g in grams(list(w), min(n, len(w))):
                 self.number.setdefault(g, len(self.number))
 
-    def seeds(self, count: np.ndarray, segment: int) -> dict[tuple[bytes, ...], list[tuple[int, int]]]:
-        """Seed -> (sequence, offset): the rarer half of each ``segment`` n-grams, ties to the first."""
+    def seeds(self, count: np.ndarray) -> dict[tuple[bytes, ...], list[tuple[int, int]]]:
+        """Seed -> (sequence, offset): every n-gram that occurs in a document."""
         out: dict[tuple[bytes, ...], list[tuple[int, int]]] = defaultdict(list)
         for i, w in enumerate(self.words):
-            row = list(grams(list(w), min(self.n, len(w))))
-            for a in range(0, len(row), segment):
-                part = sorted(range(a, min(a + segment, len(row))), key=lambda j: (count[self.number[row[j]]], j))
-                for j in part[: (len(part) + 1) // 2]:
-                    out[row[j]].append((i, j))
+            for j, g in enumerate(grams(list(w), min(self.n, len(w)))):
+                if count[self.number[g]]:
+                    out[g].append((i, j))
         return dict(out)
 
 
@@ -82,6 +81,11 @@ def passages(found: list[tuple[int, int, int]], length: int, slack: float, n_wor
     return [(a, b) for a, b in out]
 
 
+def bound(tally: dict[bytes, int], window: list[bytes]) -> float:
+    """No alignment of an item with ``window`` scores more: the share of the item's words, by ``tally``, that are in it."""
+    return sum(tally[w] for w in tally.keys() & set(window)) / sum(tally.values())
+
+
 def local_scores(item: np.ndarray, windows: list[np.ndarray], mismatch: float = 0.5, gap: float = 0.5) -> list[float]:
     """Best local alignment of ``item`` with each window; a match gains 1. All windows at once, an item word a step."""
     width = max(map(len, windows))
@@ -114,7 +118,6 @@ def contaminated(
     item_id: str = "item_id",
     item_text: str = "text",
     n: int = 3,
-    segment: int = 4,
     least: float = 0.4,
     slack: float = 0.25,
     block_chars: int = 8 << 20,
@@ -144,10 +147,11 @@ def contaminated(
         counts = np.zeros(len(block.number), np.int64)
         for r in rows.select("text").mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
             counts[r["gram"]] = r["n"]
-        seeds = spark.sparkContext.broadcast(block.seeds(counts, segment))
+        seeds = spark.sparkContext.broadcast(block.seeds(counts))
 
         def find(batches: Iterator[pd.DataFrame], shared=shared, seeds=seeds) -> Iterator[pd.DataFrame]:
             block, known = shared.value, seeds.value
+            tallies: dict[int, Counter] = {}
             for batch in batches:
                 found = []
                 for doc, text in zip(batch["doc"], batch["text"], strict=True):
@@ -157,8 +161,11 @@ def contaminated(
                         for item, offset in known[g]:
                             by_item[item].append((pos, item, offset))
                     for item, where in by_item.items():
+                        if item not in tallies:
+                            tallies[item] = Counter(block.words[item])
                         for a, z in passages(where, len(block.words[item]), slack, len(words)):
-                            found.append((doc, item, b" ".join(words[a:z])))
+                            if bound(tallies[item], words[a:z]) >= least:
+                                found.append((doc, item, b" ".join(words[a:z])))
                 yield pd.DataFrame(found, columns=["doc", "item", "passage"])
 
         def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
