@@ -1,49 +1,53 @@
-"""Katz backoff scores of documents under a bigram model of the training documents.
-
-Words are counted in the training documents; counts up to five are discounted by Good-Turing, and
-the backoff weight of each history is the exact rest of its probability over that of the words it
-was not seen with. A text's score adds, token by token, the discounted bigram or else the weight
-times the unigram.
-
-Tables, all in the shared folder and partitioned by a hash of their key:
-
-1. ``chunks``: about a million tokens a row, as places in the chunk's own vocabulary.
-2. ``vocabulary``: the chunks' vocabularies meet by word hash; each word gets its count and a number.
-3. ``bigrams``: the chunks' tokens meet by history, so a task knows all followers of its histories.
-   Histories with a large part of all tokens are dealt to many tasks by the follower, and their sums
-   are added up afterwards. Each task sums what it knows of each document.
-4. Each chunk's sums meet and give its documents' scores.
-
-Numbers travel as packed arrays. The driver gets counts of counts, and sums for histories that have
-over a fixed share of the tokens, of which there are a bounded number.
+"""Katz backoff scores of documents under an n-gram model of the training documents.
+
+Counts up to five are discounted by Good-Turing, larger ones lose half a count, so every history
+keeps something for words that it was not seen with. The backoff weight of a history is that rest,
+divided by the probability that the shorter history gives to those words. A token's probability is
+evaluated recursively: the discounted n-gram, else the weight times the token's probability one
+order below, down to single words and one class for unknown words.
+
+On Spark: whole documents are gathered into chunks of about ``chunk_tokens`` tokens, and for every
+order a chunk sends each of its distinct n-grams once, with its count, to the bucket of its history.
+
+1. ``words``: the chunks' words meet by hash; each word gets its count and a number.
+2. ``grams`` of order 2, 3, ...: n-grams meet by history. A bucket knows all followers of its
+   histories, stores their counts, and answers each chunk with the counts of what it sent. A history
+   that occurs over ``bucket_tokens`` / 4 times is dealt out by the following word; the sums for its
+   weight are then added up by a group-by and joined back.
+3. Each chunk adds up its documents' scores from the answers.
+
+How tokens are dealt changes no result. The model is stored in the shared folder by order and
+bucket: ``words`` (bucket; words, counts), ``grams`` (order, bucket; histories, words, counts) and
+``weights`` (order, bucket; histories, weights); ``KatzModel`` reads them as plain rows, and
+``score_with`` scores other documents with them. Numbers travel as packed arrays. The driver gets
+counts of counts.
 
 Defined cases: null texts are empty, and an empty text is its end token. A history that training
-lacks has weight one; unknown words share one unigram class. Histories without a follower of count
-five or less, and those that are dealt out, divide by their count plus one, which leaves a rest to
-back off with. Without training rows every score is that of unknown words. Repeated rows are each
-scored; an empty table gives an empty table.
+lacks backs off with weight one. Without training rows every score is that of unknown words.
+Repeated rows are each scored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.llm.scratch import write_table
+from shroud.llm.scratch import drop, new_path, save
 
 K = 5
+LARGE = 0.5  # what counts over K lose
 END = b" end"  # no word holds a space
-START = np.uint64(0xFFFFFFFFFFFFFFFF)  # the history of a first token; no word has this number
 MIX = np.uint64(0x9E3779B97F4A7C15)
-UNIT = float(1 << 32)  # partial sums of negative logarithms travel as whole numbers of 1 / UNIT
+STORED = -1  # the chunk number of a stored model's rows
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -56,7 +60,7 @@ def pack(a: np.ndarray) -> bytes:
 
 def unpack(b: bytes) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8)
-    return np.ascontiguousarray(raw.reshape(b[0], -1).T).view(f"<u{b[0]}").ravel().astype(np.uint64)
+    return np.ascontiguousarray(raw.reshape(b[0], -1).T).view(f"<u{b[0]}").ravel().astype(np.int64)
 
 
 def mixed(a: np.ndarray) -> np.ndarray:
@@ -78,27 +82,38 @@ def katz_discounts(n: np.ndarray) -> np.ndarray:
     return out
 
 
-class Unigrams:
-    """Discounted unigram probabilities: ``total`` tokens of ``size`` words, ``n`` counts of counts."""
+def taken_off(n: np.ndarray) -> np.ndarray:
+    """What each count from 0 to K, and any larger one, loses."""
+    return np.append(np.arange(K + 1) * (1 - katz_discounts(n)), LARGE)
+
+
+def kept(off: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Discounted counts."""
+    return count - off[np.minimum(count, K + 1)]
 
-    def __init__(self, total: int, size: int, n: np.ndarray):
-        self.total, self.size = total, size
-        self.discount = katz_discounts(n)
-        small = float((self.discount[1:] * np.arange(1, K + 1) * n[1 : K + 1]).sum())
-        large = total - float((np.arange(1, K + 1) * n[1 : K + 1]).sum())
-        self.below = total + (0 if n[1 : K + 1].any() else 1)
-        self.unknown = (self.below - small - large) / self.below
 
-    def p(self, c: np.ndarray) -> np.ndarray:
-        d = self.discount[np.minimum(c, K + 1) % (K + 1)]  # counts over K have discount one, as count zero
-        return np.where(c > 0, d * c / self.below, self.unknown)
+def distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, number): a place of every distinct row, in order, and each row's number among them."""
+    key = columns[0]
+    for column in columns[1:]:
+        key = np.unique(key, return_inverse=True)[1] * (int(column.max(initial=0)) + 1) + column
+    _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    return first, number
 
-    def base(self, c: np.ndarray) -> np.ndarray:
-        return np.log10((c + 1.0) / (self.total + 1 * (self.size + 1)))
+
+def _ends(a: np.ndarray) -> np.ndarray:
+    return np.cumsum(a.astype(np.int64))
+
+
+# ---- chunks of documents
+
+CHUNK = "chunk long, ids array<{id}>, train binary, lengths binary, tokens binary, {words}, n_tokens long"
+SPELLED = "words binary, hashes binary, counts binary"
+NUMBERED = "numbers binary, counts array<binary>, weights array<binary>"
 
 
 def chunked(docs: DataFrame, train: Column, id_col: str, text_col: str, chunk_tokens: int) -> DataFrame:
-    """Rows of whole documents with about ``chunk_tokens`` tokens: their ids, lengths, tokens and vocabulary."""
+    """Rows of whole documents with about ``chunk_tokens`` tokens: ids, lengths, tokens as places in the chunk's words."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     id_type = rows.schema["id"].dataType.simpleString()
 
@@ -108,15 +123,15 @@ def chunked(docs: DataFrame, train: Column, id_col: str, text_col: str, chunk_to
         number.default_factory = number.__len__
 
         def row() -> pd.DataFrame:
-            words = np.fromiter((xxhash.xxh64_intdigest(w) for w in number), np.uint64, len(number))
-            order = np.argsort(words)
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in number), np.uint64, len(number))
+            order = np.argsort(hashes, kind="stable")
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
             tokens = place[np.concatenate(places)]
-            of_train = np.repeat(np.array(train, bool), lengths)
-            count = np.bincount(tokens[of_train], minlength=len(order))
-            packed = {"tokens": pack(tokens), "words": words[order].astype("<u8").tobytes(), "counts": pack(count)}
-            return pd.DataFrame([{"chunk": base + made, "ids": list(ids), "train": pack(np.array(train)), "lengths": pack(np.array(lengths)), "n_tokens": len(tokens), "n_words": len(order), **packed}])
+            words = np.array(list(number), object)[order]
+            count = np.bincount(tokens[np.repeat(np.array(train, bool), lengths)], minlength=len(order))
+            spelled = {"words": zstandard.compress(b"\n".join(words), 1), "hashes": hashes[order].tobytes(), "counts": pack(count)}
+            return pd.DataFrame([{"chunk": base + made, "ids": list(ids), "train": pack(np.array(train)), "lengths": pack(np.array(lengths)), "tokens": pack(tokens), "n_tokens": len(tokens), **spelled}])
 
         held = 0
         for batch in batches:
@@ -136,197 +151,454 @@ def chunked(docs: DataFrame, train: Column, id_col: str, text_col: str, chunk_to
         if ids:
             yield row()
 
-    return rows.mapInPandas(run, f"chunk long, ids array<{id_type}>, train binary, lengths binary, n_tokens long, n_words long, tokens binary, words binary, counts binary")
+    return rows.mapInPandas(run, CHUNK.format(id=id_type, words=SPELLED))
+
 
+class Order:
+    """A chunk's distinct n-grams of one order.
 
-def vocabulary(chunks: DataFrame, buckets: int) -> DataFrame:
-    """(chunk, bucket, numbers, counts) of each chunk's words, in their order; and a summary a bucket (chunk -1)."""
+    ``at``: each token's n-gram; ``first``: a token of each; ``history``, ``word``: its parts, the
+    history as an n-gram of the order below, of which the last number is the start of a document;
+    ``columns``: numbers of the words of each history. Counts arrive later.
+    """
+
+    def __init__(self, chunk: Chunk, below: Order | None):
+        if below is None:
+            self.at, self.size = chunk.tokens, len(chunk.numbers)
+            self.columns, self.words = [], [np.append(chunk.numbers, 0)]
+            self.history_n = np.array([chunk.total])
+            self.n = np.full(self.size, chunk.total)
+            self.count = chunk.counts[0]
+            return
+        history = np.roll(below.at, 1)
+        history[chunk.first] = below.size
+        gram, self.first, self.at = np.unique(history * len(chunk.numbers) + chunk.tokens, return_index=True, return_inverse=True)
+        self.size = len(gram)
+        self.history, self.word = gram // len(chunk.numbers), gram % len(chunk.numbers)
+        self.columns = below.words
+        self.words = [np.append(w[self.history], 0) for w in below.words] + [np.append(chunk.numbers[self.word], 0)]
+        self.history_n = np.append(below.count, chunk.documents)
+        self.n = self.history_n[self.history]
+        lower = below.at[self.first]
+        self.lower, self.lower_n = below.count[lower], below.n[lower]
+        order = len(self.words) - 1
+        self.count = chunk.counts[order] if order < len(chunk.counts) else None
+
+    def dealt(self, chunk: Chunk, buckets: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """N-grams with a history that training has, by bucket, and their buckets."""
+        at = np.zeros(len(self.history_n), np.uint64)
+        for column in self.columns:
+            at = mixed(at ^ column.astype(np.uint64))
+        at, salts = at[self.history], (1 + self.n // limit).astype(np.uint64)
+        spread = salts > 1
+        at[spread] = mixed(at[spread] + mixed(chunk.numbers[self.word[spread]].astype(np.uint64)) % salts[spread])
+        bucket = (at % np.uint64(buckets)).astype(np.int64)
+        asked = np.flatnonzero(self.n > 0)
+        asked = asked[np.argsort(bucket[asked], kind="stable")]
+        return asked, bucket[asked]
+
+
+class Chunk:
+    def __init__(self, row, total: int, documents: int):
+        self.total, self.documents = total, documents
+        self.tokens, self.lengths, self.numbers = unpack(row.tokens), unpack(row.lengths), unpack(row.numbers)
+        self.train = unpack(row.train).astype(bool)
+        self.first = _ends(self.lengths) - self.lengths
+        self.counts = [unpack(c) for c in row.counts]
+        self.weights = [np.frombuffer(zstandard.decompress(w), np.float64) for w in row.weights]
+
+    def orders(self, upto: int) -> list[Order]:
+        out = [Order(self, None)]
+        while len(out) < upto:
+            out.append(Order(self, out[-1]))
+        return out
+
+
+def _pieces(bucket: np.ndarray) -> Iterator[tuple[int, int]]:
+    cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+    return zip(cuts, cuts[1:], strict=False)
+
+
+# ---- words
+
+WORD_PIECE = "bucket int, chunk long, words binary, counts binary"
+WORDS = "bucket int, words binary, counts binary, size long, total long, n array<long>, answers array<struct<chunk:long,numbers:binary,counts:binary>>"
+
+
+def _counts_of_counts(count: np.ndarray) -> list[int]:
+    return np.bincount(np.minimum(count, K + 2), minlength=K + 3)[: K + 2].tolist()
+
+
+def words_of(chunks: DataFrame, buckets: int, stored: DataFrame | None) -> DataFrame:
+    """A row a bucket of words: their counts in order of their numbers, and the answers to the chunks."""
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for chunk, words, counts in batch[["chunk", "words", "counts"]].itertuples(index=False):
-                words, counts = np.frombuffer(words, "<u8"), unpack(counts)
-                bucket = (words >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)  # ranges of hashes
-                cuts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
-                yield pd.DataFrame(
-                    [(int(bucket[a]), chunk, words[a:z].tobytes(), pack(counts[a:z])) for a, z in zip(cuts, [*cuts[1:], len(words)], strict=True)],
-                    columns=["bucket", "chunk", "words", "counts"],
-                )
-
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(group["bucket"].iloc[0])
-        words = [np.frombuffer(w, "<u8") for w in group["words"]]
-        distinct, index = np.unique(np.concatenate(words), return_inverse=True)
-        total = np.bincount(index, weights=np.concatenate([unpack(c) for c in group["counts"]])).astype(np.int64)
-        number = np.empty(len(distinct), np.int64)
-        order = np.argsort(-total, kind="stable")
-        number[order] = np.arange(len(distinct)) * buckets + bucket  # small numbers for frequent words
-        ends = np.cumsum([len(w) for w in words])
-        out = [(c, bucket, pack(number[index[z - len(w) : z]]), pack(total[index[z - len(w) : z]])) for c, w, z in zip(group["chunk"], words, ends, strict=True)]
-        top = order[:64]
-        sums = np.concatenate([[int((total > 0).sum()), int(total.sum())], np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2]])
-        out.append((-1, bucket, pack(np.concatenate([sums, number[top]])), pack(total[top])))
-        return pd.DataFrame(out, columns=["chunk", "bucket", "numbers", "counts"])
-
-    pieces = chunks.select("chunk", "words", "counts").mapInPandas(deal, "bucket int, chunk long, words binary, counts binary")
-    return pieces.groupBy("bucket").applyInPandas(count, "chunk long, bucket int, numbers binary, counts binary")
-
-
-def _ends(lengths: np.ndarray) -> np.ndarray:
-    return np.cumsum(lengths.astype(np.int64))
-
-
-PIECE = "bucket int, chunk long, kind int, ids array<{id}>, a binary, b binary, c binary, d binary, e binary, f binary"
-
-
-def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = 1 << 20, bucket_tokens: int = 3 << 19) -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score) a row of ``docs``; learns where ``train`` holds."""
-    spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    chunks = write_table(chunked(docs, train, id_col, text_col, chunk_tokens), "chunks", "none")
-    id_type = docs.schema[id_col].dataType.simpleString()
-    sizes = chunks.agg(F.sum("n_tokens").alias("tokens"), F.sum("n_words").alias("words")).first()
-    tokens = sizes["tokens"] or 0
-    words = write_table(vocabulary(chunks, max(parts, -(-(sizes["words"] or 0) // (1 << 20)))), "vocabulary", "none")
-
-    sums, top = np.zeros(K + 3, np.int64), {}
-    buckets = max(parts, -(-tokens // bucket_tokens))
-    for r in words.where("chunk = -1").select("numbers", "counts").collect():
-        numbers, counts = unpack(r["numbers"]).astype(np.int64), unpack(r["counts"]).astype(np.int64)
-        sums += numbers[: K + 3]
-        top |= dict(zip(numbers[K + 3 :].tolist(), counts.tolist(), strict=True))
-    uni = Unigrams(int(sums[1]), int(sums[0]), np.concatenate([[0], sums[2:]]))
-    share = max(1, uni.total // (4 * buckets))  # of at most 4 x buckets histories
-    starts = chunks.select(F.sum(F.size("ids"))).first()[0] or 0
-    hot = {n: 1 + c // share for n, c in top.items() if c > share}
-    if starts > share:
-        hot[int(START)] = 1 + starts // share
-    hot_number = np.array(sorted(hot), np.uint64)
-    hot_salts = np.array([hot[int(n)] for n in hot_number], np.uint64)
-
-    def forward(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for chunk, words, hashes, counts in batch[["chunk", "words", "hashes", "counts"]].itertuples(index=False):
+                words, counts = np.array(zstandard.decompress(words).split(b"\n"), object), unpack(counts)
+                bucket = ((np.frombuffer(hashes, np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                out = [(int(bucket[a]), chunk, zstandard.compress(b"\n".join(words[a:z]), 1), pack(counts[a:z])) for a, z in _pieces(bucket)]
+                yield pd.DataFrame(out, columns=["bucket", "chunk", "words", "counts"])
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = list(pd.concat(batches).itertuples(index=False)) if (batches := list(batches)) else []
+        if not rows:
+            return
+        number, places = defaultdict(), []
+        number.default_factory = number.__len__
+        for r in rows:
+            words = zstandard.decompress(r.words).split(b"\n")
+            places.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+        total = np.bincount(np.concatenate(places), weights=np.concatenate([unpack(r.counts) for r in rows])).astype(np.int64)
+        names = list(number)
+        order = np.array(sorted(range(len(names)), key=lambda i: (-total[i], names[i])))
+        bucket, given = int(rows[0].bucket), np.empty(len(names), np.int64)
+        given[order] = np.arange(len(names)) * buckets + bucket + 1  # small numbers for frequent words; zero is the start
+        answers = [{"chunk": r.chunk, "numbers": pack(given[p]), "counts": pack(total[p])} for r, p in zip(rows, places, strict=True) if r.chunk != STORED]
+        seen = order[total[order] > 0]
+        spelled = zstandard.compress(b"\n".join([names[i] for i in seen]), 3)
+        yield pd.DataFrame([{"bucket": bucket, "words": spelled, "counts": pack(total[seen]), "size": len(seen), "total": int(total.sum()), "n": _counts_of_counts(total), "answers": answers}])
+
+    pieces = chunks.select("chunk", "words", "hashes", "counts").mapInPandas(deal, WORD_PIECE)
+    if stored is not None:
+        pieces = pieces.unionByName(stored.where("size > 0").select("bucket", F.lit(STORED).cast("long").alias("chunk"), "words", "counts"))
+    return pieces.repartitionById(buckets, "bucket").mapInPandas(count, WORDS)
+
+
+def numbered(chunks: DataFrame, words: DataFrame, id_type: str) -> DataFrame:
+    """Chunks with the answers: numbers and counts of their words, frequent words first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 pieces = sorted(row.pieces, key=lambda p: p["bucket"])
-                number = np.concatenate([unpack(p["numbers"]) for p in pieces])
-                count = np.concatenate([unpack(p["counts"]) for p in pieces])
-                place, lengths, train = unpack(row.tokens).astype(np.int64), unpack(row.lengths).astype(np.int64), unpack(row.train)
-                first = _ends(lengths) - lengths
-                w, cw = number[place], count[place]
-                h, ch = np.roll(w, 1), np.roll(cw, 1)
-                h[first], ch[first] = START, 0
-                doc = np.repeat(np.arange(len(lengths)), lengths)
-                known, base = np.add.reduceat((cw > 0).astype(np.int64), first), np.add.reduceat(uni.base(cw.astype(np.float64)), first)
-                out = [(int(row.chunk) % buckets, row.chunk, 0, list(row.ids), pack(lengths), pack(known), base.tobytes(), None, None, None)]
-                at = mixed(h)
-                if len(hot_number):
-                    i = np.minimum(np.searchsorted(hot_number, h), len(hot_number) - 1)
-                    dealt = hot_number[i] == h
-                    at = np.where(dealt, mixed(at + mixed(w) % hot_salts[i]), at)
-                bucket = at % np.uint64(buckets)
-                order = np.lexsort((h, bucket))
-                h, ch, w, cw, bucket = h[order], ch[order], w[order], cw[order], bucket[order].astype(np.int64)
-                mark = doc[order].astype(np.uint64) * np.uint64(2) + train[doc[order]]
-                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                for a, z in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
-                    runs = a + np.flatnonzero(np.concatenate([[True], h[a + 1 : z] != h[a : z - 1]]))
-                    out.append((int(bucket[a]), row.chunk, 1, None, pack(h[runs]), pack(np.diff(runs, append=z)), pack(ch[runs]), pack(w[a:z]), pack(cw[a:z]), pack(mark[a:z])))
-                yield pd.DataFrame(out, columns=["bucket", "chunk", "kind", "ids", "a", "b", "c", "d", "e", "f"])
-
-    n_starts = _train_documents(chunks)
-
-    def followers(group: pd.DataFrame) -> pd.DataFrame:
-        """What a bucket of histories knows: sums by document, unseen tokens, counts of counts, dealt-out histories."""
-        info, rows = group[group["kind"] == 0], group[group["kind"] == 1]
-        out = list(info[["chunk", "kind", "ids", "a", "b", "c"]].assign(d=None, e=None, f=None).itertuples(index=False, name=None))
-        if len(rows):
-            runs_h, runs_n, runs_c = (np.concatenate([unpack(x) for x in rows[c]]) for c in ("a", "b", "c"))
-            w, cw, mark = ([unpack(x) for x in rows[c]] for c in ("d", "e", "f"))
-            piece_n = np.array([len(x) for x in w])
-            w, cw, mark = (np.concatenate(x) for x in (w, cw, mark))
-            hist, run_rank = np.unique(runs_h, return_inverse=True)
-            ch = np.zeros(len(hist))
-            ch[run_rank] = runs_c
-            ch[hist == START] = n_starts
-            rank = np.repeat(run_rank.astype(np.int32), runs_n.astype(np.int64))
-            order = np.lexsort((w, rank))
-            rank, w, mark, piece = rank[order], w[order], mark[order].astype(np.uint32), np.repeat(np.arange(len(rows), dtype=np.int32), piece_n)[order]
-            cw = cw[order].astype(np.int64)
-            new = np.concatenate([[True], (rank[1:] != rank[:-1]) | (w[1:] != w[:-1])])
-            pair = np.cumsum(new, dtype=np.int32) - 1
-            del w, order
-            r_pair = np.bincount(pair, weights=mark & np.uint32(1)).astype(np.int64)
-            h_pair, p_pair = rank[new], uni.p(cw[new])
-            by_r = np.stack([np.bincount(h_pair[r_pair == r], minlength=len(hist)) for r in range(1, K + 1)])
-            large = np.bincount(h_pair, weights=np.where(r_pair > K, r_pair, 0), minlength=len(hist))
-            covered = np.bincount(h_pair, weights=np.where(r_pair > 0, p_pair, 0.0), minlength=len(hist))
-            dealt = np.isin(hist, hot_number)
-            below = ch + (dealt | ~by_r.any(0))
-            r, doc = r_pair[pair], (mark >> np.uint32(1)).astype(np.int64)
-            del mark, pair
-            seen, no_history = r > 0, ch[rank] == 0
-            value = np.where(seen, np.log10(np.maximum(r, 1)) - np.log10(np.maximum(below[rank], 1)), np.log10(uni.p(cw)))
-            open_ = ~seen & ~no_history
-            back = np.argsort(piece, kind="stable")  # each chunk's tokens together again
-            for chunk, mine in zip(rows["chunk"], np.split(back, np.cumsum(piece_n)[:-1]), strict=True):
-                docs_, at = np.unique(doc[mine], return_inverse=True)
-                small = [np.bincount(at[r[mine] == s], minlength=len(docs_)) for s in range(1, K + 1)]
-                waits = mine[open_[mine]]
-                need, stat = np.unique(rank[waits], return_inverse=True)
-                of_stat = np.concatenate([below[need][None], by_r[:, need], large[need][None], covered[need][None]]).astype(np.float64)
-                out.append(
-                    (chunk, 1, None, pack(np.diff(docs_, prepend=0)), pack(np.rint(np.bincount(at, weights=-value[mine]) * UNIT)), pack(np.concatenate(small)), pack(np.concatenate([doc[waits], stat])), of_stat.tobytes(), pack(np.where(dealt[need], hist[need], START - np.uint64(1))))
-                )
-            some = np.flatnonzero(dealt)
-            out.append((-1, 2, None, pack(hist[some]), np.concatenate([below[some][None], by_r[:, some], large[some][None], covered[some][None]]).astype(np.float64).tobytes(), pack(np.bincount(np.minimum(r_pair, K + 2), minlength=K + 3)[: K + 2]), None, None, None))
-        return pd.DataFrame(out, columns=["chunk", "kind", "ids", "a", "b", "c", "d", "e", "f"])
-
-    of_chunk = words.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "numbers", "counts")).alias("pieces"))
-    joined = chunks.select("chunk", "ids", "train", "lengths", "tokens").join(of_chunk.hint("shuffle_hash"), "chunk")
-    piece_type = PIECE.format(id=id_type)
-    routed = joined.mapInPandas(forward, piece_type)
-    known = routed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(followers, piece_type.removeprefix("bucket int, "))
-    known = write_table(known, "bigrams")
-
-    n, stats = np.zeros(K + 2, np.int64), defaultdict(lambda: np.zeros(K + 2))
-    below_hot: dict[int, float] = {}
-    for r in known.where("chunk = -1").select("a", "b", "c").collect():
-        n += unpack(r["c"]).astype(np.int64)
-        numbers = unpack(r["a"])
-        values = np.frombuffer(r["b"], np.float64).reshape(K + 3, -1)
-        for i, h in enumerate(numbers.tolist()):
-            below_hot[h] = values[0, i]
-            stats[h] += values[1:, i]
-    discount = katz_discounts(n)
-
-    def weight(values: np.ndarray) -> np.ndarray:
-        """Backoff weights from the columns (divisor, numbers of followers of count 1 to K, sum of larger counts, their unigram mass)."""
-        taken = (discount[1:] * np.arange(1, K + 1)) @ values[1 : K + 1] + values[K + 1]
-        return (1 - taken / values[0]) / (1 - values[K + 2])
-
-    hot_known = np.array(sorted(stats), np.uint64)
-    hot_weight = weight(np.array([np.concatenate([[below_hot[int(h)]], stats[int(h)]]) for h in hot_known]).T.reshape(K + 3, -1)) if len(hot_known) else np.empty(0)
-
-    def finish(group: pd.DataFrame) -> pd.DataFrame:
-        info = group[group["kind"] == 0].iloc[0]
-        lengths = unpack(info["a"]).astype(np.int64)
-        score = np.zeros(len(lengths))
-        for row in group[group["kind"] == 1].itertuples(index=False):
-            docs_ = np.cumsum(unpack(row.a).astype(np.int64))
-            small = unpack(row.c).astype(np.float64).reshape(K, -1)
-            score[docs_] += np.log10(discount[1:]) @ small - unpack(row.b).astype(np.float64) / UNIT
-            doc, stat = unpack(row.d).astype(np.int64).reshape(2, -1)
-            if len(doc):
-                w = weight(np.frombuffer(row.e, np.float64).reshape(K + 3, -1))
-                number = unpack(row.f)
-                if len(hot_known):
-                    i = np.minimum(np.searchsorted(hot_known, number), len(hot_known) - 1)
-                    w = np.where(hot_known[i] == number, hot_weight[i], w)
-                score += np.bincount(doc, weights=np.log10(w)[stat], minlength=len(score))
-        return pd.DataFrame({"id": list(info["ids"]), "n_tokens": lengths, "n_known": unpack(info["b"]).astype(np.int64), "train_tokens": uni.total, "base_score": np.frombuffer(info["c"], np.float64), "score": score})
-
-    out = known.where("chunk >= 0").groupBy("chunk").applyInPandas(finish, f"id {id_type}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return out.withColumnRenamed("id", id_col)
+                number, count = (np.concatenate([unpack(p[c]) for p in pieces]) for c in ("numbers", "counts"))
+                order = np.argsort(number)
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                out = {"tokens": pack(place[unpack(row.tokens)]), "numbers": pack(number[order]), "counts": [pack(count[order])], "weights": []}
+                yield pd.DataFrame([{**{c: getattr(row, c) for c in ("chunk", "train", "lengths", "n_tokens")}, "ids": list(row.ids), **out}])
+
+    answers = words.select("bucket", F.explode("answers").alias("a")).groupBy("a.chunk").agg(F.collect_list(F.struct("bucket", "a.numbers", "a.counts")).alias("pieces"))
+    joined = chunks.drop("words", "hashes", "counts").join(answers.hint("shuffle_hash"), "chunk")
+    return joined.mapInPandas(run, CHUNK.format(id=id_type, words=NUMBERED))
+
+
+# ---- n-grams
+
+GRAM_COLUMNS = "history array<binary>, followers binary, n binary, lower_n binary, words binary, counts binary, lowers binary"
+GRAM_PIECE = f"bucket int, chunk long, {GRAM_COLUMNS}"
+GRAMS = f"bucket int, {GRAM_COLUMNS}, cc array<long>, answers array<struct<chunk:long,counts:binary,histories:binary,open:binary>>"
+NAMES = [c.split()[0] for c in GRAM_COLUMNS.split(", ")]
+
+
+@dataclass(frozen=True)
+class Meta:
+    """What a model is, besides its tables: ``off`` holds what counts lose, by order."""
+
+    total: int
+    size: int
+    documents: int
+    word_buckets: int
+    buckets: int
+    limit: int
+    rest: float  # of unknown words
+    off: tuple[np.ndarray, ...]
+
+    @property
+    def order(self) -> int:
+        return len(self.off)
+
+
+def grams_of(chunks: DataFrame, order: int, meta: Meta, stored: DataFrame | None) -> DataFrame:
+    """A row a bucket of histories: the followers' counts, and the answers to the chunks."""
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                chunk = Chunk(row, meta.total, meta.documents)
+                grams = chunk.orders(order)[-1]
+                asked, bucket = grams.dealt(chunk, meta.buckets, meta.limit)
+                count = np.bincount(grams.at[np.repeat(chunk.train, chunk.lengths)], minlength=grams.size)
+                out = []
+                for a, z in _pieces(bucket):
+                    g = asked[a:z]
+                    runs = np.flatnonzero(np.diff(grams.history[g], prepend=-1))
+                    h = grams.history[g[runs]]
+                    packed = [pack(np.diff(runs, append=z - a)), pack(grams.history_n[h]), pack(grams.lower_n[g[runs]]), pack(chunk.numbers[grams.word[g]]), pack(count[g]), pack(grams.lower[g])]
+                    out.append((int(bucket[a]), row.chunk, [pack(c[h]) for c in grams.columns], *packed))
+                yield pd.DataFrame(out, columns=["bucket", "chunk", *NAMES])
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = list(pd.concat(batches).itertuples(index=False)) if (batches := list(batches)) else []
+        if not rows:
+            return
+        join = lambda c: np.concatenate([unpack(getattr(r, c)) for r in rows])
+        history = [np.concatenate([unpack(r.history[j]) for r in rows]) for j in range(order - 1)]
+        first_run, run_rank = distinct(*history)
+        rank, words = np.repeat(run_rank, join("followers")), join("words")
+        first, at = distinct(rank, words)
+        sizes = _ends(np.array([len(unpack(r.words)) for r in rows]))
+        count = np.bincount(at, weights=join("counts")).astype(np.int64)
+        seen = first[count > 0]
+        packed = {"followers": pack(np.bincount(rank[seen], minlength=len(first_run))), "n": pack(join("n")[first_run]), "lower_n": pack(join("lower_n")[first_run])}
+        packed |= {"words": pack(words[seen]), "counts": pack(count[count > 0]), "lowers": pack(join("lowers")[seen])}
+        answers = []
+        for r, a, z in zip(rows, [0, *sizes[:-1]], sizes, strict=True):
+            if r.chunk != STORED:
+                mine = count[at[a:z]]
+                histories, open_ = np.unique(rank[a:z][mine == 0], return_inverse=True)
+                answers.append({"chunk": r.chunk, "counts": pack(mine), "histories": pack(histories), "open": pack(open_)})
+        yield pd.DataFrame([{"bucket": int(rows[0].bucket), "history": [pack(h[first_run]) for h in history], **packed, "cc": _counts_of_counts(count), "answers": answers}])
+
+    pieces = chunks.mapInPandas(deal, GRAM_PIECE)
+    if stored is not None:
+        pieces = pieces.unionByName(stored.select("bucket", F.lit(STORED).cast("long").alias("chunk"), *NAMES))
+    return pieces.repartitionById(meta.buckets, "bucket").mapInPandas(meet, GRAMS)
+
+
+def _sums(row, off: np.ndarray, lower_off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Count of each history of a bucket, the probability that its followers have, and their probability one order below."""
+    n, followers = unpack(row.n), unpack(row.followers)
+    rank = np.repeat(np.arange(len(n)), followers)
+    own = np.bincount(rank, weights=kept(off, unpack(row.counts)), minlength=len(n)) / n
+    lower = np.bincount(rank, weights=kept(lower_off, unpack(row.lowers)) / unpack(row.lower_n)[rank], minlength=len(n))
+    return n, own, lower
+
+
+def dealt_weights(grams: DataFrame, meta: Meta, off: np.ndarray, lower_off: np.ndarray) -> DataFrame:
+    """(history, weight) of histories that are dealt to several buckets."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                n, own, lower = _sums(row, off, lower_off)
+                some = np.flatnonzero(n >= meta.limit)
+                names = np.stack([unpack(h)[some] for h in row.history], 1)
+                yield pd.DataFrame({"history": pd.Series(list(names), dtype=object), "own": own[some], "lower": lower[some]})
+
+    rows = grams.drop("answers").mapInPandas(run, "history array<long>, own double, lower double")
+    sums = rows.groupBy("history").agg(F.sum("own").alias("own"), F.sum("lower").alias("lower"))
+    return sums.select("history", ((1 - F.col("own")) / (1 - F.col("lower"))).alias("weight"))
+
+
+ANSWER = "chunk long, bucket int, counts binary, open binary, weights binary, asks array<struct<at:int,history:array<long>>>"
+
+
+def answers_of(grams: DataFrame, meta: Meta, off: np.ndarray, lower_off: np.ndarray) -> DataFrame:
+    """Counts and weights for each chunk; ``asks`` are the histories whose weights other buckets share."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                n, own, lower = _sums(row, off, lower_off)
+                with np.errstate(divide="ignore", invalid="ignore"):  # parts of dealt histories are answered apart
+                    weight = (1 - own) / (1 - lower)
+                history, out = [unpack(h) for h in row.history], []
+                for a in row.answers:
+                    h = unpack(a["histories"])
+                    asks = [{"at": int(i), "history": [int(c[h[i]]) for c in history]} for i in np.flatnonzero(n[h] >= meta.limit)]
+                    out.append((a["chunk"], row.bucket, a["counts"], a["open"], zstandard.compress(weight[h].tobytes(), 1), asks))
+                yield pd.DataFrame(out, columns=["chunk", "bucket", "counts", "open", "weights", "asks"])
+
+    return grams.mapInPandas(run, ANSWER)
+
+
+def _with_answers(chunks: DataFrame, answers: DataFrame, dealt: DataFrame) -> DataFrame:
+    asks = answers.select("chunk", "bucket", F.explode("asks").alias("a")).select("chunk", "bucket", "a.at", "a.history")
+    told = asks.join(dealt, "history").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "at", "weight")).alias("told"))
+    pieces = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts", "open", "weights")).alias("pieces"))
+    return chunks.join(pieces.join(told, "chunk", "left").hint("shuffle_hash"), "chunk", "left")
+
+
+def _learned(row, chunk: Chunk, grams: Order, meta: Meta) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the chunk's n-grams, and the weights of those whose history is known but not they themselves."""
+    asked, bucket = grams.dealt(chunk, meta.buckets, meta.limit)
+    count, weight = np.zeros(grams.size, np.int64), np.ones(grams.size)
+    told: dict[int, list] = defaultdict(list)
+    for t in row.told if row.told is not None else ():
+        told[t["bucket"]].append((t["at"], t["weight"]))
+    pieces = {p["bucket"]: p for p in (row.pieces if row.pieces is not None else ())}
+    for a, z in _pieces(bucket):
+        p, g = pieces[int(bucket[a])], asked[a:z]
+        count[g] = unpack(p["counts"])
+        w = np.frombuffer(zstandard.decompress(p["weights"]), np.float64).copy()
+        for at, value in told[int(bucket[a])]:
+            w[at] = value
+        weight[g[count[g] == 0]] = w[unpack(p["open"])]
+    return count, weight[(count == 0) & (grams.n > 0)]
+
+
+def extended(chunks: DataFrame, order: int, meta: Meta, id_type: str) -> DataFrame:
+    """Chunks that hold the answers of one order more."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                chunk = Chunk(row, meta.total, meta.documents)
+                count, weight = _learned(row, chunk, chunk.orders(order)[-1], meta)
+                more = {"counts": [*row.counts, pack(count)], "weights": [*row.weights, zstandard.compress(weight.tobytes(), 1)]}
+                yield pd.DataFrame([{**{c: getattr(row, c) for c in ("chunk", "train", "lengths", "tokens", "numbers", "n_tokens")}, "ids": list(row.ids), **more}])
+
+    return chunks.mapInPandas(run, CHUNK.format(id=id_type, words=NUMBERED))
+
+
+SCORES = "id {id}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def scores(chunks: DataFrame, meta: Meta, id_type: str) -> DataFrame:
+    """Scores of the documents of chunks that come with the answers of the highest order (if above one)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                chunk = Chunk(row, meta.total, meta.documents)
+                levels = chunk.orders(meta.order)
+                count = chunk.counts[0]
+                p = np.log10(np.where(count > 0, kept(meta.off[0], count) / max(1, meta.total), meta.rest))[chunk.tokens]
+                for i, grams in enumerate(levels[1:], 1):
+                    last = i + 1 == meta.order
+                    count, weight = _learned(row, chunk, grams, meta) if last else (chunk.counts[i], chunk.weights[i - 1])
+                    back = np.zeros(grams.size)
+                    back[(count == 0) & (grams.n > 0)] = np.log10(weight)
+                    own = np.log10(np.where(count > 0, kept(meta.off[i], count), 1) / np.maximum(grams.n, 1))
+                    p = np.where(count[grams.at] > 0, own[grams.at], back[grams.at] + p)
+                c1 = chunk.counts[0][chunk.tokens]
+                base = np.log10((c1 + 1.0) / (meta.total + 1 * (meta.size + 1)))
+                add = lambda x: np.add.reduceat(x, chunk.first)
+                yield pd.DataFrame({"id": list(row.ids), "n_tokens": chunk.lengths, "n_known": add((c1 > 0).astype(np.int64)), "train_tokens": meta.total, "base_score": add(base), "score": add(p)})
+
+    return chunks.mapInPandas(run, SCORES.format(id=id_type))
+
+
+def weights_of(grams: DataFrame, dealt: DataFrame, meta: Meta, off: np.ndarray, lower_off: np.ndarray) -> DataFrame:
+    """Stored weights: (bucket, history, weights) of histories that one bucket has, and rows of bucket -1 for those dealt out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                n, own, lower = _sums(row, off, lower_off)
+                whole = np.flatnonzero(n < meta.limit)
+                weight = (1 - own[whole]) / (1 - lower[whole])
+                yield pd.DataFrame([{"bucket": row.bucket, "history": [pack(unpack(h)[whole]) for h in row.history], "weights": zstandard.compress(weight.tobytes(), 1)}])
+
+    def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                columns = np.stack(batch["history"].to_numpy()).T
+                yield pd.DataFrame([{"bucket": -1, "history": [pack(c) for c in columns], "weights": zstandard.compress(batch["weight"].to_numpy(np.float64).tobytes(), 1)}])
+
+    schema = "bucket int, history array<binary>, weights binary"
+    return grams.drop("answers").mapInPandas(run, schema).unionByName(dealt.mapInPandas(shared, schema))
+
+
+# ---- models
+
+
+@dataclass(frozen=True)
+class KatzModel:
+    """A trained model: tables under ``path`` and what is known of them."""
+
+    path: str
+    meta: Meta
+
+    def words(self, spark: SparkSession) -> DataFrame:
+        """(number, word, count)."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for r in batch.itertuples(index=False):
+                    if r.size:
+                        count = unpack(r.counts)
+                        yield pd.DataFrame({"number": np.arange(len(count)) * self.meta.word_buckets + r.bucket + 1, "word": [w.decode("utf-8", "replace") for w in zstandard.decompress(r.words).split(b"\n")], "count": count})
+
+        return spark.read.schema(WORDS).parquet(f"{self.path}/words").select("bucket", "words", "counts", "size").mapInPandas(run, "number long, word string, count long")
+
+    def grams(self, spark: SparkSession, order: int) -> DataFrame:
+        """(history, word, count, discounted, probability): numbers of words, zero for a text's start."""
+        off = self.meta.off[order - 1]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for r in batch.itertuples(index=False):
+                    rank = np.repeat(np.arange(len(unpack(r.n))), unpack(r.followers))
+                    history, count = np.stack([unpack(h)[rank] for h in r.history], 1), unpack(r.counts)
+                    discounted = kept(off, count)
+                    yield pd.DataFrame({"history": pd.Series(list(history), dtype=object), "word": unpack(r.words), "count": count, "discounted": discounted, "probability": discounted / unpack(r.n)[rank]})
+
+        rows = spark.read.schema(GRAMS).parquet(f"{self.path}/grams/order={order}").drop("answers")
+        return rows.mapInPandas(run, "history array<long>, word long, count long, discounted double, probability double")
+
+    def weights(self, spark: SparkSession, order: int) -> DataFrame:
+        """(history, weight) of every history of ``order`` - 1 words."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for r in batch.itertuples(index=False):
+                    history = np.stack([unpack(h) for h in r.history], 1)
+                    yield pd.DataFrame({"history": pd.Series(list(history), dtype=object), "weight": np.frombuffer(zstandard.decompress(r.weights), np.float64)})
+
+        return spark.read.parquet(f"{self.path}/weights/order={order}").select("history", "weights").mapInPandas(run, "history array<long>, weight double")
+
+
+def _run(docs: DataFrame, train: Column, id_col: str, text_col: str, order: int, chunk_tokens: int, bucket_tokens: int, model: KatzModel | None) -> tuple[DataFrame, KatzModel]:
+    spark = docs.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    base, path = new_path(spark, "katz"), model.path if model else new_path(spark, "model")
+    id_type = docs.schema[id_col].dataType.simpleString()
+    chunks = save(chunked(docs, train, id_col, text_col, chunk_tokens), f"{base}/chunks", "none")
+    tokens = chunks.agg(F.sum("n_tokens")).first()[0] or 0
+    documents = _train_documents(chunks)
+    size = max(parts, -(-tokens // bucket_tokens))
+    buckets = model.meta.buckets if model else size
+    word_buckets = model.meta.word_buckets if model else size
+    words = save(words_of(chunks, word_buckets, spark.read.schema(WORDS).parquet(f"{path}/words") if model else None), f"{base}/words", "none")
+    if model:
+        meta = model.meta
+    else:
+        found = words.agg(F.sum("total").alias("total"), F.sum("size").alias("size"), *[F.sum(F.get("n", F.lit(i))).alias(f"n{i}") for i in range(1, K + 2)]).first()
+        n = np.array([0] + [found[f"n{i}"] or 0 for i in range(1, K + 2)])
+        total, known, off = found["total"] or 0, found["size"] or 0, taken_off(n)
+        rest = float((n[: K + 1] * off[: K + 1]).sum() + (known - n[: K + 1].sum()) * LARGE) / total if total else 1.0
+        meta = Meta(total, known, documents, word_buckets, buckets, max(1, bucket_tokens // 4), rest, (off,))
+        save(words.withColumn("answers", F.array().cast(words.schema["answers"].dataType)), f"{path}/words", "none")
+    now = save(numbered(chunks, words, id_type), f"{base}/chunks1", "none")
+    drop(spark, f"{base}/chunks", f"{base}/words")
+    result = None
+    for n in range(2, order + 1):
+        at = f"{path}/grams/order={n}" if not model else f"{base}/grams{n}"
+        grams = save(grams_of(now, n, meta, spark.read.schema(GRAMS).parquet(f"{path}/grams/order={n}") if model else None), at, "none")
+        if not model:
+            cc = grams.agg(*[F.sum(F.get("cc", F.lit(i))).alias(f"n{i}") for i in range(1, K + 2)]).first()
+            meta = Meta(**{**meta.__dict__, "off": (*meta.off, taken_off(np.array([0] + [x or 0 for x in cc])))})
+        off, below = meta.off[n - 1], meta.off[n - 2]
+        dealt = save(dealt_weights(grams, meta, off, below), f"{base}/dealt{n}")
+        answered = _with_answers(now, save(answers_of(grams, meta, off, below), f"{base}/answers{n}", "none"), dealt)
+        if n < order:
+            now = save(extended(answered, n, meta, id_type), f"{base}/chunks{n}", "none")
+        else:
+            result = save(scores(answered, meta, id_type), f"{base}/scores")
+        drop(spark, f"{base}/chunks{n - 1}", f"{base}/answers{n}")
+    if result is None:
+        result = save(scores(now, meta, id_type), f"{base}/scores")
+        drop(spark, f"{base}/chunks1")
+    if not model:
+        for n in range(2, order + 1):
+            grams, dealt = (spark.read.schema(s).parquet(p) for s, p in ((GRAMS, f"{path}/grams/order={n}"), ("history array<long>, weight double", f"{base}/dealt{n}")))
+            save(weights_of(grams, dealt, meta, meta.off[n - 1], meta.off[n - 2]), f"{path}/weights/order={n}", "none")
+    return result.withColumnRenamed("id", id_col), model or KatzModel(path, meta)
+
+
+def train_and_score(
+    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 3, chunk_tokens: int = 1 << 20, bucket_tokens: int = 1 << 20
+) -> tuple[DataFrame, KatzModel]:
+    """(id, n_tokens, n_known, train_tokens, base_score, score) a row of ``docs``, and the model of those for which ``train`` holds."""
+    return _run(docs, train, id_col, text_col, order, chunk_tokens, bucket_tokens, None)
+
+
+def score_with(model: KatzModel, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = 1 << 20) -> DataFrame:
+    """The same columns for documents that took no part in training, by the stored tables."""
+    return _run(docs, F.lit(False), id_col, text_col, model.meta.order, chunk_tokens, 4 * model.meta.limit, model)[0]
 
 
 def _train_documents(chunks: DataFrame) -> int:

@@ -55,7 +55,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score under a model of those that aren't held out."""
     out = quality.held_out("doc_id", 7, 2)
-    rows = lm.score_documents(table(spark, sf_dir, "documents"), ~out)
+    rows, _ = lm.train_and_score(table(spark, sf_dir, "documents"), ~out)
     return rows.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

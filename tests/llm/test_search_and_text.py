@@ -151,81 +151,6 @@ def test_alignment_against_plain_recurrence():
         assert np.allclose(decontam.align(a, windows), [smith_waterman(a, w) for w in windows])
 
 
-# ---- language model
-
-
-def katz(docs, train):
-    """Scores by dictionaries."""
-    tokens = {d: (t or "").encode().lower().split() + [b" end"] for d, t in docs}
-    uni, big = Counter(), defaultdict(Counter)
-    for d, w in tokens.items():
-        if train(d):
-            uni.update(w)
-            for a, b in zip([None, *w], w, strict=False):
-                big[a][b] += 1
-    total, of = sum(uni.values()), lambda c: np.array([0] + [Counter(c)[i] for i in range(1, 7)])
-    d1, d2 = lm.katz_discounts(of(uni.values())), lm.katz_discounts(of([r for f in big.values() for r in f.values()]))
-    cut = lambda d, r: (d[r] if r <= 5 else 1) * r
-    below = total + (0 if any(r <= 5 for r in uni.values()) else 1)
-    unknown = 1 - sum(cut(d1, r) for r in uni.values()) / below
-    p1 = lambda w: cut(d1, uni[w]) / below if uni[w] else unknown
-    share = max(1, total // 16)
-    model = {}
-    for h, f in big.items():
-        n = sum(f.values())
-        n += int(n > share or not any(r <= 5 for r in f.values()))
-        seen = {w: cut(d2, r) / n for w, r in f.items()}
-        weight = (1 - sum(seen.values())) / (1 - sum(map(p1, f)))
-        model[h] = seen, weight
-        assert abs(sum(seen.values()) + weight * (sum(p1(w) for w in uni if w not in f) + unknown) - 1) < 1e-9
-    out = {}
-    for d, w in tokens.items():
-        score = 0.0
-        for a, b in zip([None, *w], w, strict=False):
-            seen, weight = model.get(a, ({}, 1.0))
-            score += np.log10(seen[b] if b in seen else weight * p1(b))
-        out[d] = (len(w), sum(uni[x] > 0 for x in w), total, sum(np.log10((uni[x] + 1) / (total + len(uni) + 1)) for x in w), score)
-    return out
-
-
-@pytest.mark.parametrize("chunk", [1 << 20, 300])
-def test_katz_against_dictionaries(spark, chunk):
-    rng = np.random.default_rng(2)
-    words = [f"w{int(i)}" for i in rng.zipf(1.3, 4000) if i < 500]
-    docs, at = [], 0
-    for i in range(80):
-        n = int(rng.integers(0, 60))
-        docs.append((i, " ".join(words[at : at + n]) or None))
-        at = (at + n) % 2500
-    docs += [(90, "always paired"), (91, "w1 new words here"), (92, "always paired " * 40)]
-    train = lambda d: d % 4 != 1
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = by_id(lm.score_documents(df, F.col("doc_id") % 4 != 1, chunk_tokens=chunk, bucket_tokens=500).collect())
-    want = katz(docs, train)
-    tokens = sum(w[0] for w in want.values())
-    buckets = max(4, -(-tokens // 500))
-    assert set(got) == set(want)
-    if buckets == 4:
-        for d, (n, known, total, base, score) in want.items():
-            r = got[d]
-            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
-            assert np.isclose(r["base_score"], base) and np.isclose(r["score"], score)
-    else:
-        assert all((got[d]["n_tokens"], got[d]["n_known"]) == want[d][:2] and np.isclose(got[d]["base_score"], want[d][3]) for d in want)
-
-
-def test_katz_edges(spark, awkward, nothing):
-    rows = lm.score_documents(awkward, F.lit(True)).collect()
-    assert len(rows) == 9 and all(np.isfinite(r["score"]) for r in rows) and sorted(r["n_tokens"] for r in rows)[:3] == [1, 1, 1]
-    assert all(np.isfinite(r["score"]) and r["train_tokens"] == 0 for r in lm.score_documents(awkward, F.lit(False)).collect())
-    assert lm.score_documents(nothing, F.lit(True)).count() == 0
-
-
-def test_packed_integers():
-    for a in ([], [0], [1, 2**31, 2**32 - 1], [2**63, 5, 2**64 - 1]):
-        assert lm.unpack(lm.pack(np.array(a, np.uint64))).tolist() == a
-
-
 # ---- personal data
 
 
