@@ -188,7 +188,7 @@ def build_index(vectors: DataFrame, shard_rows: int = 1 << 14, params: GraphPara
 
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
     schema = "rep long, v array<double>, ids array<long>, asked boolean, shard int, pos long, edges array<int>, entry long"
-    index = dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(build, schema)
+    index = dealt.repartitionById(shards, "shard").groupBy("shard").applyInPandas(build, schema)
     return write_table(index, "graph"), {"shards": shards, "dim": dim, "top": top, "params": params}
 
 
@@ -198,6 +198,9 @@ def search_index(index: DataFrame, meta: dict, queries: DataFrame, k: int, block
     blocks = max(1, -(-queries.count() // block_rows))
     asked = queries.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     graphs = index.select("shard", "pos", "v", "ids", "edges", "entry").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    task = (F.col("block") * shards + F.col("shard")).cast("int").alias("task")  # one a shard and block, in a partition of its own
+    graphs = graphs.select("*", task).repartitionById(shards * blocks, "task")
+    asked = asked.select("*", task).repartitionById(shards * blocks, "task")
 
     def search(graph: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         parts = []
@@ -218,7 +221,7 @@ def search_index(index: DataFrame, meta: dict, queries: DataFrame, k: int, block
                     parts.append(pd.DataFrame({"q": name, "id": [b[1] for b in best], "score": [-b[0] for b in best]}))
         return pd.concat(parts) if parts else pd.DataFrame({"q": [], "id": [], "score": []})
 
-    found = graphs.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(search, "q long, id long, score double")
+    found = graphs.groupBy("task").cogroup(asked.groupBy("task")).applyInPandas(search, "q long, id long, score double")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("q", "id", "score")
 

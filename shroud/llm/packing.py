@@ -40,12 +40,13 @@ class WordTokens(dict):
     ``CACHE_WORDS`` are kept. A word that is empty or has white space at an end is kept as None,
     which sends its text the slower way. With ``ranks`` the same vocabulary's merges are done by
     ``tiktoken`` for words of Latin letters, whose classes in the pattern all libraries agree on.
+    A text that holds one of the file's added tokens is left to the tokenizer as a whole.
     """
 
     def __init__(self, path: str, ranks: str | None = None):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.merges = None
         if ranks:
             with open(ranks, "rb") as f:
@@ -68,6 +69,9 @@ class WordTokens(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         first, *rest = text.split(" ")
         if not rest:
             return self.direct(first) if first else b""

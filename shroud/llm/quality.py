@@ -31,7 +31,7 @@ STATS = (
     "log_bytes",
     "log_words",
     "mean_word",
-    "longest_word",
+    "log_longest_word",
     "upper_share",
     "digit_share",
     "symbol_share",
@@ -66,7 +66,7 @@ def statistics_of(text: str | None) -> list[float]:
         float(np.log1p(len(b))),
         float(np.log1p(n)),
         solid / n,
-        min(64.0, float(max(map(len, words)))),
+        float(np.log1p(max(map(len, words)))),
         upper / solid,
         digit / solid,
         symbol / solid,

@@ -1,23 +1,26 @@
 """Secret scans with an incremental blob ledger.
 
-Every version of every path is content-addressed by the SHA-256 of its text. The ledger holds the
-(blob, rule version) pairs that were scanned and what was found; a run scans only pairs that the
-ledger lacks, once a blob however many paths hold it, and joins findings back to all paths.
-DataFrame functions only: match offsets come from ``split`` and ``regexp_extract_all``, whose
-lengths alternate, by a running sum within the blob.
+Every version of every path is content-addressed by the SHA-256 of its text. The ledger is a folder
+of runs by rule version; a run's findings are written first and the blobs that it scanned last, which
+is its commit: a run that was lost between the two does not count and its blobs are scanned again. A
+run scans only blobs that no committed run of the rule version has, once a blob however many paths
+hold it, and findings are joined back to all paths. DataFrame functions only: match offsets come
+from ``split`` and ``regexp_extract_all``, whose lengths alternate, by a running sum within the blob.
 
 Defined cases: a null text is the empty blob. Paths that repeat are each returned. Blobs without a
-match are in the ledger too, so they are not scanned again. Empty input gives empty tables.
+match are in the ledger too, so they are not scanned again. Of paths that hold one blob the smallest
+stands for it, ties are one row. Empty input gives empty tables.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shroud.llm.scratch import write_table
+from shroud.llm.scratch import new_path, save, write_table
 
 
 @dataclass(frozen=True)
@@ -86,48 +89,68 @@ def scan_blobs(blobs: DataFrame, rules: tuple[SecretRule, ...] = RULES, version:
     return hits.where("ok").select("blob", F.lit(version).alias("rule_version"), "kind", "kind_no", (F.col("end") - F.col("n")).alias("start"), "end")
 
 
-@dataclass
-class ScanResult:
-    """``paths``: every version with its blob and findings; ``findings`` and ``scanned``: the ledger after this run."""
+SCANNED = "blob string"
 
-    paths: DataFrame
-    findings: DataFrame
-    scanned: DataFrame
+
+@dataclass(frozen=True)
+class BlobLedger:
+    """What was scanned and found, under ``path`` by rule version and run."""
+
+    spark: SparkSession
+    path: str
+
+    def runs(self, version: str) -> list[str]:
+        """Folders of the committed runs of a rule version."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        base = hadoop.Path(f"{self.path}/rule_version={version}")
+        fs = base.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [str(s.getPath()) for s in fs.listStatus(base)] if fs.exists(base) else []
+        return sorted(r for r in found if fs.exists(hadoop.Path(f"{r}/scanned/_SUCCESS")))
+
+    def _read(self, version: str, name: str, schema: str) -> DataFrame:
+        paths = [f"{r}/{name}" for r in self.runs(version)]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def scanned(self, version: str) -> DataFrame:
+        """(blob): each once, as a run scans only what the runs before it lack."""
+        return self._read(version, "scanned", SCANNED)
+
+    def findings(self, version: str) -> DataFrame:
+        return self._read(version, "findings", FINDINGS)
+
+    def commit(self, version: str, findings: DataFrame, scanned: DataFrame) -> None:
+        run = f"{self.path}/rule_version={version}/run-{uuid.uuid4().hex}"
+        save(findings, f"{run}/findings")
+        save(scanned, f"{run}/scanned")
 
 
 def scan_versions(
-    versions: DataFrame,
-    id_col: str,
-    text_col: str,
-    findings: DataFrame | None = None,
-    scanned: DataFrame | None = None,
-    rules: tuple[SecretRule, ...] = RULES,
-    version: str = RULE_VERSION,
-) -> ScanResult:
-    """Scan what the ledger (``scanned``: blob, rule_version; ``findings``) lacks.
-
-    One row stands for an unseen blob, that of the smallest id. The text is shuffled once, to meet
-    those rows' ids, which are the build side of the hash join, so texts are neither sorted nor
-    spilled; only where a row repeats with its id are such texts sorted to take one.
+    versions: DataFrame, keys: str | tuple[str, ...], text_col: str, ledger: BlobLedger | None = None, rules: tuple[SecretRule, ...] = RULES, version: str = RULE_VERSION
+) -> DataFrame:
+    """Keys, blob and spans of every row of ``versions``; scans what ``ledger`` lacks and commits it there.
+
+    ``keys`` name a version: its path, or path and version. One row stands for an unseen blob, that of
+    the smallest key. The text is shuffled once, to meet those rows' keys, which are the build side of
+    the hash join, so texts are neither sorted nor spilled; only where a row repeats with its keys are
+    such texts sorted to take one.
     """
-    rows = versions.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    paths = write_table(with_blobs(rows, "text").select("_id", "blob"), "paths")
-    fresh = paths.groupBy("blob", "_id").agg(F.count(F.lit(1)).alias("n")).groupBy("blob").agg(F.min(F.struct("_id", "n")).alias("r")).select("blob", "r._id", "r.n")
-    if scanned is not None:
-        fresh = fresh.join(scanned.where(F.col("rule_version") == version).select("blob").distinct(), "blob", "left_anti")
-    stands = fresh.select(F.col("blob").alias("_blob"), F.col("_id").alias("_stand")).hint("shuffle_hash")
-    blobs = with_blobs(rows, "text").join(stands, (F.col("blob") == F.col("_blob")) & F.col("_id").eqNullSafe(F.col("_stand"))).select("blob", "text")
+    spark = versions.sparkSession
+    ledger = ledger or BlobLedger(spark, new_path(spark, "ledger"))
+    key = F.struct(*[F.col(k) for k in ((keys,) if isinstance(keys, str) else keys)])
+    rows = versions.select(key.alias("_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    paths = write_table(with_blobs(rows, "text").select("_key", "blob"), "paths")
+    unseen = paths.join(ledger.scanned(version), "blob", "left_anti")
+    fresh = unseen.groupBy("blob", "_key").agg(F.count(F.lit(1)).alias("n")).groupBy("blob").agg(F.min(F.struct("_key", "n")).alias("r")).select("blob", "r._key", "r.n")
+    fresh = write_table(fresh, "fresh")
+    stands = fresh.select(F.col("blob").alias("_blob"), F.col("_key").alias("_stand")).hint("shuffle_hash")
+    blobs = with_blobs(rows, "text").join(stands, (F.col("blob") == F.col("_blob")) & (F.col("_key") == F.col("_stand"))).select("blob", "text")
     if not fresh.where("n > 1").isEmpty():
         blobs = blobs.dropDuplicates(["blob"])
-    new = write_table(scan_blobs(blobs, rules, version), "findings")
-    all_findings = new if findings is None else findings.unionByName(new)
-    done = fresh.select("blob", F.lit(version).alias("rule_version"))
-    all_scanned = done if scanned is None else scanned.unionByName(done)
+    ledger.commit(version, scan_blobs(blobs, rules, version), fresh.select("blob"))
     span = F.struct("start", "kind_no", "end", "kind")
-    per_blob = all_findings.where(F.col("rule_version") == version).groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("spans"))
-    joined = paths.join(per_blob, "blob", "left").withColumnRenamed("_id", id_col)
+    per_blob = ledger.findings(version).groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     empty = F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint,kind:string>>")
-    return ScanResult(joined.withColumn("spans", F.coalesce("spans", empty)), all_findings, all_scanned)
+    return paths.join(per_blob, "blob", "left").select("_key.*", "blob", F.coalesce("spans", empty).alias("spans"))
 
 
 def span_text(spans: Column) -> Column:

@@ -6,7 +6,8 @@ a fixed largest size, so it is always broadcast; where more URLs are listed than
 more false positives reach the exact join, which removes them. DataFrame functions only.
 
 Defined cases: a null URL or one without ``://`` has empty host and path, no canonical form, fits
-no rule and is allowed. Repeated rows are each judged. An empty list blocks nothing.
+no rule and is allowed. Repeated rows are each judged. An empty list blocks nothing. Of fitting
+rules of one length the last given wins.
 """
 
 from __future__ import annotations
@@ -92,22 +93,21 @@ def judge_urls(
 ) -> DataFrame:
     """Verdict on each row of ``pages``; ``listed`` has one column of canonical URLs, in any number.
 
-    Returns id, host, path, rule, verdict, listed, filter_hit. The exact join is an ordinary
-    shuffled join, whose hot URLs adaptive execution splits.
+    Returns id, host, path, rule, verdict, listed, filter_hit. The exact join is an ordinary one:
+    Spark broadcasts a list below its own threshold, else shuffles, and splits hot URLs.
     """
     listed = write_table(listed.select(F.col(listed.columns[0]).alias("_listed")).where("_listed is not null").distinct(), "listed")
     table, blocks = build_filter(listed, "_listed", listed.count(), bits_per_key, max_bytes)
-    host, path = url_host(F.col(url_col)), url_path(F.col(url_col))
-    rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col(id_col).alias("_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.select(id_col, "host", "path", rule.alias("rule"), verdict.alias("_ruled"), canonical(F.col("host"), F.col("path")).alias("_key"))
+    rows = rows.select("_id", "host", "path", rule.alias("rule"), verdict.alias("_ruled"), canonical(F.col("host"), F.col("path")).alias("_key"))
     rows = probe(rows, "_key", table, blocks, "filter_hit")
-    passed = rows.where("not filter_hit").withColumn("listed", F.lit(False))
-    found = listed.select(F.col("_listed").alias("_key"), F.lit(True).alias("_found"))
-    checked = rows.where("filter_hit").join(found, "_key", "left").withColumn("listed", F.col("_found").isNotNull()).drop("_found")
-    return passed.unionByName(checked).select(
-        id_col, "host", "path", "rule", F.coalesce("_ruled", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed", "filter_hit"
-    )
+    # rows that the filter rules out carry a key of their own, so they are spread and meet nothing
+    rows = rows.withColumn("_on", F.when(F.col("filter_hit"), F.col("_key")).otherwise(F.xxhash64("_id", "path").cast("string")))
+    found = listed.select(F.col("_listed").alias("_on"), F.lit(True).alias("filter_hit"), F.lit(True).alias("_found"))
+    joined = rows.join(found, ["_on", "filter_hit"], "left").withColumn("_is", F.col("_found").isNotNull())
+    verdict = F.coalesce("_ruled", F.when(F.col("_is"), "block").otherwise("allow"))
+    return joined.select(F.col("_id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), F.col("_is").alias("listed"), "filter_hit")
 
 
 def referral_list(pages: DataFrame, url_col: str = "url", param: str = "ref") -> DataFrame:

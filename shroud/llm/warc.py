@@ -1,14 +1,16 @@
 """Deterministic sharded WARC files.
 
 Records are range-sorted by id; each range is one shard, whose files roll by compressed size, a
-gzip member a record. Headers, digests and record ids are made anew from the payload and the id,
+gzip member a record. The ranges' borders come from exact running sums of payload bytes over the sorted ids, so
+they depend on the rows alone. Headers, digests and record ids are made anew from the payload and the id,
 so the same rows give the same bytes. Of equal payloads the smallest id is the response and the
 others are revisits, which carry no payload. A task writes under a temporary name of its own
 attempt; the names that succeeded form a manifest, tasks rename them, and the manifest table,
 written last, is the commit. Rereading takes only files that the manifest lists.
 
-Defined cases: a null payload is empty. Repeated ids are each written; among equal payloads all
-rows of the smallest id are responses. An empty table writes an empty manifest.
+Defined cases: a null payload is empty. Repeated ids are each written, and one id's rows may span shards;
+among equal payloads all rows of the smallest id are responses. Null ids come first. An empty table writes an
+empty manifest. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,14 +23,17 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shroud.llm.scratch import new_path
+from shroud.llm.scratch import new_path, write_table
 
 DATE = "1970-01-01T00:00:00Z"
+NULL_ID = -(1 << 63)
+HEAD_BYTES = 600  # about what a record's headers add to its payload
 MANIFEST = "shard long, file_no long, name string, temp string, records long, bytes long, sha256 string"
 RECORD = "id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
@@ -72,15 +77,47 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def revisits(rows: DataFrame) -> DataFrame:
-    """(id, digest, refers_to) of payloads whose response is another id, the smallest one.
+def revisits(narrow: DataFrame) -> DataFrame:
+    """(id, place, digest, refers_to) of payloads whose response is another id, the smallest one.
 
     Narrow rows group by the payload's digest with partial minima, so a payload that a third of the
     rows share is no hot task there; the join back is one that adaptive execution splits.
     """
-    digests = rows.select("id", F.sha2("payload", 256).alias("digest"))
-    first = digests.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    return digests.join(first, "digest").where("not (id <=> refers_to)").select("id", "digest", "refers_to").distinct()
+    first = narrow.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    return narrow.join(first, "digest").where("not (id <=> refers_to)").select("id", "place", "digest", "refers_to").distinct()
+
+
+def shard_borders(narrow: DataFrame, shard_bytes: int, max_shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least (id, place) of every shard but the first, at most ``max_shards`` of them, by running sums of bytes."""
+    spark = narrow.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = narrow.groupBy(F.coalesce("id", F.lit(NULL_ID)).alias("id"), "place").agg(F.sum("size").alias("size"))
+    ordered = keys.repartitionByRange(parts, "id", "place").sortWithinPartitions("id", "place").withColumn("part", F.spark_partition_id())
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = 0
+        for b in batches:
+            ends = at + b["size"].cumsum()
+            yield b.assign(start=ends - b["size"])
+            at = int(ends.iloc[-1]) if len(ends) else at
+
+    placed = write_table(ordered.mapInPandas(sums, "id long, place long, size long, part int, start long"), "sizes")
+    of_part = placed.groupBy("part").agg(F.sum("size").alias("bytes"))
+    before = of_part.select("part", (F.sum("bytes").over(Window.orderBy("part")) - F.col("bytes")).alias("before"))  # one row a range
+    total = of_part.agg(F.sum("bytes")).first()[0] or 0
+    size = max(shard_bytes, -(-total // max_shards), 1)
+    shard = F.floor((F.col("start") + F.col("before")) / size).alias("shard")
+    firsts = placed.join(F.broadcast(before), "part").groupBy(shard).agg(F.min(F.struct("id", "place")).alias("k")).where("shard > 0").select("k.*").orderBy("id", "place").collect()
+    return np.array([r["id"] for r in firsts], np.int64), np.array([r["place"] for r in firsts], np.int64)
+
+
+def shard_of(ids: np.ndarray, places: np.ndarray, borders: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many borders are at or before each (id, place)."""
+    of_id, of_place = borders
+    low, high = np.searchsorted(of_id, ids, "left"), np.searchsorted(of_id, ids, "right")
+    for i in np.flatnonzero(high > low):  # rows of an id at which a shard begins
+        low[i] += np.searchsorted(of_place[low[i] : high[i]], places[i], "right")
+    return low
 
 
 def write(
@@ -96,21 +133,32 @@ def write(
 ) -> DataFrame:
     """Write all rows under ``target`` and return the manifest as reread from there.
 
-    Shards hold about ``shard_bytes`` of payload, files at most ``roll_bytes`` compressed or one
-    record. Payloads are shuffled once: which rows are revisits arrives as narrow rows that the
-    range sort puts right before the records of the same id.
+    Shards hold about ``shard_bytes`` of payload, more once that would make over ``max_shards``;
+    files hold at most ``roll_bytes`` compressed or one record. Payloads are shuffled once, each
+    shard to a task of its own: which rows are revisits arrives as narrow rows that sort right
+    before the records of the same id.
     """
     spark = pages.sparkSession
     text = dict(pages.dtypes)[payload_col] == "string"
     payload = F.encode(F.col(payload_col), "UTF-8") if text else F.col(payload_col)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(payload, F.lit(b"")).alias("payload"))
-    total = pages.select(F.sum(F.octet_length(payload_col))).first()[0] or 0
-    shards = max(1, min(max_shards, -(-total // shard_bytes)))
+    place = F.xxhash64("payload").alias("place")
+    narrow = rows.select("id", place, F.sha2("payload", 256).alias("digest"), (F.octet_length("payload") + HEAD_BYTES).cast("long").alias("size"))
+    narrow = write_table(narrow, "narrow")
+    borders = shard_borders(narrow, shard_bytes, max_shards)
+
+    @F.pandas_udf("int")
+    def shard_number(id_: pd.Series, place: pd.Series) -> pd.Series:
+        return pd.Series(shard_of(id_.to_numpy(np.int64), place.to_numpy(np.int64), borders))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        shard: Column = shard_number(F.coalesce("id", F.lit(NULL_ID)), F.col("place")) if len(borders[0]) else F.lit(0)
+        return df.withColumn("shard", shard).drop("place")
+
     null = F.lit(None)
-    records = rows.select("id", F.lit(1).alias("part"), "url", "payload", null.cast("string").alias("digest"), null.cast("long").alias("refers_to"))
-    marks = revisits(rows).select("id", F.lit(0).alias("part"), null.cast("string").alias("url"), null.cast("binary").alias("payload"), "digest", "refers_to")
-    both = records.unionByName(marks).repartitionByRange(shards, "id").sortWithinPartitions("id", "part", "url", "payload")
-    both = both.withColumn("shard", F.spark_partition_id())
+    records = dealt(rows.select("id", F.lit(1).alias("part"), "url", "payload", null.cast("string").alias("digest"), null.cast("long").alias("refers_to"), place))
+    marks = dealt(revisits(narrow).select("id", F.lit(0).alias("part"), null.cast("string").alias("url"), null.cast("binary").alias("payload"), "digest", "refers_to", "place"))
+    both = records.unionByName(marks).repartitionById(len(borders[0]) + 1, "shard").sortWithinPartitions("id", "part", "url", "payload")
 
     def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = open_fs(target)

@@ -23,14 +23,23 @@ SF = Path("/root/testdata/sf0.001")
 
 
 def tokenizer():
-    t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(TOKENIZER)
 
 
 # ---- packing
 
 
+def test_added_tokens_and_unicode_classes():
+    words, plain = packing.WordTokens(TOKENIZER, RANKS), tokenizer()
+    assert struct.unpack("<I", words.encode("<|endoftext|>")) == (50256,)
+    letters = [chr(c) for c in (0x41, 0xE9, 0x2B0, 0x300, 0x903, 0x20DD, 0x663, 0x2167, 0xBD, 0x203F, 0x2014, 0x28, 0x29, 0xAB, 0xBB, 0x21, 0x2B, 0x20AC, 0x5E, 0xA9, 0xA0, 0x2028, 0x2029, 0x7, 0x200B, 0xE000, 0x4E2D, 0x1F600, 0x85, 0x3000)]
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice([*letters, " ", "<|endoftext|>", "a"], 12)) for _ in range(1500)] + ["x" * 5000, " " * 3000 + "y", "é" * 4000, "1" * 3000, "a <|endoftext|> b<|endoftext|>", "<|endoftext"]
+    for t in texts:
+        i = plain.encode(t, add_special_tokens=False).ids
+        assert words.encode(t) == struct.pack(f"<{len(i)}I", *i), repr(t[:80])
+
+
 @pytest.mark.parametrize("ranks", [None, RANKS])
 def test_words_give_the_texts_ids(ranks):
     words, plain, rng = packing.WordTokens(TOKENIZER, ranks), tokenizer(), np.random.default_rng(1)
@@ -122,11 +131,29 @@ def test_warc_round_trip(spark, tmp_path):
 
 
 def test_warc_files_are_the_same_again(spark, tmp_path):
-    _, df = pages(spark)
-    names = []
-    for n, part in (("a", df), ("b", df.repartition(5))):
-        names.append(sorted((f["name"], f["sha256"]) for f in warc.write(part, f"file://{tmp_path}/{n}", shard_bytes=1 << 20).collect()))
-    assert names[0] == names[1]
+    """Many shards, an id and a payload that a third of the rows have, rows in any order and other partition counts."""
+    rows, _ = pages(spark)
+    rows += [(7, f"u{i}", f"<p>{i} of a hot id</p>" * 3) for i in range(60)] + [(200 + i, "u", "<p>a hot payload</p>" * 4) for i in range(60)] + [(300, "v", "x" * 3_000_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(7) for c in ("id", "place", "shard", "part", "digest", "refers_to", "payload", "size")})
+    other = spark.newSession()
+    other.conf.set("spark.sql.shuffle.partitions", "7")
+    again = other.createDataFrame(rows[::-1], "page_id long, url string, html string").orderBy(F.rand(3)).repartition(5)
+    names = [sorted((f["name"], f["sha256"]) for f in warc.write(part, f"file://{tmp_path}/{n}", shard_bytes=4000).collect()) for n, part in (("a", df), ("b", again))]
+    assert names[0] == names[1] and len({n.split("-")[0] for n, _ in names[0]}) > 10
+    got = warc.read(spark, f"file://{tmp_path}/b").collect()
+    assert len(got) == len(rows) and sum(r["record_type"] == "response" and 200 <= (r["id"] or 0) < 300 for r in got) == 1
+
+
+def test_shard_borders_are_exact(spark, tmp_path):
+    sizes = [1000, 3000, 500, 500, 500, 2500, 100]
+    df = spark.createDataFrame([(i, i, s) for i, s in enumerate(sizes)], "id long, place long, size long")
+    starts, want = np.cumsum([0, *sizes[:-1]]), []
+    for shard in range(1, 4):
+        want += [int(i) for i in np.flatnonzero(starts // 2500 == shard)[:1]]
+    ids, places = warc.shard_borders(df, 2500, 100)
+    assert ids.tolist() == want == places.tolist()
+    assert warc.shard_of(np.arange(7), np.arange(7), (ids, places)).tolist() == (np.searchsorted(want, np.arange(7), "right")).tolist()
+    assert warc.shard_of(np.array([5, 5, 5]), np.array([1, 4, 9]), (np.array([5, 5]), np.array([2, 4]))).tolist() == [0, 2, 2]
 
 
 def test_warc_leaves_out_files_of_lost_attempts(spark, tmp_path):

@@ -80,6 +80,19 @@ def test_quality_ignores_held_out_labels(spark):
     assert scores[0] == scores[1]
 
 
+def test_quality_scores_are_those_of_the_rules_whatever_the_order_of_rows(spark):
+    docs, labels = labelled(spark)
+    scored, model = quality.score_documents(docs, labels)
+    again = quality.score_documents(docs.orderBy(F.rand(5)).repartition(7), labels.repartition(3))[1]
+    assert again == model
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in scored.collect():
+        stats = quality.statistics_of(texts[r["doc_id"]])
+        total = model.intercept + sum(w for rule, w in model.rules if all((stats[f] > t) == above for f, above, t in rule))
+        assert abs(r["score"] - 1 / (1 + np.exp(-total))) < 1e-9
+    assert quality.statistics_of("y" * 3_000_000)[3] > quality.statistics_of("y" * 3_000)[3]
+
+
 def test_quality_edges(spark, awkward, nothing):
     _, labels = labelled(spark, 60)
     rows = quality.score_documents(awkward, labels.limit(0))[0].collect()
@@ -107,6 +120,15 @@ def test_urls_against_python(spark, max_bytes):
     assert url_filter.judge_urls(df.limit(0), url_filter.referral_list(df.limit(0)), rules).count() == 0
 
 
+def test_urls_with_clashing_columns_repeats_and_long_urls(spark):
+    long = "http://long.org/" + "p/" * 300_000
+    rows = [(1, "http://bad.org/p"), (1, "http://bad.org/p"), (2, long), (None, "http://bad.org/p?ref=2"), (3, "http://www.example.com" + "/en" * 3 + "?" + "q" * 500_000)]
+    df = spark.createDataFrame(rows, "host long, url string").withColumns({c: F.lit("x") for c in ("_block", "_key", "_listed", "_id", "_on", "_found", "path", "rule", "verdict", "listed", "filter_hit", "_w0")})
+    out = url_filter.judge_urls(df, url_filter.referral_list(df), (("example.com", "/en/", "block"),), id_col="host").toDF("id", "host", "path", "rule", "verdict", "listed", "hit").collect()
+    assert sorted((str(r["id"]), r["verdict"]) for r in out) == [("1", "block"), ("1", "block"), ("2", "allow"), ("3", "block"), ("None", "block")]
+    assert {len(r["path"]) for r in out if r["id"] == 2} == {600_001}
+
+
 # ---- decontamination
 
 
@@ -276,25 +298,39 @@ def test_secrets_against_plain_patterns(spark):
     docs = [(i, "".join(rng.choice(parts, rng.integers(0, 14)))) for i in range(500)] + [(900, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     base = [r.kind for r in secret_scan.BASE_RULES]
-    rows = secret_scan.scan_versions(df, "doc_id", "text").paths.select("doc_id", secret_scan.span_text(F.filter("spans", lambda s: s["kind"].isin(base))).alias("s"))
+    rows = secret_scan.scan_versions(df, "doc_id", "text").select("doc_id", secret_scan.span_text(F.filter("spans", lambda s: s["kind"].isin(base))).alias("s"))
     got = {r["doc_id"]: r["s"] for r in rows.collect()}
     assert got == {d: secrets_of(t or "") for d, t in docs}
 
 
-def test_ledger_scans_only_what_is_new(spark, awkward, nothing):
-    first = spark.createDataFrame([(1, "token = abcdefgh1"), (2, "token = abcdefgh1"), (3, "x")], "doc_id long, text string")
-    one = secret_scan.scan_versions(first, "doc_id", "text")
-    assert one.scanned.count() == 2 and one.findings.count() == 1 and [r["spans"][0]["kind"] for r in one.paths.where("doc_id < 3").collect()] == ["assign"] * 2
-    planted = one.findings.withColumn("kind", F.lit("from_ledger"))
-    more = first.unionByName(spark.createDataFrame([(4, "secret: ijklmnop")], "doc_id long, text string"))
-    two = secret_scan.scan_versions(more, "doc_id", "text", planted, one.scanned)
-    kinds = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in two.paths.collect()}
-    assert kinds == {1: ["from_ledger"], 2: ["from_ledger"], 3: [], 4: ["assign"]} and two.scanned.count() == 3
-    again = secret_scan.scan_versions(more, "doc_id", "text", one.findings, one.scanned, version="next")
-    assert again.scanned.where("rule_version = 'next'").count() == 3
-    assert secret_scan.scan_versions(awkward, "doc_id", "text").paths.count() == 9
+def test_ledger_scans_only_what_is_new(spark, awkward, nothing, tmp_path):
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, version int, text string")
+    keys = ("doc_id", "version")
+    ledger = secret_scan.BlobLedger(spark, f"file://{tmp_path}/ledger")
+    first = docs([(1, 1, "token = abcdefgh1"), (2, 1, "token = abcdefgh1"), (3, 1, "x")])
+    one = secret_scan.scan_versions(first, keys, "text", ledger)
+    assert ledger.scanned("2").count() == 2 and ledger.findings("2").count() == 1 and [r["spans"][0]["kind"] for r in one.where("doc_id < 3").collect()] == ["assign"] * 2
+    more = first.unionByName(docs([(1, 2, "secret: ijklmnop"), (2, 2, "x")]))
+    two = {(r["doc_id"], r["version"]): [s["kind"] for s in r["spans"]] for r in secret_scan.scan_versions(more, keys, "text", ledger).collect()}
+    assert two == {(1, 1): ["assign"], (2, 1): ["assign"], (3, 1): [], (1, 2): ["assign"], (2, 2): []}
+    runs = ledger.runs("2")
+    new = [spark.read.parquet(f"{r}/scanned").count() for r in runs]
+    assert sorted(new) == [1, 2] and ledger.scanned("2").count() == 3
+    # a run that was lost before its commit does not count: what it had is scanned again
+    (tmp_path / runs[new.index(1)].split("/ledger/")[1].join(["ledger/", "/scanned/_SUCCESS"])).unlink()
+    assert ledger.scanned("2").count() == 2
+    again = {(r["doc_id"], r["version"]): [s["kind"] for s in r["spans"]] for r in secret_scan.scan_versions(more, keys, "text", ledger).collect()}
+    assert again == two and ledger.scanned("2").count() == 3 and len(ledger.runs("2")) == 2
+    secret_scan.scan_versions(more, keys, "text", ledger, version="next")
+    assert ledger.scanned("next").count() == 3 and ledger.scanned("2").count() == 3
+
+
+def test_secret_edges(spark, awkward, nothing):
+    assert secret_scan.scan_versions(awkward, "doc_id", "text").count() == 9
     odd = spark.createDataFrame([(4, "token = abcdefgh1 token = abcdefgh2")] * 2 + [(4, "secret: 123456789"), (None, "api_key=123456789"), (None, "api_key=123456789")], "doc_id long, text string")
-    found = {(r["doc_id"], r["blob"]): [(s["start"], s["end"]) for s in r["spans"]] for r in secret_scan.scan_versions(odd, "doc_id", "text").paths.collect()}
+    found = {(r["doc_id"], r["blob"]): [(s["start"], s["end"]) for s in r["spans"]] for r in secret_scan.scan_versions(odd, "doc_id", "text").collect()}
     assert sorted(found.values()) == [[(0, 17)], [(0, 17)], [(0, 17), (18, 35)]]
-    assert secret_scan.scan_versions(nothing, "doc_id", "text").paths.count() == 0
-    assert hashlib.sha256(b"").hexdigest() in {r["blob"] for r in secret_scan.scan_versions(awkward, "doc_id", "text").scanned.collect()}
+    assert secret_scan.scan_versions(nothing, "doc_id", "text").count() == 0
+    assert hashlib.sha256(b"").hexdigest() in {r["blob"] for r in secret_scan.scan_versions(awkward, "doc_id", "text").collect()}
+    long = spark.createDataFrame([(1, "a" * 2_000_000 + " token=" + "b" * 1_000_000)], "doc_id long, text string")
+    assert [(s["kind"], s["start"]) for r in secret_scan.scan_versions(long, "doc_id", "text").collect() for s in r["spans"]] == [("hex", 0), ("assign", 2_000_001), ("hex", 2_000_007)]
