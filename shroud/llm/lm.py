@@ -55,7 +55,7 @@ def pack(a: np.ndarray) -> bytes:
     a = np.ascontiguousarray(a, "<u8")
     wide = 8 if len(a) and int(a.max()) >> 32 else 4
     planes = a.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T
-    return bytes([wide]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return bytes([wide]) + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(b: bytes) -> np.ndarray:
@@ -288,7 +288,8 @@ def numbered(chunks: DataFrame, words: DataFrame, id_type: str) -> DataFrame:
 
 GRAM_COLUMNS = "history array<binary>, followers binary, n binary, lower_n binary, words binary, counts binary, lowers binary"
 GRAM_PIECE = f"bucket int, chunk long, {GRAM_COLUMNS}"
-GRAMS = f"bucket int, {GRAM_COLUMNS}, cc array<long>, answers array<struct<chunk:long,counts:binary,histories:binary,open:binary>>"
+STORED_GRAMS = f"bucket int, {GRAM_COLUMNS}, cc array<long>"
+GRAMS = f"{STORED_GRAMS}, answers array<struct<chunk:long,counts:binary,histories:binary,open:binary>>"
 NAMES = [c.split()[0] for c in GRAM_COLUMNS.split(", ")]
 
 
@@ -489,7 +490,7 @@ def weights_of(grams: DataFrame, dealt: DataFrame, meta: Meta, off: np.ndarray,
                 yield pd.DataFrame([{"bucket": -1, "history": [pack(c) for c in columns], "weights": zstandard.compress(batch["weight"].to_numpy(np.float64).tobytes(), 1)}])
 
     schema = "bucket int, history array<binary>, weights binary"
-    return grams.drop("answers").mapInPandas(run, schema).unionByName(dealt.mapInPandas(shared, schema))
+    return grams.mapInPandas(run, schema).unionByName(dealt.mapInPandas(shared, schema))
 
 
 # ---- models
@@ -526,7 +527,7 @@ class KatzModel:
                     discounted = kept(off, count)
                     yield pd.DataFrame({"history": pd.Series(list(history), dtype=object), "word": unpack(r.words), "count": count, "discounted": discounted, "probability": discounted / unpack(r.n)[rank]})
 
-        rows = spark.read.schema(GRAMS).parquet(f"{self.path}/grams/order={order}").drop("answers")
+        rows = spark.read.schema(STORED_GRAMS).parquet(f"{self.path}/grams/order={order}")
         return rows.mapInPandas(run, "history array<long>, word long, count long, discounted double, probability double")
 
     def weights(self, spark: SparkSession, order: int) -> DataFrame:
@@ -566,14 +567,17 @@ def _run(docs: DataFrame, train: Column, id_col: str, text_col: str, order: int,
     drop(spark, f"{base}/chunks", f"{base}/words")
     result = None
     for n in range(2, order + 1):
-        at = f"{path}/grams/order={n}" if not model else f"{base}/grams{n}"
-        grams = save(grams_of(now, n, meta, spark.read.schema(GRAMS).parquet(f"{path}/grams/order={n}") if model else None), at, "none")
+        grams = save(grams_of(now, n, meta, spark.read.schema(STORED_GRAMS).parquet(f"{path}/grams/order={n}") if model else None), f"{base}/grams{n}", "none")
         if not model:
             cc = grams.agg(*[F.sum(F.get("cc", F.lit(i))).alias(f"n{i}") for i in range(1, K + 2)]).first()
             meta = Meta(**{**meta.__dict__, "off": (*meta.off, taken_off(np.array([0] + [x or 0 for x in cc])))})
         off, below = meta.off[n - 1], meta.off[n - 2]
         dealt = save(dealt_weights(grams, meta, off, below), f"{base}/dealt{n}")
-        answered = _with_answers(now, save(answers_of(grams, meta, off, below), f"{base}/answers{n}", "none"), dealt)
+        answers = save(answers_of(grams, meta, off, below), f"{base}/answers{n}", "none")
+        answered = _with_answers(now, answers, dealt)
+        if not model:
+            save(grams.drop("answers"), f"{path}/grams/order={n}", "none")
+        drop(spark, f"{base}/grams{n}")
         if n < order:
             now = save(extended(answered, n, meta, id_type), f"{base}/chunks{n}", "none")
         else:
@@ -584,19 +588,19 @@ def _run(docs: DataFrame, train: Column, id_col: str, text_col: str, order: int,
         drop(spark, f"{base}/chunks1")
     if not model:
         for n in range(2, order + 1):
-            grams, dealt = (spark.read.schema(s).parquet(p) for s, p in ((GRAMS, f"{path}/grams/order={n}"), ("history array<long>, weight double", f"{base}/dealt{n}")))
+            grams, dealt = (spark.read.schema(s).parquet(p) for s, p in ((STORED_GRAMS, f"{path}/grams/order={n}"), ("history array<long>, weight double", f"{base}/dealt{n}")))
             save(weights_of(grams, dealt, meta, meta.off[n - 1], meta.off[n - 2]), f"{path}/weights/order={n}", "none")
     return result.withColumnRenamed("id", id_col), model or KatzModel(path, meta)
 
 
 def train_and_score(
-    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 3, chunk_tokens: int = 1 << 20, bucket_tokens: int = 1 << 20
+    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 3, chunk_tokens: int = 3 << 18, bucket_tokens: int = 3 << 18
 ) -> tuple[DataFrame, KatzModel]:
     """(id, n_tokens, n_known, train_tokens, base_score, score) a row of ``docs``, and the model of those for which ``train`` holds."""
     return _run(docs, train, id_col, text_col, order, chunk_tokens, bucket_tokens, None)
 
 
-def score_with(model: KatzModel, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = 1 << 20) -> DataFrame:
+def score_with(model: KatzModel, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = 3 << 18) -> DataFrame:
     """The same columns for documents that took no part in training, by the stored tables."""
     return _run(docs, F.lit(False), id_col, text_col, model.meta.order, chunk_tokens, 4 * model.meta.limit, model)[0]
 
