@@ -183,11 +183,12 @@ def brute_pipeline(spark, docs, labels, items):
     simhash.merge(parent, a, b)
     kept = [kept[i] for i in sorted({int(p) for p in parent})]
     kept = [(d, t) for d, t in kept if not any(i and i in t for i in items)]
-    counts = defaultdict(int)
+    counts, sample = defaultdict(int), []
     for _, t in kept:
-        for *_, key in pii.spans_of(t):
+        for _, kind, _, key, found in pii.spans_of(t):
             counts[key] += 1
-    redact = pii.redactor(pii.fit(dict(counts)))
+            sample += [(key, found)] if kind >= len(pii.BASE_KINDS) else []
+    redact = pii.redactor(pii.fit(dict(counts), sorted(sample)))
     return {d: redact(t) for d, t in kept}
 
 
