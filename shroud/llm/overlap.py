@@ -1,10 +1,15 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles.
-
-Texts with the same set of shingles are one node. Shingle hashes are dealt by hash into parts, and a
-part keeps those that at least two nodes hold. A node with a partner at ``least`` shares at least that share of its
-shingles, so nodes with fewer shared ones are done. Of the others, each in the global order from the rarest
-shingle on, the first ``n - ceil(least * n) + 1`` hold one in common with every partner: nodes meet by these, and
-each proposed pair is confirmed by its exact intersection, so no pair is missed and none is linked wrongly.
+"""Near-duplicates of a stated Jaccard similarity: SimHash proposes, exact word shingles decide.
+
+Texts with the same set of shingles are one node. Nodes get a SimHash fingerprint over the same
+shingles, and the Gray-order index of ``simhash`` links those within ``radius`` bits; a node is
+compared with the representative that its links lead to, and pairs that the exact comparison
+confirms make the first components. Fingerprints alone miss part of the
+pairs at the limit, so an exact join follows for what they left apart: shingle hashes are dealt by
+hash into parts, and a part keeps those that at least two nodes hold. A node with a partner at
+``least`` shares at least that share of its shingles, so nodes with fewer shared ones are done. Of
+the others, each in the global order from the rarest shingle on, the first ``n - ceil(least * n) + 1``
+hold one in common with every partner: nodes meet by these, and each proposed pair is confirmed by
+its exact intersection, so no pair is missed and none is linked wrongly.
 
 Nodes are first compared with one representative of each shingle, so a large group of near copies
 becomes one component from a few pairs a member; all pairs that are still in different components
@@ -26,7 +31,8 @@ from pyspark.sql import functions as F
 
 from shroud.llm.components import components
 from shroud.llm.scratch import write_table
-from shroud.llm.simhash import keep_least, shingle_hashes
+from shroud.llm.simhash import fingerprint, keep_least, shingle_hashes
+from shroud.llm.simhash import link as gray_links
 
 #: Rounding of ``least * n``; limits are lowered by it, and the exact test decides.
 SLACK = 1e-9
@@ -39,15 +45,26 @@ def shingle_set(text: str | None, words: int, seed: int) -> tuple[int, np.ndarra
 
 
 def nodes(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int) -> DataFrame:
-    """(id, node) a row of ``docs``."""
+    """(id, node, fp) a row of ``docs``; ``fp`` is the fingerprint of the node's distinct shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            node = [shingle_set(t, words, seed)[0] for t in batch["_text"]]
-            yield pd.DataFrame({"_id": batch["_id"], "node": np.array(node, np.uint64).view(np.int64)})
+            sets = [shingle_set(t, words, seed) for t in batch["_text"]]
+            node, fp = (np.array(x, np.uint64).view(np.int64) for x in ([n for n, _ in sets], [fingerprint(h) for _, h in sets]))
+            yield pd.DataFrame({"_id": batch["_id"], "node": node, "fp": fp})
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(run, f"_id {rows.schema['_id'].dataType.simpleString()}, node long")
+    return rows.mapInPandas(run, f"_id {rows.schema['_id'].dataType.simpleString()}, node long, fp long")
+
+
+def proposed_pairs(rows: DataFrame, radius: int) -> DataFrame:
+    """(a, b): pairs that connect all nodes whose fingerprints lie within ``radius`` bits, by the Gray-order index."""
+    prints = rows.select("node", "fp").distinct()
+    codes = write_table(prints.groupBy("fp").agg(F.min("node").alias("rep")), "codes")
+    same = prints.join(codes, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    side = lambda x: codes.select(F.col("fp").alias(f"fp_{x}"), F.col("rep").alias(x))
+    near = gray_links(codes.select("fp"), radius).toDF("fp_a", "fp_b").join(side("a"), "fp_a").join(side("b"), "fp_b")
+    return same.unionByName(near.select("a", "b")).distinct()
 
 
 def shared_shingles(docs: DataFrame, text_col: str, words: int, seed: int, part_chars: int = 16 << 20) -> DataFrame:
@@ -101,20 +118,20 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common")) >= least).select("a", "b")
 
 
-def link(docs: DataFrame, text_col: str, words: int, least: float, seed: int, stars: int = 2) -> DataFrame:
-    """(node, root) of every node that has a partner."""
+def link(docs: DataFrame, text_col: str, words: int, least: float, seed: int, proposed: DataFrame, stars: int = 1) -> DataFrame:
+    """(node, root) of every node that has a partner; pairs ``proposed`` are compared first."""
     need = F.ceil(F.col("n") * least - SLACK)
     held = shared_shingles(docs, text_col, words, seed).groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "hash"))).alias("h"))
     sets = write_table(held.where(F.size("h") >= need).select("node", "n", F.col("h.hash").alias("shared")), "shared")
     first = F.slice("shared", 1, (F.size("shared") - need + 1).cast("int"))
     tokens = write_table(sets.select("node", "n", F.explode(first).alias("token")), "tokens")
     near = F.least("n", "m") >= F.greatest("n", "m") * least - SLACK
-    edges, roots = None, None
+    edges = write_table(confirmed(proposed, sets, least), "pairs")
     for i in range(stars):
         heads = tokens.groupBy("token").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(i))).alias("head"))
         pairs = tokens.join(heads.select("token", F.col("head.node").alias("b"), F.col("head.n").alias("m")), "token").where((F.col("node") != F.col("b")) & near)
         found = confirmed(pairs.select(F.col("node").alias("a"), "b").distinct(), sets, least)
-        edges = write_table(found if edges is None else edges.unionByName(found).distinct(), "pairs")
+        edges = write_table(edges.unionByName(found).distinct(), "pairs")
     roots = components(edges)
     rooted = tokens.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = write_table(rooted.groupBy("token", "root").agg(F.collect_list(F.struct("node", "n")).alias("g")), "groups")
@@ -124,17 +141,17 @@ def link(docs: DataFrame, text_col: str, words: int, least: float, seed: int, st
     return components(edges.unionByName(confirmed(pairs, sets, least)))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = 3, seed: int = 42) -> DataFrame:
     """(id, component_id) a row of ``docs``; ``component_id`` is the smallest id of its component."""
     rows = write_table(nodes(docs, id_col, text_col, words, seed), "nodes")
     smallest = rows.groupBy("node").agg(F.min("_id").alias("least"))
-    roots = link(docs, text_col, words, least, seed)
+    roots = link(docs, text_col, words, least, seed, proposed_pairs(rows, radius))
     joined = write_table(smallest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
     components_ = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = joined.select("node", "root").join(components_, "root").select("node", "component_id")
     return rows.join(of_node, "node").select(F.col("_id").alias(id_col), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = 3, seed: int = 42) -> DataFrame:
     """``docs`` with the smallest id of each component, once; rows with a null id cannot be told apart and stay."""
-    return keep_least(docs, write_table(near_duplicates(docs, id_col, text_col, words, least, seed), "groups"), id_col)
+    return keep_least(docs, write_table(near_duplicates(docs, id_col, text_col, words, least, radius, seed), "groups"), id_col)

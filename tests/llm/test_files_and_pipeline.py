@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from shroud.llm import packing, pii, queries, quality, simhash, warc
+from shroud.llm import packing, pii, queries, quality, warc
+from test_overlap import brute_components
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -177,11 +178,8 @@ def brute_pipeline(spark, docs, labels, items):
     model = quality.train(named, labels)
     good = {r["doc_id"] for r in named.where(model.score(F.col("stats")) >= 0.5).collect()}
     kept = [(d, t) for d, t in docs if d in good]
-    prints = np.array([simhash.fingerprint(simhash.shingle_hashes(t, 3, 42)) for _, t in kept], np.uint64)
-    parent = np.arange(len(kept))
-    a, b = np.nonzero(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= corpus_pipeline.RADIUS)
-    simhash.merge(parent, a, b)
-    kept = [kept[i] for i in sorted({int(p) for p in parent})]
+    least = brute_components(kept)
+    kept = [(d, t) for d, t in kept if least[d] == d]
     kept = [(d, t) for d, t in kept if not any(i and i in t for i in items)]
     counts, sample = defaultdict(int), []
     for _, t in kept:

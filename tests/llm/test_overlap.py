@@ -12,8 +12,12 @@ def shingles(text):
 
 
 def brute_components(docs, least=0.8):
-    """Least id of each component of all pairs by plain Jaccard."""
+    """Least id of each component of all pairs by plain Jaccard; a pair without a common shingle is not looked at."""
     sets, of = [shingles(t) for _, t in docs], list(range(len(docs)))
+    holders = {}
+    for i, s in enumerate(sets):
+        for x in s or [None]:
+            holders.setdefault(x, []).append(i)
 
     def find(x):
         while of[x] != x:
@@ -21,7 +25,8 @@ def brute_components(docs, least=0.8):
         return x
 
     for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
+        for j in {k for x in a or [None] for k in holders[x] if k < i}:
+            b = sets[j]
             if a == b or len(a & b) / len(a | b) >= least:
                 x, y = find(i), find(j)
                 of[max(x, y)] = min(x, y)
@@ -69,3 +74,27 @@ def test_stage_drops_edited_copies_only(spark):
     want = {c for d, c in brute_components(docs).items()}
     kept = corpus_pipeline.dedup_stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
     assert {r["doc_id"] for r in kept.collect()} == want == {3 * i for i in range(30)} | {3 * i + 2 for i in range(30)}
+
+
+def test_proposals_are_those_of_the_gray_index(spark):
+    """Proposed pairs connect the nodes within the radius, and no others."""
+    docs = edited_documents()
+    rows = overlap.nodes(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", 5, 42)
+    fp = {r["node"]: np.int64(r["fp"]).view(np.uint64) for r in rows.collect()}
+    of = {n: n for n in fp}
+
+    def find(x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    pairs = [(r["a"], r["b"]) for r in overlap.proposed_pairs(rows, 3).collect()]
+    for a, b in pairs:
+        of[find(a)] = find(b)
+    proposed = {n: find(n) for n in fp}
+    of = {n: n for n in fp}
+    for a in fp:
+        for b in fp:
+            if int(fp[a] ^ fp[b]).bit_count() <= 3:
+                of[find(a)] = find(b)
+    assert pairs and all((proposed[a] == proposed[b]) == (find(a) == find(b)) for a in fp for b in fp)
