@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 from shroud.llm import decontam, overlap, packing, pii, quality
 from shroud.llm.scratch import write_table
 
-STATS = "__statistics"
 #: Words of a shingle, and the Jaccard similarity of shingle sets from which documents are near copies.
 WORDS, SIMILARITY = 5, 0.8
-#: Bits by which fingerprints of near copies may differ; the stage does not use them, tests compare with them.
+#: Bits by which the fingerprints of pairs that the SimHash index proposes may differ; an exact join finds the rest.
 RADIUS = 3
 
 
@@ -23,13 +22,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Keep documents that the rule ensemble, trained on labels that aren't held out, does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs.select("doc_id", quality.statistics(F.col("text")).alias("stats")), labels)
-    scored = docs.withColumn(STATS, quality.statistics(F.col("text")))
-    return scored.where(model.score(F.col(STATS)) >= 0.5).select(docs.columns)
+    stats = "statistics"
+    while stats in docs.columns:
+        stats += "_"
+    scored = docs.withColumn(stats, quality.statistics(F.col("text")))
+    return scored.where(model.score(F.col(stats)) >= 0.5).select(docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each group of near copies; rows without an id stay."""
-    return overlap.deduplicate(docs, words=WORDS, least=SIMILARITY)
+    return overlap.deduplicate(docs, words=WORDS, least=SIMILARITY, radius=RADIUS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
