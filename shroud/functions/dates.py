@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shroud.functions.numeric import strip
 
+# Layouts of dates.
 ISO = r"^((?:19|20)\d{2})-(\d{1,2})-(\d{1,2})(?:[ T](\d{1,2}):(\d{2})(?::(\d{2}))?(?:\s*([AaPp][Mm]))?)?$"
 SEPARATED = r"^(\d{1,2})([/\-.])(\d{1,2})\2(\d{4}|\d{2})(?:[ T](\d{1,2}):(\d{2})(?::(\d{2}))?(?:\s*([AaPp][Mm]))?)?$"
 BLANK = r"^[\s/.\-:]*$"
@@ -35,37 +36,43 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def parse_date(c: Column, locale: str = "MDY") -> Column:
+def parse_date(c: Column, locale: str | None = "MDY") -> Column:
     """struct<d: date, fmt: iso | mdy | dmy, has_time: boolean, ampm: string>, null if there is none.
 
     ISO; then day and month with one separator, told apart where one is over 12 and by ``locale``
-    else; then 8, 7 or 6 digits in the locale's order, 8 digits as year first at last. The time of
-    day is not kept, only that there was one.
+    else; then 8, 7 or 6 digits in the locale's order, 8 digits as year first at last. Without a
+    locale a value that leaves the order open is null, but for 6 digits, which are day first. The
+    time of day is not kept, only that there was one.
     """
     return let(strip(c), lambda s: F.when(s.rlike(r"^\d"), _parsed(s, locale)))
 
 
-def _parsed(s: Column, locale: str) -> Column:
+def _parsed(s: Column, locale: str | None) -> Column:
+    no_date = F.lit(None).cast("date")
     other = "MDY" if locale == "DMY" else "DMY"
 
     def separated(p: Column) -> Column:
         both_over = (p["a"] > 12) & (p["b"] > 12)
-        day_first = F.when(p["a"] > 12, True).when(p["b"] > 12, False).otherwise(F.lit(locale == "DMY"))
+        day_first = F.when(p["a"] > 12, True).when(p["b"] > 12, False).otherwise(F.lit(locale == "DMY" if locale else None).cast("boolean"))
         ymd = let(day_first, lambda f: F.struct(_ymd(p["y"], F.when(f, p["b"]).otherwise(p["a"]), F.when(f, p["a"]).otherwise(p["b"])).alias("d"), F.when(f, "dmy").otherwise("mdy").alias("fmt")))
-        return F.when(~both_over, ymd)
+        return F.when(~both_over & day_first.isNotNull(), ymd)
 
     def digits(first: int, second: int, order: str) -> Column:
         p = F.substring(s, 1, first).try_cast("int"), F.substring(s, first + 1, second).try_cast("int")
         year = expand_year(F.substring(s, first + second + 1, 4).try_cast("int"))
         return _ymd(year, p[1], p[0]) if order == "DMY" else _ymd(year, p[0], p[1])
 
+    def only_reading() -> Column:
+        found = F.array_distinct(F.array_compact(F.array(*[digits(a, 3 - a, order) for a in (1, 2) for order in ("MDY", "DMY")])))
+        return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+
     first_over, second_over = F.substring(s, 1, 2).try_cast("int") > 12, F.substring(s, 3, 2).try_cast("int") > 12
-    by_part = F.when(first_over & second_over, F.lit(None).cast("date")).when(first_over, digits(2, 2, "DMY")).when(second_over, digits(2, 2, "MDY")).otherwise(digits(2, 2, locale))
+    by_part = F.when(first_over & second_over, F.lit(None).cast("date")).when(first_over, digits(2, 2, "DMY")).when(second_over, digits(2, 2, "MDY")).otherwise(digits(2, 2, locale) if locale else no_date)
     year_first = _ymd(F.substring(s, 1, 4).try_cast("int"), F.substring(s, 5, 2).try_cast("int"), F.substring(s, 7, 2).try_cast("int"))
     compact = (
         F.when(F.length(s) == 8, F.coalesce(by_part, year_first))
-        .when(F.length(s) == 7, F.coalesce(digits(1, 2, locale), digits(2, 1, locale)))
-        .when(F.length(s) == 6, F.coalesce(digits(2, 2, locale), digits(2, 2, other)))
+        .when(F.length(s) == 7, F.coalesce(digits(1, 2, locale), digits(2, 1, locale)) if locale else only_reading())
+        .when(F.length(s) == 6, F.coalesce(digits(2, 2, locale or "DMY"), digits(2, 2, other if locale else "MDY")))
     )
     iso_day = _ymd(_part(s, ISO, 1), _part(s, ISO, 2), _part(s, ISO, 3))
     parts = F.struct(_part(s, SEPARATED, 1).alias("a"), _part(s, SEPARATED, 3).alias("b"), expand_year(_part(s, SEPARATED, 4)).alias("y"))
@@ -75,6 +82,12 @@ def _parsed(s: Column, locale: str) -> Column:
     return let(day, lambda x: F.when(x["d"].isNotNull(), F.struct(x["d"].alias("d"), x["fmt"].alias("fmt"), has_time.alias("has_time"), ampm.alias("ampm"))))
 
 
+def is_ambiguous(c: Column) -> Column:
+    """A date under some order of day and month, and none without one."""
+    some = parse_date(c, "MDY").isNotNull() | parse_date(c, "DMY").isNotNull()
+    return F.coalesce(parse_date(c, None).isNull() & some, F.lit(False))
+
+
 def format_date(d: Column, fmt: Column, has_time: Column, ampm: Column) -> Column:
     """ISO zero-padded, the others without padding and with slashes; a time slot is written empty."""
     text = F.when(fmt == "mdy", F.date_format(d, "M/d/yyyy")).when(fmt == "dmy", F.date_format(d, "d/M/yyyy")).otherwise(F.date_format(d, "yyyy-MM-dd"))
@@ -82,17 +95,17 @@ def format_date(d: Column, fmt: Column, has_time: Column, ampm: Column) -> Colum
     return F.concat(text, slot)
 
 
-def shift_date(c: Column, days: Column, locale: str = "MDY") -> Column:
+def shift_date(c: Column, days: Column, locale: str | None = "MDY") -> Column:
     """The date moved by ``days`` in its own layout; null where the text is no date."""
     return let(parse_date(c, locale), lambda p: F.when(p.isNotNull(), let(F.date_add(p["d"], days), lambda d: format_date(d, p["fmt"], p["has_time"], p["ampm"]))))
 
 
-def is_sentinel(c: Column, locale: str = "MDY") -> Column:
+def is_sentinel(c: Column, locale: str | None = "MDY") -> Column:
     """All nines or all zeros, and no date."""
-    return F.regexp_replace(c, r"\D", "").rlike("^(9+|0+)$") & parse_date(c, locale).isNull()
+    return F.regexp_replace(c, r"\D", "").rlike("^(9+|0+)$") & parse_date(c, locale or "MDY").isNull()
 
 
-def is_placeholder(c: Column, locale: str = "MDY", tokens: tuple[str, ...] = NULL_TOKENS) -> Column:
+def is_placeholder(c: Column, locale: str | None = "MDY", tokens: tuple[str, ...] = NULL_TOKENS) -> Column:
     """Blank, a token for a missing date, or a sentinel: kept as it is."""
     sentinel = F.when(c.rlike(r"^[09\D]*$"), is_sentinel(c, locale)).otherwise(False)
     return F.coalesce(c.rlike(BLANK) | F.upper(strip(c)).isin(*tokens) | sentinel, F.lit(True))

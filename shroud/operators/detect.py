@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shroud.functions.patterns import SPAN_RULES, Pattern, matches
+from shroud.functions.numeric import luhn_valid
+from shroud.functions.patterns import SPAN_RULES, Pattern, match_count, may_match
 
 SPAN = T.StructType(
     [
@@ -26,30 +25,39 @@ SPAN = T.StructType(
 SPANS = T.ArrayType(SPAN)
 
 
-def _luhn(digits: str) -> bool:
-    doubled = [int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))]
-    return sum(doubled) % 10 == 0
+def _spans_of(rule: Pattern, text: Column, confidence: float) -> Column:
+    """Matches with offsets: what lies between two matches and the matches themselves add up to places."""
+    gaps = F.transform(F.split(text, rule.regex, -1), lambda g: F.length(g))
+    found = F.zip_with(gaps, F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0)), lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(spans_type()).alias("out"))
 
+    def step(acc: Column, x: Column) -> Column:
+        begin, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + F.length(x["m"])
+        span = F.struct(
+            begin.alias("start"), end.alias("end"), x["m"].alias("value"), F.lit(rule.name).alias("entity"), F.lit(rule.category).alias("category"), F.lit(confidence).alias("confidence"), F.lit(True).alias("is_rule")
+        ).cast(SPAN.simpleString())
+        counts = x["m"].isNotNull()
+        if rule.luhn_prefix is not None:
+            counts = counts & luhn_valid(F.concat(F.lit(rule.luhn_prefix), x["m"]))
+        return F.struct(F.coalesce(end, begin).alias("at"), F.when(counts, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-def rule_spans(text: str | None, rules: Sequence[Pattern] = SPAN_RULES, confidence: float = 0.99) -> list[dict]:
-    """Matches of every rule in a text, whole match as value."""
-    out = []
-    for r in rules if text else ():
-        for m in re.finditer(r.regex, text):
-            if r.luhn_prefix is None or _luhn(r.luhn_prefix + m[0]):
-                out.append({"start": m.start(), "end": m.end(), "value": m[0], "entity": r.name, "category": r.category, "confidence": confidence, "is_rule": True})
-    return out
+    return F.when(may_match(rule, text) & text.rlike(rule.regex), F.aggregate(found, start, step)["out"]).otherwise(F.array().cast(spans_type()))
 
 
-@F.pandas_udf(SPANS)
-def detect_spans(text: pd.Series) -> pd.Series:
-    """Offsets of matches have no built-in; texts cross to Python in batches."""
-    return text.map(rule_spans)
+def detect_spans(text: Column, rules: Sequence[Pattern] = SPAN_RULES, confidence: float = 0.99) -> Column:
+    """Spans of every rule, whole match as value, by built-in functions only; a null text has none."""
+    return F.flatten(F.array(*[_spans_of(r, text, confidence) for r in rules]))
+
+
+def union_spans(*found: Column) -> Column:
+    """Spans of several detectors, settled as one list."""
+    return merge_spans(F.concat(*[F.coalesce(f, F.array().cast(spans_type())) for f in found]))
 
 
 def merge_spans(spans: Column) -> Column:
     """Overlaps settled from left to right: with the first kept span of the same category, or of which
-    60 % of the shorter overlaps, the one with the higher confidence stays, rules before others."""
+    60 % of the shorter overlaps, the one with the higher confidence stays, rules before others; one
+    that takes another's place is compared last with what follows. The result is in order of start."""
     ordered = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), s.alias("s")))
     ordered = F.transform(F.array_sort(ordered), lambda o: o["s"])
 
@@ -64,10 +72,11 @@ def merge_spans(spans: Column) -> Column:
 
         first = F.get(F.filter(kept, clashes), F.lit(0))
         better = (s["confidence"] > first["confidence"]) | ((s["confidence"] == first["confidence"]) & s["is_rule"] & ~first["is_rule"])
-        replaced = F.transform(kept, lambda k: F.when((k["start"] == first["start"]) & (k["end"] == first["end"]) & (k["entity"] == first["entity"]), s).otherwise(k))
+        same = lambda k: (k["start"] == first["start"]) & (k["end"] == first["end"]) & (k["entity"] == first["entity"])
+        replaced = F.concat(F.filter(kept, lambda k: ~same(k)), F.array(s))
         return F.when(first.isNull(), F.concat(kept, F.array(s))).when(better, replaced).otherwise(kept)
 
-    return F.aggregate(ordered, F.array().cast(spans_type()), step)
+    return F.array_sort(F.aggregate(ordered, F.array().cast(spans_type()), step))
 
 
 def spans_type() -> str:
@@ -108,4 +117,4 @@ def replace_in_order(text: Column, rules: Sequence[Pattern]) -> Column:
 
 def match_counts(text: Column, rules: Sequence[Pattern]) -> list[Column]:
     """Number of matches a rule, as built-in expressions."""
-    return [F.size(matches(r, text)).alias(r.name) for r in rules]
+    return [match_count(r, text).alias(r.name) for r in rules]

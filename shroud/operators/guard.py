@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shroud.functions.patterns import BLOCKING, GUARD_US, SUBJECT_ID, WARN, Pattern, fires
+from shroud.functions.patterns import BLOCKING, GUARD_US, SUBJECT_ID, WARN, Pattern, fires, is_hit
 from shroud.functions.text import mask_sample, opaque_token
 
 #: What ends a line of text: also form feeds, separators and next-line characters.
@@ -16,18 +16,18 @@ LINES = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 def hit_flags(text: Column, patterns: Sequence[Pattern] = BLOCKING) -> list[Column]:
     """One boolean a pattern."""
-    return [F.coalesce(text.rlike(p.regex), F.lit(False)).alias(p.name) for p in patterns]
+    return [is_hit(p, text).alias(p.name) for p in patterns]
 
 
 def count_hits(df: DataFrame, text: Column, by: Sequence[str], patterns: Sequence[Pattern] = BLOCKING) -> DataFrame:
     """Rows with a hit of each pattern, by group, in one scan."""
-    flags = [F.sum(F.coalesce(text.rlike(p.regex), F.lit(False)).cast("long")).alias(p.name.lower()) for p in patterns]
+    flags = [F.sum(is_hit(p, text).cast("long")).alias(p.name.lower()) for p in patterns]
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), *flags)
 
 
 def gate(df: DataFrame, text: Column, allowed: Column | None = None) -> DataFrame:
     """Rows with ``blocked`` and ``warned``: the names of patterns hit, sorted; warnings spare allowed texts."""
-    names = lambda patterns: F.array_sort(F.array_compact(F.array(*[F.when(text.rlike(p.regex), F.lit(p.name)) for p in patterns])))
+    names = lambda patterns: F.array_sort(F.array_compact(F.array(*[F.when(is_hit(p, text), F.lit(p.name)) for p in patterns])))
     warned = names(WARN)
     if allowed is not None:
         warned = F.when(allowed, F.array().cast("array<string>")).otherwise(warned)
@@ -45,7 +45,7 @@ def tree_findings(df: DataFrame, date_columns: frozenset[str] = frozenset(), pat
                 checks.append((c, p))
     if not checks:
         return df.sparkSession.createDataFrame([], "column string, pattern string")
-    hits = df.agg(*[F.bool_or(F.coalesce(F.col(f"`{c}`").rlike(p.regex), F.lit(False))).alias(f"h{i}") for i, (c, p) in enumerate(checks)])
+    hits = df.agg(*[F.bool_or(is_hit(p, F.col(f"`{c}`"))).alias(f"h{i}") for i, (c, p) in enumerate(checks)])
     found = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(p.name).alias("pattern"), F.col(f"h{i}").alias("hit")) for i, (c, p) in enumerate(checks)])
     return hits.select(F.explode(found).alias("f")).where("f.hit").select("f.column", "f.pattern")
 

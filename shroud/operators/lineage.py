@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -12,15 +12,22 @@ def manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def bucket_digests(df: DataFrame, key: Column, line: Column, bits: int = 8) -> DataFrame:
-    """(bucket, n, digest): sorted lines of each hash bucket of the key, so no task holds them all."""
+def bucket_digests(df: DataFrame, key: Column, line: Column, bits: int | None = None, bucket_rows: int = 1 << 16) -> DataFrame:
+    """(bucket, n, digest): sorted lines of each hash bucket of the key, so no task holds them all.
+
+    Without ``bits`` there are as many buckets, 256 at least, as keep them at about ``bucket_rows`` lines.
+    """
+    if bits is None:
+        n, bits = df.count(), 8
+        while n >> bits > bucket_rows:
+            bits += 4
     rows = df.select(F.substring(F.sha2(key, 256), 1, bits // 4).alias("bucket"), key.alias("key"), F.sha2(line, 256).alias("line"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("key", "line"))), lambda s: F.concat_ws("\t", s["key"], s["line"]))
     return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
 
 
 def table_digest(buckets: DataFrame) -> DataFrame:
-    """One row: the digest of the bucket digests, of which there are a fixed number."""
+    """One row: the digest of the bucket digests, of which there is one for about 65,000 lines."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda s: F.concat_ws("\t", s["bucket"], s["digest"]))
     return buckets.agg(F.sum("n").alias("n"), F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
 
@@ -51,7 +58,11 @@ def is_fresh(recorded: DataFrame, current: DataFrame) -> bool:
 
 def chain_faults(events: DataFrame, run: str = "run_id", seq: str = "seq") -> DataFrame:
     """Events whose previous hash is not the hash of the event before."""
-    from pyspark.sql import Window
-
     before = F.lag("hash").over(Window.partitionBy(run).orderBy(seq))
     return events.withColumn("_before", before).where("_before is not null and not (_before <=> prev_hash)").drop("_before")
+
+
+def hash_faults(events: DataFrame, payload: list[str], hash_col: str = "hash", prev: str = "prev_hash") -> DataFrame:
+    """Events whose stored hash is not that of their previous hash and payload."""
+    again = F.sha2(F.concat_ws("|", F.coalesce(F.col(prev), F.lit("")), *payload), 256)
+    return events.where(~F.col(hash_col).eqNullSafe(again))

@@ -42,7 +42,8 @@ class ScrubConfig:
     small_cell_threshold: int = 5
     max_jitter_days: int = 30
     plausible_max_year: int = 2026
-    date_locale: str = "MDY"
+    date_locale: str | None = None  # order of day and month where a value leaves it open; None: such rows are held back
+    date_locales: Mapping[str, str] = field(default_factory=dict)  # column name -> MDY or DMY
     future_date_policy: str = "sentinel"  # or quarantine
     unparseable_date_policy: str = "blank"  # or quarantine
     safe_harbor: bool = True
@@ -56,6 +57,9 @@ class ScrubConfig:
                 raise ValueError(f"{name} must be one of {allowed}")
         if not self.subject_id_fields:
             raise ValueError("subject_id_fields is empty")
+        for locale in (self.date_locale, *self.date_locales.values()):
+            if locale not in (None, "MDY", "DMY"):
+                raise ValueError(f"unknown date locale {locale}")
 
 
 def _any(patterns: Sequence[str], name: str) -> bool:
@@ -84,16 +88,24 @@ def subject_column(columns: Sequence[str], candidates: Sequence[str]) -> Column:
     return F.coalesce(*cells) if cells else F.lit(None).cast("string")
 
 
+def _is_life_date(config: ScrubConfig, name: str) -> bool:
+    """A date of birth or death: where it is not dropped it is moved like any date, whatever ``date_fields`` says."""
+    return bool(config.birthdate_field and re.search(config.birthdate_field, name, re.I)) or _any(config.death_date_fields, name)
+
+
 def _is_date(config: ScrubConfig, name: str) -> bool:
-    return _any(config.date_fields, name)
+    return _any(config.date_fields, name) or _is_life_date(config, name)
+
+
+def column_locale(config: ScrubConfig, name: str) -> str | None:
+    """The column's own order of day and month, else the study's."""
+    return {k.upper(): v for k, v in config.date_locales.items()}.get(name.upper(), config.date_locale)
 
 
 def rung(config: ScrubConfig, name: str, columns: Sequence[str], key: bytes, subject: Column) -> Rung:
     """The rule that decides on a column of this schema."""
     c = F.col(f"`{name}`").cast("string")
     blank = numeric.is_blank(c)
-    if name.startswith("__"):
-        return Rung("internal", F.col(f"`{name}`"))
     if text.normalize_name(name) in config.suppress_headers:
         return Rung("force_drop", None)
     if _any(config.keep_fields, name) and not _is_date(config, name):
@@ -121,8 +133,9 @@ def rung(config: ScrubConfig, name: str, columns: Sequence[str], key: bytes, sub
     if _any(config.small_cell_fields, name):
         return Rung("small_cell", numeric.clamp(c, config.small_cell_threshold), counted=numeric.coerce_numeric(c) > config.small_cell_threshold)
     if _is_date(config, name):
-        stay = dates.is_placeholder(c, config.date_locale)
-        parsed = dates.parse_date(c, config.date_locale)
+        locale = column_locale(config, name)
+        stay = dates.is_placeholder(c, locale)
+        parsed = dates.parse_date(c, locale)
         future = F.year(parsed["d"]) > config.plausible_max_year
         days = hashing.offset_days(key, subject, config.max_jitter_days)
 
@@ -136,6 +149,8 @@ def rung(config: ScrubConfig, name: str, columns: Sequence[str], key: bytes, sub
             fails = fails | (~stay & F.coalesce(future, F.lit(False)))
         if config.unparseable_date_policy == "quarantine":
             fails = fails | (~stay & parsed.isNull())
+        elif locale is None:
+            fails = fails | (~stay & dates.is_ambiguous(c))
         return Rung("date", value, fails, ~stay & parsed.isNotNull() & ~future)
     if (p := _first(config.id_fields, name)) is not None:
         return Rung("id", F.when(blank, c).otherwise(hashing.record_token(key, config.id_fields[p], numeric.strip(c))), counted=~blank)
@@ -159,6 +174,8 @@ def scrub(df: DataFrame, config: ScrubConfig, key: bytes) -> ScrubPlan:
     Rows that carry the marker pass untouched.
     """
     columns = [c for c in df.columns if c != MARKER]
+    if taken := {"__subject", "__done", "__disposition"} & set(columns):
+        raise ValueError(f"reserved column names: {sorted(taken)}")
     subject = F.col("__subject")
     flagged = df.withColumn("__subject", subject_column(columns, config.subject_id_fields))
     rungs = {c: rung(config, c, columns, key, subject) for c in columns}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,18 +45,30 @@ def pseudonym_faults(pairs: DataFrame, source: str, token: str) -> DataFrame:
     return split.unionByName(merged)
 
 
-def leak_tokens(cells: DataFrame, cell_id: str, text: str, literals: DataFrame, literal: str, least: int = 4) -> DataFrame:
-    """(cell id, literal): literals of one token that a cell holds, by an equi-join on distinct tokens."""
+#: A set of so many short literals or passages is sent to all tasks; a larger one meets the cells by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def leak_tokens(cells: DataFrame, cell_id: str, text: str, literals: DataFrame, literal: str, least: int = 4, most: int = 256) -> DataFrame:
+    """(cell id, literal): literals of one token that a cell holds, by an equi-join on distinct tokens.
+
+    Literals have ``least`` to ``most`` characters, so a set below ``BROADCAST_ROWS`` has a bounded size.
+    """
     words = cells.select(F.col(cell_id).alias("id"), F.explode(F.array_distinct(F.split(F.lower(F.col(text)), TOKEN))).alias("token")).where(F.length("token") >= least)
-    wanted = literals.select(F.lower(F.col(literal)).alias("token")).where(~F.col("token").rlike(TOKEN) & (F.length("token") >= least)).distinct()
-    return words.join(wanted, "token").select("id", F.col("token").alias("literal"))
+    wanted = literals.select(F.lower(F.col(literal)).alias("token")).where(~F.col("token").rlike(TOKEN) & F.length("token").between(least, most)).distinct()
+    return words.join(_small(wanted), "token").select("id", F.col("token").alias("literal"))
 
 
-def leak_passages(cells: DataFrame, cell_id: str, text: str, passages: DataFrame, passage: str, block: int = 1000) -> DataFrame:
+def leak_passages(cells: DataFrame, cell_id: str, text: str, passages: DataFrame, passage: str, block: int = 50_000) -> DataFrame:
     """(cell id, passage): passages that a cell contains, lower-cased.
 
-    Cells and passages meet by the longest word inside the passage, and only those pairs are
-    searched. Passages without an inner word are searched in blocks of ``block``, however many.
+    Cells and passages meet by the longest word inside the passage; ids and words travel alone, and
+    the texts of ids that met are searched. Passages without an inner word are searched by one pass
+    of an automaton over the texts for every ``block`` of them.
     """
     wanted = passages.select(F.lower(F.col(passage)).alias("passage")).where("length(passage) > 0").distinct()
     tokens = F.split("passage", r"\s+")
@@ -62,12 +76,25 @@ def leak_passages(cells: DataFrame, cell_id: str, text: str, passages: DataFrame
     key = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     wanted = wanted.withColumn("key", key)
     base = cells.select(F.col(cell_id).alias("id"), F.lower(F.col(text)).alias("text"))
-    words = base.select("id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("key"))
-    out = words.join(wanted.where("key is not null"), "key").where(F.col("text").contains(F.col("passage"))).select("id", "passage")
+    words = base.select("id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("key"))
+    met = words.join(_small(wanted.where("key is not null").select(F.xxhash64("passage").alias("no"), "key")), "key").select("id", "no").distinct()
+    met = met.join(wanted.select(F.xxhash64("passage").alias("no"), "passage"), "no").select(F.col("id").alias("_id"), "passage")
+    out = base.join(met.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_id"))).where(F.col("text").contains(F.col("passage"))).select("id", "passage")
     short = wanted.where("key is null").select("passage")
+    kind = base.schema["id"].dataType.simpleString()
     for i in range(-(-short.count() // block)):
-        part = short.orderBy("passage").offset(i * block).limit(block)
-        out = out.unionByName(base.join(F.broadcast(part), F.col("text").contains(F.col("passage"))).select("id", "passage"))
+        part = [r["passage"] for r in short.orderBy("passage").offset(i * block).limit(block).collect()]
+
+        def search(batches: Iterator[pd.DataFrame], part=part) -> Iterator[pd.DataFrame]:
+            found = ahocorasick.Automaton()
+            for p in part:
+                found.add_word(p, p)
+            found.make_automaton()
+            for b in batches:
+                hits = [(id_, p) for id_, t in zip(b["id"], b["text"], strict=True) if t for p in {p for _, p in found.iter(t)}]
+                yield pd.DataFrame(hits, columns=["id", "passage"])
+
+        out = out.unionByName(base.mapInPandas(search, f"id {kind}, passage string"))
     return out.distinct()
 
 

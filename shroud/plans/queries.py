@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shroud.functions import dates, hashing, numeric, text
-from shroud.functions.patterns import BLOCKING, GUARD_US, SPAN_RULES
-from shroud.operators import detect, guard, lineage, policy, privacy, profile, review, scrub, shaping, transform, verify
+from shroud.functions.patterns import BLOCKING, GUARD_US, SPAN_RULES, pack
+from shroud.operators import detect, guard, lineage, policy, privacy, profile, review, scoring, scrub, shaping, transform, verify
 from shroud.sources.work import work_path
 from shroud.streaming import streams
 
@@ -33,6 +33,14 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents; where their files make fewer partitions than there are cores, the rows are dealt out
+    before the patterns run, which cost far more than the shuffle."""
+    docs = t(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def _orders_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a raw form: text cells, every 97th without a subject."""
     o = t(spark, sf_dir, "orders")
@@ -147,7 +155,7 @@ def secondary_id_drop(spark, d):
 
 
 def kanon_customer(spark, d):
-    return privacy.k_anonymity(t(spark, d, "customer"), ["c_nationkey", "c_mktsegment"])
+    return privacy.k_anonymity(t(spark, d, "customer"), ["c_nationkey", "c_mktsegment"], 10)
 
 
 def kanon_smallest(spark, d):
@@ -173,7 +181,7 @@ def column_stats_site_rule(spark, d):
 
 
 def blocking_scan_documents(spark, d):
-    return guard.count_hits(t(spark, d, "documents"), F.col("text"), ["source"], BLOCKING)
+    return guard.count_hits(_documents(spark, d), F.col("text"), ["source"], BLOCKING)
 
 
 def gate_conversations(spark, d):
@@ -182,42 +190,43 @@ def gate_conversations(spark, d):
 
 
 def tree_scan_customer(spark, d):
-    return guard.tree_findings(t(spark, d, "customer"))
+    c = t(spark, d, "customer").select("c_name", "c_mktsegment", F.concat(F.lit("SUBJ-"), "c_custkey").alias("ref"), F.concat(F.lit("seen 1998-0"), F.col("c_custkey") % 9 + 1, F.lit("-11")).alias("visit"))
+    return guard.tree_findings(c)
 
 
 def guard_top20_by_source(spark, d):
-    found = guard.cell_findings(t(spark, d, "documents"), "source", {"text": None}, TEXT_GUARD)
+    found = guard.cell_findings(_documents(spark, d), "source", {"text": None}, TEXT_GUARD)
     return guard.top_findings(found)
 
 
 def guard_report(spark, d):
-    docs = t(spark, d, "documents")
+    docs = _documents(spark, d)
     found = guard.cell_findings(docs, "source", {"text": None}, TEXT_GUARD)
     return guard.export_report(found, docs.select(F.col("source").alias("file")))
 
 
 def guard_lines(spark, d):
-    found = guard.line_findings(t(spark, d, "documents"), "doc_id", "text", TEXT_GUARD)
+    found = guard.line_findings(_documents(spark, d), "doc_id", "text", TEXT_GUARD)
     return found.groupBy(F.col("file").alias("doc_id"), "pid").agg(F.count(F.lit(1)).alias("lines"))
 
 
 def detect_counts_by_category(spark, d):
-    docs = t(spark, d, "documents")
+    docs = _documents(spark, d)
     sums = [F.sum(c.cast("long")).alias(r.name.lower()) for r, c in zip(COUNTED_RULES, detect.match_counts(F.col("text"), COUNTED_RULES), strict=True)]
     return docs.groupBy("lang").agg(*sums)
 
 
 def detect_spans_documents(spark, d):
-    spans = t(spark, d, "documents").select("doc_id", F.explode(detect.merge_spans(detect.detect_spans(F.col("text")))).alias("s"))
+    spans = _documents(spark, d).select("doc_id", F.explode(detect.merge_spans(detect.detect_spans(F.col("text")))).alias("s"))
     return spans.select("doc_id", "s.start", "s.end", "s.entity", "s.category")
 
 
 def scrub_text_documents(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.sha2(detect.replace_in_order(F.col("text"), ORDERED_RULES), 256).alias("digest"))
+    return _documents(spark, d).select("doc_id", F.sha2(detect.replace_in_order(F.col("text"), ORDERED_RULES), 256).alias("digest"))
 
 
 def scrub_text_spans(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.sha2(detect.scrub(F.col("text")), 256).alias("digest"))
+    return _documents(spark, d).select("doc_id", F.sha2(detect.scrub(F.col("text")), 256).alias("digest"))
 
 
 def conversation_scrub_counts(spark, d):
@@ -236,14 +245,14 @@ def formula_neutralise(spark, d):
 
 
 def leak_token_join(spark, d):
-    literals = t(spark, d, "benchmark").select(F.explode(F.array_distinct(F.split(F.lower("text"), verify.TOKEN))).alias("literal")).where(F.length("literal") >= 12)
+    literals = t(spark, d, "benchmark").select(F.explode(F.array_distinct(F.split(F.lower("text"), verify.TOKEN))).alias("literal"))
     leaks = verify.leak_tokens(t(spark, d, "documents"), "doc_id", "text", literals, "literal")
     return leaks.groupBy("literal").agg(F.count_distinct("id").alias("docs"))
 
 
 def leak_contains_join(spark, d):
-    passages = t(spark, d, "benchmark").select(F.substring("text", 1, 40).alias("passage"))
-    return verify.leak_passages(t(spark, d, "documents"), "doc_id", "text", passages, "passage").select(F.col("id").alias("doc_id"), "passage")
+    leaks = verify.leak_passages(t(spark, d, "documents"), "doc_id", "text", t(spark, d, "benchmark"), "text")
+    return leaks.select(F.col("id").alias("doc_id"), F.sha2("passage", 256).alias("passage"))
 
 
 def confusion_by_source(spark, d):
@@ -367,22 +376,179 @@ def stream_tumbling_events(spark, d):
     path = work_path(spark, "windows")
     events = t(spark, d, "events")
     raw = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    counts = streams.tumbling_counts(raw, F.col("ts"), "event_type", "1 hour", "3650 days")
+    counts = streams.tumbling_counts(raw, F.col("ts"), "event_type", "1 hour", "1 day")
 
     def batch(df: DataFrame, number: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/counts")  # complete mode: each batch has all windows
+        df.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/counts/no={number}")  # a window's later counts replace its earlier ones
 
-    q = counts.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q = counts.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(counts.schema).parquet(f"{path}/counts").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+    last = spark.read.parquet(f"{path}/counts").groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"))
+    return last.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
 
 def tumbling_events(spark, d):
-    e = t(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
-    return e.groupBy(F.window("at", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+    out = streams.tumbling_counts(t(spark, d, "events"), F.col("ts"), "event_type", "1 hour")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
 
 def session_events(spark, d):
-    e = t(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
-    out = e.groupBy("user_id", F.session_window("at", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return out.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+    out = streams.sessions(t(spark, d, "events"), F.col("ts"), "user_id", "30 minutes")
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+def guard_all_patterns(spark, d):
+    """The whole pack over the documents, labelled and conditional patterns too."""
+    found = guard.cell_findings(_documents(spark, d), "source", {"text": None}, GUARD_US)
+    return found.groupBy(F.col("file").alias("source"), "pid").agg(F.count(F.lit(1)).alias("texts"))
+
+
+def _codes(spark, d):
+    """Order rows with numbers in the shape of national identifiers."""
+    k = F.col("o_orderkey")
+    return t(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("file"),
+        F.when(k % 4 == 0, F.concat(F.lit("no "), F.lpad(k.cast("string"), 4, "2"), F.lit(" 1234 5678")))
+        .when(k % 4 == 1, F.concat(F.lit("pan ABCDE"), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("F")))
+        .when(k % 4 == 2, F.concat(F.lit("sin "), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit("-111-222")))
+        .otherwise(F.concat(F.lit("cpf "), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(".111.222-33")))
+        .alias("cell"),
+    )
+
+
+def _pack_counts(spark, d, jurisdiction):
+    found = guard.cell_findings(_codes(spark, d), "file", {"cell": None}, pack(jurisdiction))
+    return found.groupBy("file", "pid").agg(F.count(F.lit(1)).alias("cells"), F.min("match").alias("first"))
+
+
+def guard_pack_india(spark, d):
+    return _pack_counts(spark, d, "IN")
+
+
+def guard_pack_canada(spark, d):
+    return _pack_counts(spark, d, "ca")
+
+
+def guard_pack_brazil(spark, d):
+    return _pack_counts(spark, d, "br")
+
+
+def guard_conditional_age(spark, d):
+    """A conditional pattern counts in a column of its category, or with its word in the cell."""
+    k = F.col("p_partkey")
+    cells = t(spark, d, "part").select(F.col("p_brand").alias("file"), F.concat(F.when(k % 2 == 0, "aged ").otherwise("size "), (k % 100).cast("string")).alias("note"), (k % 100).cast("string").alias("years"))
+    ages = tuple(p for p in GUARD_US if p.name == "AGE_OVER_89")
+    found = guard.cell_findings(cells, "file", {"note": None, "years": "C"}, ages)
+    return found.groupBy("column").agg(F.count(F.lit(1)).alias("hits"))
+
+
+HEADERS = "patient_name FNAME LNAME INIT SIGN BANKNAME DL_NO ICFDT p_h_o_n_e phone_number VISDAT AGE zip notes LB_PAXPROCSIG RESPNDT SUBJID2 hemoglobin OrigPgSeq village contacts_total unknownthing".split()
+
+
+def header_policy(spark, d):
+    return policy.decisions_table(spark, HEADERS)
+
+
+def _births(spark, d):
+    return t(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("SUBJID"), F.col("o_orderkey").cast("string").alias("ROW"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("BRTH"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("DEATHDT"))
+
+
+def scrub_birthdate_no_age(spark, d):
+    """A form without an age column: dates of birth and death are moved, never released as they are."""
+    config = scrub.ScrubConfig(subject_id_fields=("SUBJID",), id_fields={"^SUBJID$": "CUST"}, birthdate_field="^BRTH$", death_date_fields=("^DEATHDT$",), age_fields=("^AGE$",))
+    return scrub.scrub(_births(spark, d), config, KEY).kept.select("ROW", "BRTH", "DEATHDT")
+
+
+def date_ambiguous_quarantine(spark, d):
+    """Without a locale a row whose day and month could change places is held back; the column's own locale decides."""
+    day = lambda f: F.date_format("o_orderdate", f)
+    rows = t(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("SUBJID"), F.col("o_orderkey").cast("string").alias("ROW"), day("M/d/yyyy").alias("SEENDAT"), day("d/M/yyyy").alias("BACKDAT"))
+    config = scrub.ScrubConfig(subject_id_fields=("SUBJID",), id_fields={"^SUBJID$": "CUST"}, date_fields=("DAT$",), date_locales={"backdat": "DMY"})
+    return scrub.scrub(rows, config, KEY).flagged.select("ROW", F.col("__disposition").alias("disposition"))
+
+
+def _decided(spark, d):
+    o = t(spark, d, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("column"), "o_orderpriority", "o_orderstatus")
+    actions = F.element_at(F.array(*[F.lit(a) for a in ("keep", "drop", "hash", "human_review", "year_only")]), F.substring("o_orderpriority", 1, 1).cast("int"))
+    return o.select("file", "column", F.when(F.col("o_orderstatus") == "F", "drop").when(F.col("o_orderstatus") == "O", "keep").otherwise("hash").alias("expected"), actions.alias("action"))
+
+
+def _facts(spark, d):
+    decided = _decided(spark, d)
+    lines = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("column"), "l_linenumber", "l_returnflag").join(decided.select("file", "column"), "column")
+    decisions = decided.where("column % 7 <> 0").select("file", "column", "action", F.lit(1).alias("seq")).unionByName(decided.where("column % 5 = 0").select("file", "column", F.lit("drop").alias("action"), F.lit(2).alias("seq")))
+    leaks = lines.where("l_returnflag = 'R'").select("file", "column")
+    planted = lines.select("file", "column", (F.col("l_linenumber") == 1).alias("verbatim"))
+    return scoring.column_facts(decided.select("file", "column", "expected"), decisions, leaks, planted)
+
+
+def column_facts(spark, d):
+    return _facts(spark, d).select("column", "expected", "action", "verdict", "exact", "leak_hits", "cells", "changed")
+
+
+def benchmark_totals(spark, d):
+    return scoring.totals(_facts(spark, d))
+
+
+def conformance_by_flag(spark, d):
+    actual = F.when(F.col("l_linenumber") % 6 != 0, F.when(F.col("l_quantity") > 40, F.lit("x")).otherwise(F.col("l_linestatus")))
+    return scoring.conformance(t(spark, d, "lineitem"), ["l_returnflag"], F.col("l_linestatus"), actual, F.col("l_linenumber") == 2)
+
+
+def leak_rate_by_segment(spark, d):
+    planted = t(spark, d, "customer").select("c_mktsegment", F.col("c_custkey").alias("plant"))
+    return scoring.leak_rate(planted, t(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("plant")), "plant", ["c_mktsegment"])
+
+
+def campaign_rollup(spark, d):
+    return scoring.rollup(t(spark, d, "lineitem").select("l_returnflag", F.col("l_linenumber").cast("long").alias("plants")), ["l_returnflag"], ["plants"])
+
+
+def action_counts(spark, d):
+    return scoring.count_actions(_decided(spark, d))
+
+
+def tool_coverage(spark, d):
+    o = t(spark, d, "orders").select((F.col("o_orderkey") % 2 == 0).alias("rules"), (F.col("o_orderstatus") == "F").alias("model"), F.lit(None).cast("boolean").alias("review"))
+    return scoring.coverage_counts(o, ["rules", "model", "review"])
+
+
+def joined_policy_view(spark, d):
+    return scoring.joined_view(t(spark, d, "customer").select("c_custkey", "c_mktsegment"), t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey")
+
+
+def dictionary_drift(spark, d):
+    return scoring.drift(t(spark, d, "customer"), t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+def strengthen_actions(spark, d):
+    decisions = _decided(spark, d).select("file", "column", "action")
+    signals = _decided(spark, d).where("column % 3 = 0").select("file", "column", F.col("expected").alias("action"))
+    return scoring.strengthen(decisions, signals, ["file", "column"], policy.CELL_RANK).select("column", "action", "changed")
+
+
+def unmet_dependencies(spark, d):
+    pairs = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("dataset"), F.col("l_suppkey").alias("dependency")).distinct()
+    return scoring.held_by_dependencies(pairs, pairs.where("dependency % 4 <> 0"))
+
+
+def force_drop_columns(spark, d):
+    l = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("form"), F.col("l_partkey").alias("column"), "l_linenumber")  # noqa: E741
+    return scoring.force_drop(l.where("l_linenumber = 1"), l.where("l_linenumber = 2"), l.where("l_linenumber = 3"))
+
+
+def latest_snapshot(spark, d):
+    return scoring.latest_snapshot(t(spark, d, "orders"), ["o_custkey"], "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+def as_written_ledger(spark, d):
+    before = t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    after = before.where("c_custkey % 5 <> 0").select("c_custkey", hashing.pseudonym(SALT, F.col("c_name")).alias("c_name"), "c_mktsegment")
+    return scoring.as_written(before, after, ["c_name", "c_mktsegment"], {"c_name": "pseudonymize", "c_mktsegment": "keep"}, "c_custkey")
+
+
+def event_hash_recomputed(spark, d):
+    """Stored hashes against the payload: every 50th was written with another payload."""
+    e = t(spark, d, "events").select("event_id", "event_type", F.lit("seed").alias("prev_hash"))
+    e = e.withColumn("hash", F.sha2(F.concat_ws("|", "prev_hash", "event_id", F.when(F.col("event_id") % 50 == 0, "forged").otherwise(F.col("event_type"))), 256))
+    return lineage.hash_faults(e, ["event_id", "event_type"]).select("event_id")

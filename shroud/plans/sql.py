@@ -49,10 +49,22 @@ for _r in SPAN_RULES:
     if _r.name in ("EMAIL", "PHONE", "CLINICAL_TRIAL_ID", "DEVICE_SERIAL"):
         _ordered = f"regexp_replace({_ordered}, {q(_r.regex)}, {q(f'[{_r.category}]')}, 'g')"
 _tree = " UNION ALL ".join(
-    f"SELECT {q(c)} AS \"column\", {q(p.name)} AS pattern WHERE EXISTS (SELECT 1 FROM customer WHERE regexp_matches({c}, {q(p.regex)}))" for c in ("c_name", "c_mktsegment") for p in BLOCKING + SUBJECT_ID
+    f"SELECT {q(c)} AS \"column\", {q(p.name)} AS pattern WHERE EXISTS (SELECT 1 FROM (SELECT c_name, c_mktsegment, 'SUBJ-' || c_custkey AS ref, 'seen 1998-0' || (c_custkey % 9 + 1) || '-11' AS visit FROM customer) WHERE regexp_matches({c}, {q(p.regex)}))" for c in ("c_name", "c_mktsegment", "ref", "visit") for p in BLOCKING + SUBJECT_ID
 )
 _luhn_digits = "('80840' || lpad(CAST(p_partkey * 7919 AS VARCHAR), 10, '1'))"
 
+_CODES = """(SELECT o_orderkey AS k, o_orderpriority AS file, CASE o_orderkey % 4 WHEN 0 THEN 'no ' || lpad(CAST(o_orderkey AS VARCHAR), 4, '2') || ' 1234 5678'
+    WHEN 1 THEN 'pan ABCDE' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') || 'F' WHEN 2 THEN 'sin ' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') || '-111-222'
+    ELSE 'cpf ' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') || '.111.222-33' END AS cell FROM orders)"""
+_DECIDED = """SELECT o_custkey AS file, o_orderkey AS "column", CASE o_orderstatus WHEN 'F' THEN 'drop' WHEN 'O' THEN 'keep' ELSE 'hash' END AS expected,
+    CASE left(o_orderpriority, 1) WHEN '1' THEN 'keep' WHEN '2' THEN 'drop' WHEN '3' THEN 'hash' WHEN '4' THEN 'human_review' ELSE 'year_only' END AS action FROM orders"""
+_FACTS = f"""SELECT file, "column", expected, action,
+    CASE WHEN action = 'human_review' THEN 'deferred' WHEN expected <> 'keep' AND coalesce(action, 'keep') = 'keep' THEN 'under_block'
+      WHEN expected = 'keep' AND coalesce(action, 'keep') <> 'keep' THEN 'over_block' ELSE 'correct' END AS verdict,
+    coalesce(action = expected, false) AS exact, coalesce(r, 0) AS leak_hits, coalesce(n, 0) AS cells, coalesce(changed, 0) AS changed
+  FROM (SELECT file, "column", expected, CASE WHEN "column" % 5 = 0 THEN 'drop' WHEN "column" % 7 <> 0 THEN action END AS action FROM ({_DECIDED})) x
+  LEFT JOIN (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS r, count(*) AS n, count(*) FILTER (l_linenumber <> 1) AS changed FROM lineitem GROUP BY 1) y ON x."column" = l_orderkey"""
+
 ORACLE_SQL: dict[str, str] = {
     "pseudonymize_customer": f"SELECT c_custkey, {PSEUDONYM} AS token FROM customer",
     "hash_customer": f"SELECT c_custkey, substr({hmac_sha256_sql(KEY, '(' + q('c_name:') + ' || c_name)')}, 1, 16) AS digest FROM customer",
@@ -98,7 +110,7 @@ ORACLE_SQL: dict[str, str] = {
     "secondary_id_drop": f"""
         WITH l AS (SELECT CAST(l_suppkey AS VARCHAR) AS s, CAST(l_partkey % 10 + 1 AS VARCHAR) AS s2 FROM lineitem)
         SELECT s AS "SUBJID", CASE WHEN s <> s2 THEN {rid('SUBJID', 's2')} END AS token, count(*) AS n FROM l GROUP BY 1, 2""",
-    "kanon_customer": "SELECT c_nationkey || '|' || c_mktsegment AS class, count(*) AS size FROM customer GROUP BY c_nationkey, c_mktsegment HAVING count(*) < 5",
+    "kanon_customer": "SELECT c_nationkey || '|' || c_mktsegment AS class, count(*) AS size FROM customer GROUP BY c_nationkey, c_mktsegment HAVING count(*) < 10",
     "kanon_smallest": "SELECT min(n) AS k, count(*) AS classes FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey, c_mktsegment)",
     "ldiv_customer_orders": """
         SELECT 'o_orderstatus' AS attribute, c_nationkey || '|' || c_mktsegment AS class,
@@ -146,10 +158,10 @@ ORACLE_SQL: dict[str, str] = {
     "leak_token_join": r"""
         WITH l AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^A-Za-z0-9@.''\-]+')) AS literal FROM benchmark),
         w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^A-Za-z0-9@.''\-]+')) AS literal FROM documents)
-        SELECT literal, count(DISTINCT doc_id) AS docs FROM w JOIN l USING (literal) WHERE length(literal) >= 12 GROUP BY literal""",
+        SELECT literal, count(DISTINCT doc_id) AS docs FROM w JOIN l USING (literal) WHERE length(literal) >= 4 AND length(literal) <= 256 GROUP BY literal""",
     "leak_contains_join": """
-        WITH p AS (SELECT DISTINCT lower(substr(text, 1, 40)) AS passage FROM benchmark)
-        SELECT DISTINCT doc_id, passage FROM documents JOIN p ON contains(lower(text), passage)""",
+        WITH p AS (SELECT DISTINCT lower(text) AS passage FROM benchmark WHERE length(text) > 0)
+        SELECT DISTINCT doc_id, sha256(passage) AS passage FROM documents JOIN p ON contains(lower(text), passage)""",
     "confusion_by_source": """
         WITH r AS (SELECT source, quality = 0 AS e, contains(text, '!!') OR contains(text, ' | ') OR contains(text, '###') AS p FROM documents JOIN labels USING (doc_id)),
         c AS (SELECT source, count(*) FILTER (e AND p) AS tp, count(*) FILTER (NOT e AND p) AS fp, count(*) FILTER (e AND NOT p) AS fn, count(*) FILTER (NOT e AND NOT p) AS tn FROM r GROUP BY source)
@@ -221,4 +233,56 @@ ORACLE_SQL: dict[str, str] = {
         WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
         s AS (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
         SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k""",
+    "guard_pack_india": f"""
+        SELECT file, 'AADHAAR' AS pid, count(*) AS cells, min(regexp_extract(cell, '[0-9]{{4}} 1234 5678')) AS first FROM {_CODES} WHERE k % 4 = 0 AND regexp_matches(cell, ' [0-9]{{4}} 1234 5678') GROUP BY file
+        UNION ALL SELECT file, 'PAN_IN', count(*), min(substr(cell, 5)) FROM {_CODES} WHERE k % 4 = 1 GROUP BY file""",
+    "guard_pack_canada": f"""
+        SELECT file, 'SIN_CA' AS pid, count(*) AS cells, min(substr(cell, 5)) AS first FROM {_CODES} WHERE k % 4 = 2 GROUP BY file""",
+    "guard_pack_brazil": f"""
+        SELECT file, 'CPF_BR' AS pid, count(*) AS cells, min(substr(cell, 5)) AS first FROM {_CODES} WHERE k % 4 = 3 GROUP BY file""",
+    "guard_conditional_age": """
+        SELECT 'note' AS "column", count(*) AS hits FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 100 >= 90
+        UNION ALL SELECT 'years', count(*) FROM part WHERE p_partkey % 100 >= 90""",
+    "header_policy": """
+        SELECT * FROM (VALUES ('patient_name', 'drop', 'A', 'direct_identifier'), ('FNAME', 'drop', '', 'direct_identifier'), ('LNAME', 'drop', '', 'direct_identifier'), ('INIT', 'drop', '', 'direct_identifier'),
+          ('SIGN', 'drop', '', 'direct_identifier'), ('BANKNAME', 'drop', '', 'direct_identifier'), ('DL_NO', 'drop', '', 'direct_identifier'), ('ICFDT', 'year_only', '', 'date'), ('p_h_o_n_e', 'keep', '', ''),
+          ('phone_number', 'drop', 'D', 'direct_identifier'), ('VISDAT', 'year_only', '', 'date'), ('AGE', 'cap_age_90', 'C', 'age'), ('zip', 'zip3_truncate', 'B', 'direct_identifier'), ('notes', 'scrub_text', '', 'free_text'),
+          ('LB_PAXPROCSIG', 'pseudonymize', '', 'study_identifier'), ('RESPNDT', 'keep', '', ''), ('SUBJID2', 'pseudonymize', '', 'study_identifier'), ('hemoglobin', 'keep', '', ''), ('OrigPgSeq', 'drop', '', 'direct_identifier'),
+          ('village', 'human_review', '', 'geography'), ('contacts_total', 'scrub_text', '', 'free_text'), ('unknownthing', 'keep', '', '')) t(header, action, category, rules)""",
+    "scrub_birthdate_no_age": f"""
+        WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS "ROW", strftime(CAST(o_orderdate AS DATE) + CAST({offset('CAST(o_custkey AS VARCHAR)')} AS INTEGER), '%Y-%m-%d') AS moved FROM orders)
+        SELECT "ROW", moved AS "BRTH", moved AS "DEATHDT" FROM o""",
+    "date_ambiguous_quarantine": """
+        SELECT CAST(o_orderkey AS VARCHAR) AS "ROW", CASE WHEN day(o_orderdate) <= 12 THEN 'date:SEENDAT' ELSE 'kept' END AS disposition FROM orders""",
+    "column_facts": f"SELECT * EXCLUDE (file) FROM ({_FACTS})",
+    "benchmark_totals": f"""
+        SELECT count(*) AS columns, count(*) FILTER (expected <> 'keep') AS identifying, count(*) FILTER (action = 'drop') AS dropped, count(*) FILTER (action IN ('hash', 'year_only')) AS transformed,
+          count(*) FILTER (action = 'keep') AS kept, count(*) FILTER (action = 'human_review') AS deferred, round(count(*) FILTER (exact) / count(*), 4) AS method_exact_rate,
+          round(1 - round(count(*) FILTER (action = 'human_review') / count(*), 4), 4) AS autonomy_rate FROM ({_FACTS})""",
+    "conformance_by_flag": """
+        WITH c AS (SELECT l_returnflag, l_linenumber % 6 = 0 AS gone, l_linenumber = 2 AS verbatim, l_quantity <= 40 AND l_linenumber % 6 <> 0 AS ok FROM lineitem),
+        g AS (SELECT l_returnflag, count(*) FILTER (gone OR NOT verbatim) AS transforms, count(*) FILTER ((gone OR NOT verbatim) AND ok) AS conformant,
+          count(*) FILTER (verbatim AND NOT gone) AS kept, count(*) FILTER (verbatim AND NOT gone AND ok) AS preserved FROM c GROUP BY 1)
+        SELECT *, round(conformant / transforms, 4) AS transform_rate, round(preserved / kept, 4) AS utility_rate FROM g""",
+    "leak_rate_by_segment": """
+        WITH c AS (SELECT c_mktsegment, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AS hit FROM customer)
+        SELECT c_mktsegment, count(*) AS plants, count(*) FILTER (hit) AS leaked, round(count(*) FILTER (hit) / count(*), 4) AS rate FROM c GROUP BY 1""",
+    "campaign_rollup": "SELECT l_returnflag, count(*) AS reports, CAST(sum(l_linenumber) AS BIGINT) AS plants FROM lineitem GROUP BY 1",
+    "action_counts": f"SELECT action, count(*) AS n FROM ({_DECIDED}) GROUP BY 1",
+    "tool_coverage": "SELECT count(*) FILTER (o_orderkey % 2 = 0) AS rules, count(*) FILTER (o_orderstatus = 'F') AS model, CAST(0 AS BIGINT) AS review FROM orders",
+    "joined_policy_view": "SELECT c_custkey, c_mktsegment, c_custkey IN (SELECT o_custkey FROM orders) AS in_schema FROM customer",
+    "dictionary_drift": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "strengthen_actions": f"""
+        WITH r AS (SELECT *, CASE action WHEN 'keep' THEN 1 WHEN 'year_only' THEN 2 WHEN 'hash' THEN 7 WHEN 'human_review' THEN 8 ELSE 9 END AS a,
+          CASE WHEN "column" % 3 <> 0 THEN 0 WHEN expected = 'keep' THEN 1 WHEN expected = 'hash' THEN 7 ELSE 9 END AS e FROM ({_DECIDED}))
+        SELECT "column", CASE WHEN e > a THEN expected ELSE action END AS action, e > a AS changed FROM r""",
+    "unmet_dependencies": "SELECT l_returnflag AS dataset, count(DISTINCT l_suppkey) AS unmet FROM lineitem WHERE l_suppkey % 4 = 0 GROUP BY 1",
+    "force_drop_columns": """
+        SELECT DISTINCT l_returnflag AS form, l_partkey AS "column" FROM lineitem WHERE l_linenumber IN (1, 2)
+        EXCEPT SELECT l_returnflag, l_partkey FROM lineitem WHERE l_linenumber = 3""",
+    "latest_snapshot": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
+    "as_written_ledger": """
+        WITH c AS (SELECT count(*) AS n FROM customer WHERE c_custkey % 5 <> 0)
+        SELECT 'c_name' AS "column", 'pseudonymize' AS rule, n AS cells, n AS changed FROM c UNION ALL SELECT 'c_mktsegment', 'keep', n, 0 FROM c""",
+    "event_hash_recomputed": "SELECT event_id FROM events WHERE event_id % 50 = 0 AND event_type <> 'forged'",
 }

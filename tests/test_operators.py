@@ -169,3 +169,67 @@ def test_event_windows_on_streams(spark, tmp_path):
     q = streams.tumbling_counts(stream, F.col("ts"), "k", "10 minutes").writeStream.outputMode("complete").format("memory").queryName("tumbling").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("tumbling").count() == 2
+
+
+def test_birth_and_death_dates_never_leave_as_they_are(spark):
+    df = spark.createDataFrame([("s1", "1961-05-06", "2011-02-03", "x")], "SUBJID string, BRTH string, DEATHDT string, __raw string")
+    config = scrub.ScrubConfig(subject_id_fields=("SUBJID",), id_fields={"^SUBJID$": "S"}, birthdate_field="^BRTH$", death_date_fields=("^DEATHDT$",), age_fields=("^AGE$",), drop_fields=("^__raw$",))
+    plan = scrub.scrub(df, config, KEY)
+    row = plan.kept.first()
+    assert plan.rules == {"SUBJID": "id", "BRTH": "date", "DEATHDT": "date", "__raw": "drop"} and "__raw" not in plan.kept.columns
+    assert row["BRTH"] != "1961-05-06" and row["DEATHDT"] != "2011-02-03" and row["BRTH"][:2] == "19"
+    with pytest.raises(ValueError, match="reserved"):
+        scrub.scrub(df.withColumnRenamed("__raw", "__subject"), config, KEY)
+
+
+@pytest.mark.parametrize(("cell", "mdy", "dmy", "none"), [("3/4/2014", "2014-03-04", "2014-04-03", None), ("13/4/2014", "2014-04-13", "2014-04-13", "2014-04-13"), ("030414", "2014-03-04", "2014-04-03", "2014-04-03"), ("03042014", "2014-03-04", "2014-04-03", None), ("2014-03-04", "2014-03-04", "2014-03-04", "2014-03-04"), ("20140304", "2014-03-04", "2014-03-04", "2014-03-04"), ("x", None, None, None)])
+def test_dates_that_leave_the_order_open(spark, cell, mdy, dmy, none):
+    from shroud.functions import dates
+
+    day = lambda locale: F.date_format(dates.parse_date(F.col("c"), locale)["d"], "yyyy-MM-dd")
+    row = spark.createDataFrame([(cell,)], "c string").select(day("MDY"), day("DMY"), day(None), dates.is_ambiguous(F.col("c"))).first()
+    assert tuple(row)[:3] == (mdy, dmy, none) and row[3] == (none is None and mdy is not None)
+
+
+def test_header_rules():
+    assert [policy.classify_header(h)[0] for h in ("FNAME", "LNAME", "INIT", "SIGN", "BANKNAME", "DL_NO", "ICFDT")] == ["drop"] * 6 + ["jitter_date"]
+    assert policy.hard_rule("p_h_o_n_e") is None and policy.hard_rule(" Phone Number ")[0] == "D" and policy.hard_rule("phonenumber")[0] == "D"
+    weaker = tuple(r for r in policy.WORD_RULES if r[0] != "direct_identifier")
+    assert policy.weakened(["FNAME", "AGE"], policy.WORD_RULES, weaker) == ["FNAME"] and policy.weakened(["FNAME"], policy.WORD_RULES, policy.rule_union(weaker)) == []
+    found = policy.rule_union([("extra", "drop", ("^q$",)), policy.WORD_RULES[0]])
+    assert len(found) == len(policy.WORD_RULES) + 1 and policy.classify_header("q", found)[0] == "drop"
+
+
+def test_every_guard_pattern_against_plain_search(spark):
+    """First matches and offsets of the whole packs on a fixture, against Python's re over ASCII text."""
+    import re
+
+    from shroud.functions.patterns import BLOCKING, GUARD_US, SPAN_RULES, first_match
+
+    texts = ["MRN: AB12345 seen", "medical record number 4477881", "ACCOUNT NUMBER 99X1234 and acct required", "MEMBER ID: ZZ10203", "UID 12-3456", "123-45-6789 or 212-555-0100", "a.b@c.org see https://x.org/a?b=1", "10.0.0.1 age 93",
+             "NPI 1234567893 vehicle 1HGCM82633A004352", "plate ABC-1234", "fax: (212) 555-0100", "2001-02-03 and 02/03/2001", "SNAB12345678 photo a/b.jpg", "NCT01234567 Dr. Ann Lee, 12 Main Street", "ZIP 90210 age 95", "nothing at all", "", "(01)12345678901234 IMEI 490154203237518"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, c string")
+    rules = {p.name + str(i): p for i, p in enumerate((*GUARD_US, *BLOCKING, *SPAN_RULES)) if p.luhn_prefix is None}
+    got = df.select("i", *[first_match(p, F.col("c")).alias(n) for n, p in rules.items()]).collect()
+    for r in got:
+        for n, p in rules.items():
+            m = re.search(p.regex, texts[r["i"]], re.ASCII)
+            assert r[n] == (m[0] if m else None), (n, texts[r["i"]])
+    spans = df.select("i", detect.detect_spans(F.col("c")).alias("s")).collect()
+    for r in spans:
+        want = {(m.start(), m.end(), p.name) for p in SPAN_RULES if p.luhn_prefix is None for m in re.finditer(p.regex, texts[r["i"]], re.ASCII)}
+        assert {(s["start"], s["end"], s["entity"]) for s in r["s"] if s["entity"] != "NPI"} == want
+
+
+def test_a_span_that_replaces_another_is_compared_last(spark):
+    s = lambda a, b, e, c, conf: {"start": a, "end": b, "value": "", "entity": e, "category": c, "confidence": conf, "is_rule": False}
+    df = spark.createDataFrame([([s(0, 10, "a", "A", 0.5), s(2, 4, "b", "B", 0.4), s(5, 10, "c", "C", 0.9), s(20, 22, "d", "A", 0.1)],), (None,)], f"s {detect.spans_type()}")
+    got = df.select(detect.union_spans(F.col("s"), F.array().cast(detect.spans_type())).alias("m")).collect()
+    assert [(x["start"], x["entity"]) for x in got[0]["m"]] == [(5, "c"), (20, "d")] and got[1]["m"] == []
+
+
+def test_leaked_passages_of_any_length(spark):
+    cells = spark.createDataFrame([(1, "The quick brown fox"), (2, "xy z"), (None, "quick brown"), (3, None)], "id long, text string")
+    passages = spark.createDataFrame([("he quick brown f",), ("y z",), ("Z",), ("",), (None,), ("quick brown",)], "p string")
+    got = sorted((str(r["id"]), r["passage"]) for r in verify.leak_passages(cells, "id", "text", passages, "p", block=1).collect())
+    assert got == [("1", "he quick brown f"), ("1", "quick brown"), ("2", "y z"), ("2", "z"), ("None", "quick brown")]
