@@ -24,7 +24,7 @@ def expand_year(y: Column) -> Column:
 def _ymd(y: Column, m: Column, d: Column) -> Column:
     """A date, or null for parts that make none."""
     text = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
-    return F.when(y.between(1900, 2100) & m.between(1, 12) & d.between(1, 31), F.try_to_date(text, "yyyy-MM-dd"))
+    return F.when(y.between(1900, 2100) & m.between(1, 12) & d.between(1, 31), text.try_cast("date"))
 
 
 def _part(c: Column, pattern: str, group: int) -> Column:
@@ -74,7 +74,7 @@ def _parsed(s: Column, locale: str | None) -> Column:
         .when(F.length(s) == 7, F.coalesce(digits(1, 2, locale), digits(2, 1, locale)) if locale else only_reading())
         .when(F.length(s) == 6, F.coalesce(digits(2, 2, locale or "DMY"), digits(2, 2, other if locale else "MDY")))
     )
-    iso_day = _ymd(_part(s, ISO, 1), _part(s, ISO, 2), _part(s, ISO, 3))
+    iso_day = F.regexp_extract(s, r"^\d{4}-\d{1,2}-\d{1,2}", 0).try_cast("date")
     parts = F.struct(_part(s, SEPARATED, 1).alias("a"), _part(s, SEPARATED, 3).alias("b"), expand_year(_part(s, SEPARATED, 4)).alias("y"))
     day = F.when(s.rlike(r"^\d+$"), F.struct(compact.alias("d"), F.lit("iso").alias("fmt")))
     day = day.when(s.rlike(ISO), F.struct(iso_day.alias("d"), F.lit("iso").alias("fmt"))).when(s.rlike(SEPARATED), let(parts, separated))
@@ -82,15 +82,18 @@ def _parsed(s: Column, locale: str | None) -> Column:
     return let(day, lambda x: F.when(x["d"].isNotNull(), F.struct(x["d"].alias("d"), x["fmt"].alias("fmt"), has_time.alias("has_time"), ampm.alias("ampm"))))
 
 
-def is_ambiguous(c: Column) -> Column:
-    """A date under some order of day and month, and none without one."""
-    some = parse_date(c, "MDY").isNotNull() | parse_date(c, "DMY").isNotNull()
-    return F.coalesce(parse_date(c, None).isNull() & some, F.lit(False))
+OPEN = r"^(?:0?[1-9]|1[0-2])([/\-.])(?:0?[1-9]|1[0-2])\1(?:(?:19|20)\d{2}|\d{2})(?:[ T].*)?$|^(?:0[1-9]|1[0-2]){2}(?:19|20)\d{2}$|^\d{7}$"
+
+
+def is_ambiguous(c: Column, parsed: Column | None = None) -> Column:
+    """Text in the shape of a date that no order of day and month is known for; ``parsed``: what ``parse_date`` gave without a locale."""
+    parsed = parse_date(c, None) if parsed is None else parsed
+    return F.coalesce(strip(c).rlike(OPEN) & parsed.isNull(), F.lit(False))
 
 
 def format_date(d: Column, fmt: Column, has_time: Column, ampm: Column) -> Column:
     """ISO zero-padded, the others without padding and with slashes; a time slot is written empty."""
-    text = F.when(fmt == "mdy", F.date_format(d, "M/d/yyyy")).when(fmt == "dmy", F.date_format(d, "d/M/yyyy")).otherwise(F.date_format(d, "yyyy-MM-dd"))
+    text = F.when(fmt == "mdy", F.date_format(d, "M/d/yyyy")).when(fmt == "dmy", F.date_format(d, "d/M/yyyy")).otherwise(d.cast("string"))
     slot = F.when(~has_time, "").when(ampm != "", F.concat(F.lit(" 12:00:00 "), ampm)).otherwise(" 00:00:00")
     return F.concat(text, slot)
 

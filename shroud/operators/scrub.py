@@ -102,8 +102,8 @@ def column_locale(config: ScrubConfig, name: str) -> str | None:
     return {k.upper(): v for k, v in config.date_locales.items()}.get(name.upper(), config.date_locale)
 
 
-def rung(config: ScrubConfig, name: str, columns: Sequence[str], key: bytes, subject: Column) -> Rung:
-    """The rule that decides on a column of this schema."""
+def rung(config: ScrubConfig, name: str, columns: Sequence[str], key: bytes, subject: Column, parsed: Column | None = None) -> Rung:
+    """The rule that decides on a column of this schema; ``parsed``: where a projection before has parsed its dates."""
     c = F.col(f"`{name}`").cast("string")
     blank = numeric.is_blank(c)
     if text.normalize_name(name) in config.suppress_headers:
@@ -135,22 +135,19 @@ def rung(config: ScrubConfig, name: str, columns: Sequence[str], key: bytes, sub
     if _is_date(config, name):
         locale = column_locale(config, name)
         stay = dates.is_placeholder(c, locale)
-        parsed = dates.parse_date(c, locale)
+        parsed = dates.parse_date(c, locale) if parsed is None else parsed
         future = F.year(parsed["d"]) > config.plausible_max_year
         days = hashing.offset_days(key, subject, config.max_jitter_days)
 
-        def moved(p: Column) -> Column:
-            late = p.isNull() | (F.year(p["d"]) > config.plausible_max_year)
-            return F.when(late, F.lit("")).otherwise(dates.format_date(F.date_add(p["d"], days), p["fmt"], p["has_time"], p["ampm"]))
-
-        value = F.when(stay, c).otherwise(dates.let(parsed, moved))
+        moved = dates.format_date(F.date_add(parsed["d"], days), parsed["fmt"], parsed["has_time"], parsed["ampm"])
+        value = F.when(stay, c).when(parsed.isNull() | future, F.lit("")).otherwise(moved)
         fails = F.lit(False)
         if config.future_date_policy == "quarantine":
             fails = fails | (~stay & F.coalesce(future, F.lit(False)))
         if config.unparseable_date_policy == "quarantine":
             fails = fails | (~stay & parsed.isNull())
         elif locale is None:
-            fails = fails | (~stay & dates.is_ambiguous(c))
+            fails = fails | (~stay & dates.is_ambiguous(c, parsed))
         return Rung("date", value, fails, ~stay & parsed.isNotNull() & ~future)
     if (p := _first(config.id_fields, name)) is not None:
         return Rung("id", F.when(blank, c).otherwise(hashing.record_token(key, config.id_fields[p], numeric.strip(c))), counted=~blank)
@@ -165,7 +162,11 @@ class ScrubPlan:
     kept: DataFrame
     quarantine: DataFrame
     flagged: DataFrame
-    rules: Mapping[str, str]
+    rungs: Mapping[str, Rung]
+
+    @property
+    def rules(self) -> dict[str, str]:
+        return {c: r.rule for c, r in self.rungs.items()}
 
 
 def scrub(df: DataFrame, config: ScrubConfig, key: bytes) -> ScrubPlan:
@@ -179,6 +180,10 @@ def scrub(df: DataFrame, config: ScrubConfig, key: bytes) -> ScrubPlan:
     subject = F.col("__subject")
     flagged = df.withColumn("__subject", subject_column(columns, config.subject_id_fields))
     rungs = {c: rung(config, c, columns, key, subject) for c in columns}
+    # dates are parsed once, in a projection of their own, however often rules name them
+    dated = {c: f"__date_{i}" for i, c in enumerate(columns) if rungs[c].rule == "date"}
+    flagged = flagged.withColumns({x: dates.parse_date(F.col(f"`{c}`").cast("string"), column_locale(config, c)) for c, x in dated.items()}) if dated else flagged
+    rungs |= {c: rung(config, c, columns, key, subject, F.col(x)) for c, x in dated.items()}
     done = (F.col(MARKER) == MARK) if MARKER in df.columns else F.lit(False)
     disposition = F.when(done, KEPT).when(subject.isNull(), ORPHAN)
     for c, r in rungs.items():
@@ -189,16 +194,14 @@ def scrub(df: DataFrame, config: ScrubConfig, key: bytes) -> ScrubPlan:
         *[F.when(F.col("__done"), F.col(f"`{c}`").cast("string")).otherwise(r.value).alias(c) for c, r in rungs.items() if r.value is not None], F.lit(MARK).alias(MARKER)
     )
     quarantine = flagged.where(F.col("__disposition") != KEPT).select(*[F.col(f"`{c}`") for c, r in rungs.items() if r.rule not in FIELD_ONLY], F.col("__disposition").alias("reason"))
-    return ScrubPlan(kept, quarantine, flagged, {c: r.rule for c, r in rungs.items()})
+    return ScrubPlan(kept, quarantine, flagged, rungs)
 
 
 def scope_counts(df: DataFrame, config: ScrubConfig, key: bytes) -> DataFrame:
     """(scope, field, n): cells that each rule changed and rows by disposition, in one pass."""
-    columns = [c for c in df.columns if c != MARKER]
     plan = scrub(df, config, key)
     sums = []
-    for c in columns:
-        r = rung(config, c, columns, key, F.col("__subject"))
+    for c, r in plan.rungs.items():
         if r.counted is not None:
             hit = F.coalesce(r.counted, F.lit(False)) & (F.col("__disposition") == KEPT)
             sums.append(F.struct(F.lit(r.rule).alias("scope"), F.lit(c).alias("field"), F.sum(hit.cast("long")).alias("n")))

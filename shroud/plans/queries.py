@@ -246,12 +246,12 @@ def formula_neutralise(spark, d):
 
 def leak_token_join(spark, d):
     literals = t(spark, d, "benchmark").select(F.explode(F.array_distinct(F.split(F.lower("text"), verify.TOKEN))).alias("literal"))
-    leaks = verify.leak_tokens(t(spark, d, "documents"), "doc_id", "text", literals, "literal")
+    leaks = verify.leak_tokens(_documents(spark, d), "doc_id", "text", literals, "literal")
     return leaks.groupBy("literal").agg(F.count_distinct("id").alias("docs"))
 
 
 def leak_contains_join(spark, d):
-    leaks = verify.leak_passages(t(spark, d, "documents"), "doc_id", "text", t(spark, d, "benchmark"), "text")
+    leaks = verify.leak_passages(_documents(spark, d), "doc_id", "text", t(spark, d, "benchmark"), "text")
     return leaks.select(F.col("id").alias("doc_id"), F.sha2("passage", 256).alias("passage"))
 
 
