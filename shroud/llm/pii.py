@@ -54,6 +54,8 @@ ADDRESS = re.compile(
     rf"|(?<![0-9A-Za-z])[0-9]{{1,4}},?\x20(?:rue|avenue|boulevard|place)\x20(?:(?:de|du|des|la|le)\x20)*{WORD}"
     rf"|\b(?:Calle|Avenida|Plaza|Paseo)\x20(?:(?:de|del|la|los)\x20)*{WORD},?\x20[0-9]{{1,4}}\b"
 )
+STREET_WORDS = ("Street", "Road", "Avenue", "Lane", "Drive", "Boulevard", "straße", "strasse", "weg ", "platz ", "gasse ", " rue ", " avenue ", " boulevard ", " place ", "Calle ", "Avenida ", "Plaza ", "Paseo ")
+PERSON_WORDS = tuple(t + end for t in TITLES for end in (" ", ". ")) + tuple(n + " " for n in NAMED_BY)
 BIRTHDATE = re.compile(r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2})(?![0-9A-Za-z/-])")
 ACCOUNT = re.compile(r"(?<![0-9A-Za-z.+-])[0-9]{8,19}(?![0-9A-Za-z-])")
 
@@ -147,11 +149,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def loose_spans(text: str, has_digits: bool) -> list[tuple[int, int, int]]:
     found = []
-    patterns = [(SSN, 4), (IBAN, 5), (LOCAL_PHONE, 6), (ADDRESS, 9), (BIRTHDATE, 10), (ACCOUNT, 11)] if has_digits else []
+    patterns = [(SSN, 4), (IBAN, 5), (LOCAL_PHONE, 6), (BIRTHDATE, 10), (ACCOUNT, 11)] if has_digits else []
+    if has_digits and any(w in text for w in STREET_WORDS):
+        patterns.append((ADDRESS, 9))
     low = text.casefold() if "[" in text or "(" in text else ""
     if "at]" in low or "at)" in low:
         patterns.append((MASKED_EMAIL, 7))
-    for pattern, kind in [*patterns, (PERSON, 8)]:
+    if any(w in text for w in PERSON_WORDS):
+        patterns.append((PERSON, 8))
+    for pattern, kind in patterns:
         found += [(m.start(), kind, m.end()) for m in pattern.finditer(text)]
     return found
 
