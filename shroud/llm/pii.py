@@ -179,7 +179,7 @@ def _valid(kind: str, s: str) -> int:
     if kind == "iban":
         return int(_iban_ok(s))
     if kind == "local_phone":
-        return int(7 <= len(_digits(s)) <= 12 and len(set(_digits(s))) > 2)
+        return int(7 <= len(_digits(s)) <= 12 and len(set(_digits(s))) > 2 and not BIRTHDATE.fullmatch(s))
     if kind == "birthdate":
         return int(_date_ok(s))
     return 1 if kind in BASE_KINDS else -1
@@ -214,6 +214,8 @@ def votes(text: str, start: int, kind: int, end: int, lists: dict[str, frozenset
 
 
 FEATURES = 1024
+#: Log odds from which the classifier takes a span: a probability of 0.6.
+TAKEN = 0.405
 
 
 def features(text: str, start: int, kind: int, end: int, vote: tuple[int, ...]) -> list[int]:
@@ -274,13 +276,14 @@ class SpanModel:
     lists: dict[str, frozenset[str]]
 
     def takes(self, kind: int, found: list[int]) -> bool:
-        return kind < len(BASE_KINDS) or float(self.weights[found].sum()) >= 0
+        return kind < len(BASE_KINDS) or float(self.weights[found].sum()) >= TAKEN
 
 
 def _em(vote: np.ndarray, n: np.ndarray, towards: np.ndarray | None = None, weight: float = 10.0, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float]:
     """Posterior of each vote pattern, P(vote for | class) by labeler, prior. Starts at the majority.
 
-    ``towards``: P(vote for | class) that counts as ``weight`` votes of each class.
+    ``towards``: P(vote for | class) that counts as ``weight`` votes of each class. No labeler may be worse
+    than chance, without which the two classes could change places.
     """
     cast, yes = vote >= 0, vote == 1
     post = np.clip((yes.sum(1) + 0.5) / (cast.sum(1) + 1.0), 0.05, 0.95)
@@ -288,8 +291,8 @@ def _em(vote: np.ndarray, n: np.ndarray, towards: np.ndarray | None = None, weig
     for _ in range(rounds):
         pos, neg = n * post, n * (1 - post)
         prior = float(np.clip((pos.sum() + 1) / (n.sum() + 2), 0.02, 0.98))
-        p1 = np.clip(((pos[:, None] * yes).sum(0) + weight * aim[0]) / ((pos[:, None] * cast).sum(0) + weight), 0.01, 0.99)
-        p0 = np.clip(((neg[:, None] * yes).sum(0) + weight * aim[1]) / ((neg[:, None] * cast).sum(0) + weight), 0.01, 0.99)
+        p1 = np.clip(((pos[:, None] * yes).sum(0) + weight * aim[0]) / ((pos[:, None] * cast).sum(0) + weight), 0.5, 0.99)
+        p0 = np.clip(((neg[:, None] * yes).sum(0) + weight * aim[1]) / ((neg[:, None] * cast).sum(0) + weight), 0.01, 0.5)
         like = np.log(prior / (1 - prior)) + (cast * np.where(yes, np.log(p1 / p0), np.log((1 - p1) / (1 - p0)))).sum(1)
         post = 1 / (1 + np.exp(-like))
     return post, np.stack([p1, p0]), prior
@@ -346,7 +349,7 @@ def accepted_spans(cands: Column, model: SpanModel) -> Column:
     """Strict spans, and loose ones that the classifier takes, by start and kind."""
     weights = F.array(*[F.lit(float(w)) for w in model.weights])
     score = lambda c: F.aggregate(c["features"], F.lit(0.0), lambda s, i: s + F.get(weights, i))
-    return F.filter(cands, lambda c: (c["kind"] < len(BASE_KINDS)) | (score(c) >= 0))
+    return F.filter(cands, lambda c: (c["kind"] < len(BASE_KINDS)) | (score(c) >= TAKEN))
 
 
 def span_text(spans: Column) -> Column:
