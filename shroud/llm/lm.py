@@ -185,7 +185,8 @@ class Order:
         self.count = chunk.counts[order] if order < len(chunk.counts) else None
 
     def dealt(self, chunk: Chunk, buckets: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """N-grams with a history that training has, by bucket, and their buckets."""
+        """N-grams with a history that training has, and their buckets; in order of bucket and the history's
+        last word, by which what travels with a history compresses best."""
         at = np.zeros(len(self.history_n), np.uint64)
         for column in self.columns:
             at = mixed(at ^ column.astype(np.uint64))
@@ -194,7 +195,8 @@ class Order:
         at[spread] = mixed(at[spread] + mixed(chunk.numbers[self.word[spread]].astype(np.uint64)) % salts[spread])
         bucket = (at % np.uint64(buckets)).astype(np.int64)
         asked = np.flatnonzero(self.n > 0)
-        asked = asked[np.argsort(bucket[asked], kind="stable")]
+        last = self.columns[-1][self.history[asked]]
+        asked = asked[np.argsort(bucket[asked] * (int(last.max(initial=0)) + 1) + last, kind="stable")]
         return asked, bucket[asked]
 
 
