@@ -33,17 +33,20 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """The same rows; where their files make fewer partitions than there are cores they are dealt out
+    before the work on each row, which costs far more than the shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents; where their files make fewer partitions than there are cores, the rows are dealt out
-    before the patterns run, which cost far more than the shuffle."""
-    docs = t(spark, sf_dir, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    return _dealt(t(spark, sf_dir, "documents"))
 
 
 def _orders_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a raw form: text cells, every 97th without a subject."""
-    o = t(spark, sf_dir, "orders")
+    o = _dealt(t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
     return o.select(
         F.col("o_orderkey").cast("string").alias("o_orderkey"),
         F.when(F.col("o_orderkey") % 97 != 0, F.col("o_custkey").cast("string")).alias("o_custkey"),
@@ -69,7 +72,7 @@ def rid_token_orders(spark, d):
 def date_jitter_orders(spark, d):
     days = hashing.offset_days(KEY, F.col("o_custkey").cast("string"), 30)
     shifted = dates.shift_date(F.date_format("o_orderdate", "yyyy-MM-dd"), days)
-    return t(spark, d, "orders").select("o_orderkey", days.alias("days"), shifted.alias("shifted"))
+    return _dealt(t(spark, d, "orders")).select("o_orderkey", days.alias("days"), shifted.alias("shifted"))
 
 
 def date_jitter_interval_preserved(spark, d):
@@ -127,7 +130,7 @@ _STYLES = ("yyyy-MM-dd", "M/d/yyyy", "MM/dd/yyyy", "yyyyMMdd", "yyyy-MM-dd HH:mm
 
 
 def date_parse_mixed(spark, d):
-    o = t(spark, d, "orders")
+    o = _dealt(t(spark, d, "orders"))
     raw = F.date_format("o_orderdate", _STYLES[0])
     for i, s in enumerate(_STYLES[1:], 1):
         raw = F.when(F.col("o_orderkey") % 6 == i, F.date_format("o_orderdate", s)).otherwise(raw)
