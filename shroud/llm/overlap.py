@@ -12,8 +12,10 @@ hold one in common with every partner: nodes meet by these, and each proposed pa
 its exact intersection, so no pair is missed and none is linked wrongly.
 
 Nodes are first compared with one representative of each shingle, so a large group of near copies
-becomes one component from a few pairs a member; all pairs that are still in different components
-follow. Components are joined on Spark.
+becomes one component from a few pairs a member. Pairs that are still in different components follow,
+by a join on the shingle that takes only those whose sizes are near and whose shingles from this one on
+are enough: at the first shingle that two partners share, all that they share is still to come. Shingles
+that more than ``HOT`` nodes meet by are salted. Components are joined on Spark.
 
 Defined cases: texts shorter than a shingle are one shingle, null and wordless texts are one node.
 A null id takes part but is not a component's smallest id unless no other is there.
@@ -36,6 +38,8 @@ from shroud.llm.simhash import link as gray_links
 
 #: Rounding of ``least * n``; limits are lowered by it, and the exact test decides.
 SLACK = 1e-9
+#: Nodes that meet by one shingle in one task; more are dealt to several.
+HOT = 256
 
 
 def shingle_set(text: str | None, words: int, seed: int) -> tuple[int, np.ndarray]:
@@ -124,7 +128,7 @@ def link(docs: DataFrame, text_col: str, words: int, least: float, seed: int, pr
     held = shared_shingles(docs, text_col, words, seed).groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "hash"))).alias("h"))
     sets = write_table(held.where(F.size("h") >= need).select("node", "n", F.col("h.hash").alias("shared")), "shared")
     first = F.slice("shared", 1, (F.size("shared") - need + 1).cast("int"))
-    tokens = write_table(sets.select("node", "n", F.explode(first).alias("token")), "tokens")
+    tokens = write_table(sets.select("node", "n", F.size("shared").alias("s"), F.posexplode(first).alias("pos", "token")), "tokens")
     near = F.least("n", "m") >= F.greatest("n", "m") * least - SLACK
     edges = write_table(confirmed(proposed, sets, least), "pairs")
     for i in range(stars):
@@ -134,10 +138,13 @@ def link(docs: DataFrame, text_col: str, words: int, least: float, seed: int, pr
         edges = write_table(edges.unionByName(found).distinct(), "pairs")
     roots = components(edges)
     rooted = tokens.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    groups = write_table(rooted.groupBy("token", "root").agg(F.collect_list(F.struct("node", "n")).alias("g")), "groups")
-    other = groups.select("token", F.col("root").alias("other"), F.col("g").alias("o"))
-    across = groups.join(other, "token").where("root < other").select(F.explode("g").alias("x"), "o").select("x", F.explode("o").alias("y"))
-    pairs = across.select(F.col("x.node").alias("a"), F.col("x.n").alias("n"), F.col("y.node").alias("b"), F.col("y.n").alias("m")).where(near).select("a", "b").distinct()
+    hot = tokens.groupBy("token").count().where(F.col("count") > HOT)
+    salts = F.coalesce(F.ceil(F.col("count") / HOT), F.lit(1))
+    dealt = write_table(rooted.join(hot, "token", "left").select("token", "node", "n", "root", (F.col("s") - F.col("pos")).alias("rest"), salts.alias("salts")), "dealt")
+    one = dealt.select("token", F.col("node").alias("a"), "n", "root", "rest", F.pmod(F.xxhash64("node"), "salts").alias("salt"))
+    other = dealt.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("rest").alias("left"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    enough = F.least("rest", "left") >= F.ceil((F.col("n") + F.col("m")) * least / (1 + least) - SLACK)
+    pairs = one.join(other, ["token", "salt"]).where((F.col("root") < F.col("other")) & near & enough).select("a", "b").distinct()
     return components(edges.unionByName(confirmed(pairs, sets, least)))
 
 

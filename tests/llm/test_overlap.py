@@ -53,6 +53,13 @@ def test_components_are_those_of_all_pairs(spark):
     assert {r["doc_id"]: r["component_id"] for r in overlap.near_duplicates(df).collect()} == want
 
 
+def test_salted_shingles_give_the_same_components(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "HOT", 3)
+    docs = edited_documents()[:150]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in overlap.near_duplicates(df).collect()} == brute_components(docs)
+
+
 def test_similarity_on_the_limit_links(spark):
     words = [f"w{i}" for i in range(13)]  # 9 shingles; one word less at the end: 8 of 9
     docs = [(0, " ".join(words)), (1, " ".join(words[:-1])), (2, " ".join(words[:-2])), (3, "a b c d e f g h"), (4, "a b c d e f g h i"), (5, "k l m n o p q r s"), (6, "k l m n o p q x")]
