@@ -40,6 +40,17 @@ from shroud.llm.simhash import link as gray_links
 SLACK = 1e-9
 #: Nodes that meet by one shingle in one task; more are dealt to several.
 HOT = 256
+#: Characters of texts that a task holds shingles of at once, but for one longer text.
+SLICE = 1 << 21
+
+
+def slices(batches: Iterator[pd.DataFrame], text_col: str, chars: int = SLICE) -> Iterator[pd.DataFrame]:
+    """The rows of each batch in runs of about ``chars`` characters."""
+    for batch in batches:
+        run = np.cumsum([len(t or "") for t in batch[text_col]], dtype=np.int64) // chars
+        cut = np.flatnonzero(np.diff(run, prepend=-1))
+        for a, z in zip(cut, np.r_[cut[1:], len(run)][: len(cut)], strict=True):
+            yield batch.iloc[a:z]
 
 
 def shingle_set(text: str | None, words: int, seed: int) -> tuple[int, np.ndarray]:
@@ -52,9 +63,9 @@ def nodes(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int) ->
     """(id, node, fp) a row of ``docs``; ``fp`` is the fingerprint of the node's distinct shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingle_set(t, words, seed) for t in batch["_text"]]
-            node, fp = (np.array(x, np.uint64).view(np.int64) for x in ([n for n, _ in sets], [fingerprint(h) for _, h in sets]))
+        for batch in slices(batches, "_text"):
+            made = [(node, fingerprint(h)) for node, h in (shingle_set(t, words, seed) for t in batch["_text"])]
+            node, fp = np.array(made, np.uint64).reshape(-1, 2).view(np.int64).T
             yield pd.DataFrame({"_id": batch["_id"], "node": node, "fp": fp})
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -71,7 +82,7 @@ def proposed_pairs(rows: DataFrame, radius: int) -> DataFrame:
     return same.unionByName(near.select("a", "b")).distinct()
 
 
-def shared_shingles(docs: DataFrame, text_col: str, words: int, seed: int, part_chars: int = 16 << 20) -> DataFrame:
+def shared_shingles(docs: DataFrame, text_col: str, words: int, seed: int, part_chars: int = 8 << 20) -> DataFrame:
     """(node, n, hash, df): each node's shingles that ``df`` > 1 nodes hold; ``n`` counts all of the node's."""
     spark = docs.sparkSession
     rows = docs.select(F.col(text_col).alias("_text"))
@@ -79,11 +90,11 @@ def shared_shingles(docs: DataFrame, text_col: str, words: int, seed: int, part_
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // part_chars))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches, "_text"):
             sets = dict(shingle_set(t, words, seed) for t in batch["_text"])
             node, n = np.array(list(sets), np.uint64), np.array([len(h) for h in sets.values()], np.int64)
             flat = np.concatenate([np.empty(0, np.uint64), *sets.values()])
-            owner, part = np.repeat(np.arange(len(n)), n), (flat % np.uint64(parts)).astype(np.int64)
+            owner, part = np.repeat(np.arange(len(n), dtype=np.int32), n), (flat % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             flat, owner, part = flat[order], owner[order], part[order]
             found = []
@@ -94,13 +105,13 @@ def shared_shingles(docs: DataFrame, text_col: str, words: int, seed: int, part_
             yield pd.DataFrame(found, columns=["part", "node", "n", "owner", "hash"])
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
-        node, n, hashes = [], [], []
-        for r in group.itertuples():
-            at = np.frombuffer(r.owner, np.int32)
-            node.append(np.frombuffer(r.node, np.int64)[at])
-            n.append(np.frombuffer(r.n, np.int64)[at])
-            hashes.append(np.frombuffer(r.hash, np.int64))
-        node, n, hashes = (np.concatenate(x) for x in (node, n, hashes))
+        at = np.cumsum([0, *(len(h) // 8 for h in group["hash"])])
+        node, n, hashes = (np.empty(at[-1], np.int64) for _ in range(3))
+        for a, z, r in zip(at, at[1:], group.itertuples(), strict=False):
+            owner = np.frombuffer(r.owner, np.int32)
+            node[a:z] = np.frombuffer(r.node, np.int64)[owner]
+            n[a:z] = np.frombuffer(r.n, np.int64)[owner]
+            hashes[a:z] = np.frombuffer(r.hash, np.int64)
         order = np.lexsort((node, hashes))
         node, n, hashes = node[order], n[order], hashes[order]
         new = np.ones(len(node), bool)

@@ -37,12 +37,9 @@ def shingle_hashes(text: str | None, words: int, seed: int) -> np.ndarray:
     w = (text or "").encode("utf-8", "replace").lower().split()
     if not w:
         return np.empty(0, np.uint64)
-    if len(w) < words:
-        w = [b" ".join(w)]
-    else:
-        w = [b" ".join(x) for x in zip(*(w[i:] for i in range(words)), strict=False)]
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(x, seed) for x in w), np.uint64, len(w))
+    n, digest = min(words, len(w)), xxhash.xxh64_intdigest
+    runs = map(b" ".join, zip(*(w[i:] for i in range(n)), strict=False))
+    return np.fromiter((digest(x, seed) for x in runs), np.uint64, len(w) - n + 1)
 
 
 def fingerprint(hashes: np.ndarray) -> int:
