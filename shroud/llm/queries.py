@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.llm import ann, decontam, lm, packing, pii, quality, secret_scan, simhash, url_filter, warc
+from shroud.llm import ann, decontam, lm, merkle, packing, pii, quality, secret_scan, simhash, url_filter, warc
 from shroud.llm.scratch import new_path, write_table
 
 URL_RULES = (
@@ -96,6 +96,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(of_base, 256).alias("base_sha256"), secret_scan.span_text(F.col("spans")).alias("spans"))
 
 
+A_Z, A_Z_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and root in the Merkle manifest; a fifth of the rows claim a lower-cased text."""
+    docs = table(spark, sf_dir, "documents")
+    *cells, text = (F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, merkle.leaf([*cells, F.translate(text, A_Z, A_Z_LOWER)]))
+    rows = merkle.prove(merkle.build(docs, F.col("source"), F.col("doc_id"), [*cells, text], tampered))
+    return rows.withColumnRenamed("key", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
     "op2_quality": op2_quality,
@@ -107,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_secret_scan": op10_secret_scan,
+    "op11_merkle": op11_merkle,
 }
 
 _FITS = " ".join(
@@ -174,4 +187,39 @@ SELECT d.doc_id, CAST(coalesce(a, 0) AS BIGINT) AS n_assign, CAST(coalesce(k, 0)
 FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op4_url_filter": OP4_SQL, "op10_secret_scan": OP10_SQL}
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text, bit by bit."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    byte = "list_reduce([CAST(k AS BIGINT) for k in [1, 2, 3, 4, 5, 6, 7, 8]], lambda x, k: xor(x >> 1, (x & 1) * 3988292384), xor(state, code))"
+    return f"xor(list_reduce({codes}, lambda state, code: {byte}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _merkle_sql(sources: int = 6, roots: int = 4) -> str:
+    """Trees of up to 16**sources leaves a source and 16**roots sources, level by level."""
+    cell = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c} END"
+    head, low = " || ".join(cell(c) for c in ("doc_id", "source", "lang", "n_chars")), f"translate(text, '{A_Z}', '{A_Z_LOWER}')"
+    with_ = [
+        f"d AS (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s, sha256({head} || {cell('text')}) AS leaf, CASE WHEN {crc32_sql('CAST(doc_id AS VARCHAR)')} % 5 = 0 THEN sha256({head} || {cell(low)}) END AS claim FROM documents)",
+        "a0 AS (SELECT *, leaf AS h, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY s) AS n FROM d)",
+        "b0 AS (SELECT 0 AS s, s AS i, h, count(*) OVER () AS n FROM subroots)",
+    ]
+    for t, most in (("a", sources), ("b", roots)):
+        for k in range(1, most + 1):
+            with_.append(f"{t}{k} AS (SELECT *, sha256(kids) AS h FROM (SELECT s, i // 16 AS i, (any_value(n) + 15) // 16 AS n, string_agg(h, '' ORDER BY i) AS kids FROM {t}{k - 1} WHERE n > 1 GROUP BY s, i // 16))")
+        one = " UNION ALL ".join(f"SELECT s, h FROM {t}{k} WHERE n = 1" for k in range(most + 1))
+        with_.append(f"{'subroots' if t == 'a' else 'root'} AS ({one})")
+    rows, up = "SELECT doc_id, leaf, s, i, coalesce(claim, leaf) AS h, '' AS proof FROM a0", "x.s"
+    for t, most in (("a", sources), ("b", roots)):
+        for k in range(1, most + 1):
+            before, after = (f"coalesce({c}, '')" for c in (f"left(r.kids, 64 * (x.i // {16 ** (k - 1)} % 16))", f"substr(r.kids, 64 * (x.i // {16 ** (k - 1)} % 16) + 65)"))
+            rows = f"SELECT x.doc_id, x.leaf, x.s, x.i, CASE WHEN r.kids IS NULL THEN x.h ELSE sha256({before} || x.h || {after}) END AS h, x.proof || {before} || {after} AS proof FROM ({rows}) x LEFT JOIN {t}{k} r ON r.s = {up} AND r.i = x.i // {16**k}"
+        if t == "a":
+            rows, up = f"SELECT doc_id, leaf, s, s AS i, h, proof FROM ({rows})", "0"
+    order = ["d", "a0", *(f"a{k}" for k in range(1, sources + 1)), "subroots", "b0", *(f"b{k}" for k in range(1, roots + 1)), "root"]
+    named = {w.split(" AS ", 1)[0]: w for w in with_}
+    return f"""WITH {", ".join(named[k].replace(" AS (", " AS MATERIALIZED (", 1) for k in order)}
+    SELECT x.doc_id, x.leaf, u.h AS subroot, root.h AS root, sha256(x.proof) AS proof_sha256, x.h AS folded_root, x.h = root.h AS verified
+    FROM ({rows}) x JOIN subroots u ON u.s = x.s CROSS JOIN root"""
+
+
+ORACLE_SQL: dict[str, str] = {"op11_merkle": _merkle_sql(), "op3_warc": OP3_SQL, "op4_url_filter": OP4_SQL, "op10_secret_scan": OP10_SQL}
