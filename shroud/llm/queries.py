@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.llm import ann, decontam, lm, merkle, packing, pii, quality, secret_scan, simhash, url_filter, warc
+from shroud.llm import ann, decontam, langid, lm, merkle, packing, pii, quality, repair, secret_scan, simhash, url_filter, warc
 from shroud.llm.scratch import new_path, write_table
 
 URL_RULES = (
@@ -108,6 +108,19 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("key", "doc_id")
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, its rows damaged by rule: faults counted, and the cheapest repair of its roles."""
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
+
+
+def op13_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by a random field over its words, learned from those that aren't held out."""
+    docs, out = table(spark, sf_dir, "documents"), quality.held_out("doc_id", 4, 2)
+    model = langid.train(docs.where(~out))
+    found = docs.select("doc_id", out.alias("held_out"), langid.predict(model, docs).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
     "op2_quality": op2_quality,
@@ -120,6 +133,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_secret_scan": op10_secret_scan,
     "op11_merkle": op11_merkle,
+    "op12_repair": op12_repair,
+    "op13_langid": op13_langid,
 }
 
 _FITS = " ".join(
@@ -222,4 +237,49 @@ def _merkle_sql(sources: int = 6, roots: int = 4) -> str:
     FROM ({rows}) x JOIN subroots u ON u.s = x.s CROSS JOIN root"""
 
 
-ORACLE_SQL: dict[str, str] = {"op11_merkle": _merkle_sql(), "op3_warc": OP3_SQL, "op4_url_filter": OP4_SQL, "op10_secret_scan": OP10_SQL}
+def _audit_sql(symbols: str) -> str:
+    """Cost and audit of a list of row symbols: least cost, then least audit, by state (none yet, s, u, a), row by row."""
+    best = lambda *ways: f"list_min([{', '.join(ways)}])"
+    plus = lambda way, cost, edits: f"{{'c': {way}.c + {cost}, 'a': {way}.a || '{edits}'}}"
+    none, s, u, a = (f"acc[{k}]" for k in (1, 2, 3, 4))
+    at_u = best(u, plus(none, 2, "I"), plus(s, 2, "I"), plus(a, 2, "I"))
+    at_a = best(a, plus(u, 2, "I"), plus(none, 4, "II"), plus(s, 4, "II"))
+    x, broken = "lower(row[1].a)", "CAST(row[1].a IN ('S', 'U', 'A', 'X') AS BIGINT)"
+    off = "CAST(1000000000 AS BIGINT)"
+    kept = lambda way, initial: plus(way, f"(CASE WHEN {x} = '{initial}' THEN {broken} ELSE {off} END)", "K")
+    turned = lambda way: plus(way, f"(CASE WHEN row[1].a = 'D' THEN {off} ELSE 2 + {broken} END)", "R")
+    gone = lambda way: plus(way, 3, "D")
+    to_s = best(gone(s), kept(none, "s"))
+    to_u = best(gone(at_u), *(f(way) for way in (none, s, at_a) for f in (lambda w: kept(w, "u"), turned)))
+    to_a = best(gone(at_a), kept(at_u, "a"), turned(at_u))
+    start = f"[{{'c': CAST(0 AS BIGINT), 'a': ''}}, {{'c': {off}, 'a': ''}}, {{'c': {off}, 'a': ''}}, {{'c': {off}, 'a': ''}}]"
+    end = f"list_reduce(list_transform({symbols}, lambda x: [{{'c': CAST(0 AS BIGINT), 'a': x}}]), lambda acc, row: [{gone(none)}, {to_s}, {to_u}, {to_a}], {start})"
+    return f"(SELECT {best(none, a, plus(u, 2, 'I'), plus(s, 4, 'II'))} FROM (SELECT {end} AS acc))"
+
+
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_INITIAL = "CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END"
+OP12_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS d FROM conversations),
+h AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE WHEN d = 1 THEN '' WHEN d = 2 THEN translate(text, '.!?', '') ELSE text END AS text, d FROM c WHERE d <> 0),
+r AS (SELECT *, sha256(octet_length(encode(role)) || ':' || role || text) AS same, rtrim(text, {_SPACES}) AS trimmed FROM (SELECT * FROM h UNION ALL SELECT * FROM h WHERE d = 3)),
+o AS (SELECT *, nth > 1 AS seen, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, same, nth) AS k
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, same ORDER BY turn NULLS FIRST) AS nth FROM r)),
+f AS (SELECT *, CASE WHEN trimmed = '' THEN 1 WHEN seen THEN 2 WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) || left(role, 1) AS pair FROM o),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+    count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+    list(CASE WHEN fault IN (1, 2) THEN 'D' WHEN fault = 3 THEN upper({_INITIAL}) ELSE {_INITIAL} END ORDER BY k) AS symbols FROM f GROUP BY conv_id),
+a AS MATERIALIZED (SELECT *, {_audit_sql("symbols")} AS best FROM g),
+e AS (SELECT conv_id, unnest(string_split(best.a, '')) AS edit, generate_subscripts(string_split(best.a, ''), 1) AS n FROM a WHERE best.a <> ''),
+p AS (SELECT *, sum(CAST(edit <> 'I' AS INT)) OVER w AS k, sum(CAST(edit <> 'D' AS INT)) OVER w AS j FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY n)),
+q AS (SELECT p.*, f.role, f.text, max(CAST(edit = 'K' AND j = 1 AND left(role, 1) = 's' AS INT)) OVER (PARTITION BY p.conv_id) AS led FROM p LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.k = p.k),
+t AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role || ':' || text ELSE CASE WHEN (j - led) % 2 = 1 THEN 'user:' ELSE 'assistant:' END || CASE WHEN edit = 'R' THEN text ELSE '' END END, chr(10) ORDER BY n) AS repaired FROM q WHERE edit <> 'D' GROUP BY conv_id)
+SELECT i.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op11_merkle": _merkle_sql(), "op12_repair": OP12_SQL, "op3_warc": OP3_SQL, "op4_url_filter": OP4_SQL, "op10_secret_scan": OP10_SQL}
