@@ -5,8 +5,11 @@ from __future__ import annotations
 import inspect
 
 from shroud.plans import queries as _queries
-from shroud.plans.sql import ORACLE_SQL
+from shroud.plans import sql as _sql
+from shroud.plans.sql_nested import NESTED_SQL
 
 QUERIES = {name: f for name, f in vars(_queries).items() if inspect.isfunction(f) and f.__module__ == _queries.__name__ and not name.startswith("_") and name != "t"}
 
+ORACLE_SQL = _sql.ORACLE_SQL | NESTED_SQL
+
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.functions import dates, hashing, numeric, text
+from shroud.functions import dates, hashing, numeric, persisted, text
 from shroud.functions.patterns import BLOCKING, GUARD_US, SPAN_RULES, pack
-from shroud.operators import detect, guard, lineage, policy, privacy, profile, review, scoring, scrub, shaping, transform, verify
+from shroud.operators import detect, guard, lineage, nested, policy, privacy, profile, review, scoring, scrub, shaping, transform, verify
 from shroud.sources.work import work_path
 from shroud.streaming import streams
 
@@ -555,3 +555,47 @@ def event_hash_recomputed(spark, d):
     e = t(spark, d, "events").select("event_id", "event_type", F.lit("seed").alias("prev_hash"))
     e = e.withColumn("hash", F.sha2(F.concat_ws("|", "prev_hash", "event_id", F.when(F.col("event_id") % 50 == 0, "forged").otherwise(F.col("event_type"))), 256))
     return lineage.hash_faults(e, ["event_id", "event_type"]).select("event_id")
+
+
+def _nested(spark, d):
+    """Each conversation as one JSON document: turns with bodies, notes in lists, and audit keys; identifiers are planted by number."""
+    c, n = t(spark, d, "conversations"), F.lpad((F.col("conv_id") % 10000).cast("string"), 4, "0")
+    said = F.concat(F.col("text"), F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" Call 555-010-"), n, F.lit(" under 45 CFR 164.514(b)."))).when(F.col("turn") % 3 == 1, F.lit(" Seen by Dr. Jane Roe, aged 93, 12 Oak Hill Road.")).otherwise(F.lit("")))
+    notes = F.array(F.concat(F.lit("Date of Birth 1950-04-"), F.lpad((F.col("turn") % 28 + 1).cast("string"), 2, "0"), F.lit(", MRN 77"), n), F.concat(F.lit("mail p"), n, F.lit("@clinic.example.org or http://portal.example.org/u/"), n))
+    body = F.struct(said.alias("text"), notes.alias("notes"), F.array(F.array(F.lit("host 10.0.0.7"))).alias("hosts"))
+    turn = F.struct("turn", "role", "text", F.struct("role", body.alias("body"), F.concat(F.lit("r"), n, F.lit("@audit.example.org")).alias("reviewer"), F.lit("2024-05-20").alias("ts")).alias("made"))
+    whole = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    made = F.struct(F.col("conv_id").cast("string").alias("session_id"), F.transform("turns", lambda x: x["made"]).alias("turns"))
+    return whole.select("conv_id", F.to_json(made).alias("doc"))
+
+
+def scrub_nested_conversations(spark, d):
+    """Every leaf of the conversations' JSON after its strings were scrubbed and the text rebuilt."""
+    return nested.leaves(nested.scrub_nested(_nested(spark, d), "doc"), "doc", ["conv_id"]).select("conv_id", "path", "key", "text")
+
+
+def tree_scan_json(spark, d):
+    """Leaves with residual identifiers: moved dates in ``ts`` are spared, and every seventh document is a dictionary."""
+    found = nested.json_findings(_nested(spark, d), "doc", ["conv_id"], ("ts",), F.col("conv_id") % 7 == 0)
+    return found.select("conv_id", "path", "column", "pattern")
+
+
+def canonical_props(spark, d):
+    """Properties of events in canonical form, whatever the order and spacing of their keys."""
+    e = t(spark, d, "events")
+    raw = F.concat(F.lit('{"z" : [1, {"b":"x", "a":null}],\n "type":"'), F.col("event_type"), F.lit('", "props":'), F.col("props"), F.lit("}"))
+    return e.select("event_id", nested.canonical(raw).alias("doc"))
+
+
+def scrub_persisted_documents(spark, d):
+    """Documents as stored texts, with a citation ahead of each: identifiers outside citations and terms are replaced."""
+    docs = _documents(spark, d)
+    noted = F.concat(F.lit("Per 45 CFR \u00a7164.514(b)(2)(i), Safe Harbor; seen 20-May-2024 by Ann Lee: "), F.col("text"))
+    return docs.select("doc_id", F.sha2(persisted.scrub_persisted(noted), 256).alias("digest"))
+
+
+def redact_dictionary_part(spark, d):
+    """A dictionary file, every cell scrubbed."""
+    k = F.col("p_partkey")
+    cells = t(spark, d, "part").select(k.alias("code"), F.concat(F.lit("ask Mr. Jo Poe, MRN "), F.lpad(k.cast("string"), 6, "0")).alias("help"), F.concat("p_brand", F.lit(" HIPAA 1/2/"), (k % 90 + 10).cast("string")).alias("note"))
+    return nested.scrub_cells(cells)
