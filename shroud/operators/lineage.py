@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shroud.operators.event_log import body_of
+
 
 def manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, bytes, sha256) of files, read where they lie."""
@@ -12,26 +14,6 @@ def manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def bucket_digests(df: DataFrame, key: Column, line: Column, bits: int | None = None, bucket_rows: int = 1 << 16) -> DataFrame:
-    """(bucket, n, digest): sorted lines of each hash bucket of the key, so no task holds them all.
-
-    Without ``bits`` there are as many buckets, 256 at least, as keep them at about ``bucket_rows`` lines.
-    """
-    if bits is None:
-        n, bits = df.count(), 8
-        while n >> bits > bucket_rows:
-            bits += 4
-    rows = df.select(F.substring(F.sha2(key, 256), 1, bits // 4).alias("bucket"), key.alias("key"), F.sha2(line, 256).alias("line"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("key", "line"))), lambda s: F.concat_ws("\t", s["key"], s["line"]))
-    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
-
-
-def table_digest(buckets: DataFrame) -> DataFrame:
-    """One row: the digest of the bucket digests, of which there is one for about 65,000 lines."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda s: F.concat_ws("\t", s["bucket"], s["digest"]))
-    return buckets.agg(F.sum("n").alias("n"), F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
-
-
 def snapshot_diff(old: DataFrame, new: DataFrame, path: str = "path", sha: str = "sha256") -> DataFrame:
     """(path, change): added, removed or changed."""
     a, b = old.select(path, F.col(sha).alias("_old")), new.select(path, F.col(sha).alias("_new"))
@@ -51,9 +33,9 @@ def staleness(recorded: dict[str, str | None], current: dict[str, str | None]) -
     return [k for k in ("rulebook", "key", "raw_data", "config") if recorded.get(k) and current.get(k) and recorded[k] != current[k]]
 
 
-def is_fresh(recorded: DataFrame, current: DataFrame) -> bool:
-    """Whether two ``table_digest`` results agree, so work on them can be skipped."""
-    return recorded.exceptAll(current).isEmpty() and current.exceptAll(recorded).isEmpty()
+def is_fresh(recorded: str | None, current: str | None) -> bool:
+    """Whether two root digests (``digest_tree``) are known and agree, so work on the table can be skipped."""
+    return recorded is not None and recorded == current
 
 
 def chain_faults(events: DataFrame, run: str = "run_id", seq: str = "seq") -> DataFrame:
@@ -63,6 +45,6 @@ def chain_faults(events: DataFrame, run: str = "run_id", seq: str = "seq") -> Da
 
 
 def hash_faults(events: DataFrame, payload: list[str], hash_col: str = "hash", prev: str = "prev_hash") -> DataFrame:
-    """Events whose stored hash is not that of their previous hash and payload."""
-    again = F.sha2(F.concat_ws("|", F.coalesce(F.col(prev), F.lit("")), *payload), 256)
+    """Events whose stored hash is not that of their previous hash and the canonical JSON of their payload, nulls and all."""
+    again = F.sha2(F.concat(F.coalesce(F.col(prev), F.lit("")), body_of(payload)), 256)
     return events.where(~F.col(hash_col).eqNullSafe(again))

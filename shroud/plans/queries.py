@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from shroud.functions import dates, hashing, numeric, persisted, text
 from shroud.functions.patterns import BLOCKING, GUARD_US, SPAN_RULES, pack
-from shroud.operators import detect, guard, lineage, nested, policy, privacy, profile, review, scoring, scrub, shaping, transform, verify
+from shroud.operators import detect, digest_tree, event_log, guard, lineage, nested, policy, privacy, profile, review, scoring, scrub, shaping, transform, verify
 from shroud.sources.work import work_path
-from shroud.streaming import streams
+from shroud.streaming import log, streams
 
 KEY, SALT = b"public test key", "study-salt"
 PRIORITY_CODES = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "routine", "4-NOT SPECIFIED": "routine"}
@@ -296,7 +296,20 @@ def phase_durations(spark, d):
 
 
 def manifest_digest(spark, d):
-    return lineage.bucket_digests(t(spark, d, "documents"), F.col("doc_id").cast("string"), F.col("text"))
+    """Nodes of the documents' digest tree, the root's prefix empty."""
+    docs = t(spark, d, "documents")
+    levels = digest_tree.tree(digest_tree.entries(docs, F.col("doc_id"), F.col("text")), about=docs.count())
+    return digest_tree.nodes(levels).select(F.col("prefix").alias("bucket"), "n", "digest")
+
+
+def manifest_difference(spark, d):
+    """Changed documents between two stored trees, found from the roots down."""
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    gone, k = docs.where("doc_id % 10 <> 0"), F.col("doc_id")
+    later = gone.select("doc_id", F.when(k % 31 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")).alias("text"))
+    later = later.unionByName(docs.where("doc_id % 50 = 0").select((k + 1_000_000_000).alias("doc_id"), "text"))
+    old, new = (digest_tree.store(x, k, F.col("text"), work_path(spark, "tree")) for x in (docs, later))
+    return digest_tree.difference(spark, old, new)
 
 
 def snapshot_diff(spark, d):
@@ -553,7 +566,8 @@ def as_written_ledger(spark, d):
 def event_hash_recomputed(spark, d):
     """Stored hashes against the payload: every 50th was written with another payload."""
     e = t(spark, d, "events").select("event_id", "event_type", F.lit("seed").alias("prev_hash"))
-    e = e.withColumn("hash", F.sha2(F.concat_ws("|", "prev_hash", "event_id", F.when(F.col("event_id") % 50 == 0, "forged").otherwise(F.col("event_type"))), 256))
+    kind = F.when(F.col("event_id") % 50 == 0, "forged").otherwise(F.col("event_type"))
+    e = e.withColumn("hash", F.sha2(F.concat(F.lit('seed{"event_id":'), F.col("event_id").cast("string"), F.lit(',"event_type":"'), kind, F.lit('"}')), 256))
     return lineage.hash_faults(e, ["event_id", "event_type"]).select("event_id")
 
 
@@ -599,3 +613,39 @@ def redact_dictionary_part(spark, d):
     k = F.col("p_partkey")
     cells = t(spark, d, "part").select(k.alias("code"), F.concat(F.lit("ask Mr. Jo Poe, MRN "), F.lpad(k.cast("string"), 6, "0")).alias("help"), F.concat("p_brand", F.lit(" HIPAA 1/2/"), (k % 90 + 10).cast("string")).alias("note"))
     return nested.scrub_cells(cells)
+
+
+def _log(spark, d):
+    return event_log.chain(event_log.arrivals(t(spark, d, "events"), F.col("user_id"), F.col("event_id"), F.col("ts"), ["event_id", "event_type"]))
+
+
+def event_chain(spark, d):
+    """The events as a log: numbered and chained by user."""
+    return _log(spark, d).select("run", "seq", F.col("id").cast("long").alias("event_id"), "prev_hash", "hash")
+
+
+def event_seals(spark, d):
+    return event_log.seals(_log(spark, d), 10)
+
+
+def event_log_faults(spark, d):
+    """Faults of the log after every 50th body was forged, every 97th event dropped and every 89th repeated, against seals of the log before."""
+    whole, k = _log(spark, d), F.col("id").cast("long")
+    bad = whole.where(k % 97 != 0).withColumn("body", F.when(k % 50 == 0, F.replace("body", F.lit('"event_type"'), F.lit('"type"'))).otherwise(F.col("body")))
+    return event_log.faults(bad.unionByName(bad.where(k % 89 == 0)), event_log.seals(whole, 10))
+
+
+def stream_event_chain(spark, d):
+    """The log of a stream whose events come up to an hour late in four files, every tenth of them twice."""
+    path, moved = work_path(spark, "log"), F.col("at") + F.make_dt_interval(secs=F.col("id").cast("long") * 7919 % 3600)
+    seen = event_log.arrivals(t(spark, d, "events"), F.col("user_id"), F.col("event_id"), F.col("ts"), ["event_id", "event_type"])
+    whole = seen.agg(F.min("at").alias("a"), F.max("at").alias("b")).first()
+    part = F.width_bucket(F.unix_micros(moved).cast("double"), F.lit(whole["a"].timestamp() * 1e6), F.lit((whole["b"].timestamp() + 3600) * 1e6 + 1), F.lit(4)).cast("int")
+    came = seen.withColumn("part", part)
+    came = came.unionByName(came.where(F.col("id").cast("long") % 10 == 0)).unionByName(came.where(F.col("id").cast("long") % 20 == 0).withColumn("part", F.least(F.col("part") + 1, F.lit(4))))
+    for n in range(1, 5):  # files come in this order
+        came.where(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(f"{path}/in/{n}")
+    raw = spark.readStream.schema(seen.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    q = log.chain_stream(raw, "1 hour").writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(event_log.COLUMNS).parquet(f"{path}/out").select("run", "seq", F.col("id").cast("long").alias("event_id"), "hash")

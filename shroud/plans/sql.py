@@ -187,9 +187,6 @@ ORACLE_SQL: dict[str, str] = {
     "phase_durations": """
         WITH e AS (SELECT user_id, date_trunc('second', ts) AS moment, min(event_id) AS event_id FROM events GROUP BY 1, 2)
         SELECT user_id, event_id, CAST(epoch(lead(moment) OVER w) - epoch(moment) AS BIGINT) AS seconds FROM e WINDOW w AS (PARTITION BY user_id ORDER BY moment)""",
-    "manifest_digest": """
-        WITH r AS (SELECT substr(sha256(CAST(doc_id AS VARCHAR)), 1, 2) AS bucket, CAST(doc_id AS VARCHAR) AS key, sha256(text) AS line FROM documents)
-        SELECT bucket, count(*) AS n, sha256(string_agg(key || chr(9) || line, chr(10) ORDER BY key, line)) AS digest FROM r GROUP BY bucket""",
     "snapshot_diff": """
         WITH o AS (SELECT o_orderkey AS path, sha256(o_orderpriority) AS a, CASE WHEN o_orderkey % 13 = 0 THEN 'x' ELSE sha256(o_orderpriority) END AS b FROM orders),
         d AS (SELECT path, CASE WHEN path % 10 = 0 AND path % 11 <> 0 THEN 'added' WHEN path % 10 <> 0 AND path % 11 = 0 THEN 'removed'

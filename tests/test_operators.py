@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from shroud.operators import detect, guard, lineage, policy, privacy, review, scrub, shaping, transform, verify
+from shroud.operators import detect, digest_tree, guard, lineage, policy, privacy, review, scrub, shaping, transform, verify
 from shroud.sources import tables
 from shroud.streaming import streams
 
@@ -136,7 +136,7 @@ def test_review_and_lineage(spark):
     assert rows(review.coverage_faults(cols, dec, ["file", "column"]), "fault") == [("f", "a", "duplicate"), ("f", "z", "invented"), ("f", "b", "missing")]
     old, new = spark.createDataFrame([("a", "1"), ("b", "1")], "path string, sha256 string"), spark.createDataFrame([("b", "2"), ("c", "1")], "path string, sha256 string")
     assert rows(lineage.snapshot_diff(old, new), "path") == [("a", "removed"), ("b", "changed"), ("c", "added")]
-    digest = lambda df: lineage.table_digest(lineage.bucket_digests(df, F.col("path"), F.col("sha256")))
+    digest = lambda df: digest_tree.tree(digest_tree.entries(df, F.col("path"), F.col("sha256")))[0].first()["digest"]
     assert lineage.is_fresh(digest(old), digest(old.repartition(3))) and not lineage.is_fresh(digest(old), digest(new))
 
 
