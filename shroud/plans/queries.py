@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from shroud.functions import dates, hashing, numeric, persisted, text
 from shroud.functions.patterns import BLOCKING, GUARD_US, SPAN_RULES, pack
-from shroud.operators import detect, digest_tree, event_log, guard, lineage, nested, policy, privacy, profile, review, scoring, scrub, shaping, transform, verify
+from shroud.operators import audit, detect, digest_tree, event_log, guard, lineage, nested, policy, privacy, profile, review, scoring, scrub, shaping, transform, verify
+from shroud.sources.publish import Publication
 from shroud.sources.work import work_path
 from shroud.streaming import log, streams
 
@@ -649,3 +650,32 @@ def stream_event_chain(spark, d):
     q = log.chain_stream(raw, "1 hour").writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(event_log.COLUMNS).parquet(f"{path}/out").select("run", "seq", F.col("id").cast("long").alias("event_id"), "hash")
+
+
+def audited_scrub_orders(spark, d):
+    """Counts by rule and column, observed by the job that wrote kept and held orders."""
+    made = audit.write_audited(_orders_text(spark, d), ORDERS_SCRUB, KEY, work_path(spark, "audited"))
+    return spark.createDataFrame(made.rows(), "scope string, field string, n long")
+
+
+def audited_scrub_lines(spark, d):
+    """Orders as JSON lines, with a blank line, a broken one and a list after every 50th: rows as written, read back by part and reason."""
+    path, o = work_path(spark, "lines"), _orders_text(spark, d)
+    k, line = F.col("o_orderkey").cast("long"), F.to_json(F.struct(*o.columns))
+    o.select(F.explode(F.when(k % 50 == 0, F.array(line, F.lit(" "), F.lit("{broken"), F.lit("[1]"))).otherwise(F.array(line))).alias("value")).write.text(f"{path}/in")
+    made = audit.scrub_lines(spark, f"{path}/in", o.columns, ORDERS_SCRUB, KEY, f"{path}/out")
+    kept = spark.read.schema("o_orderkey string, o_custkey string, __part string, __reason string").json(f"{path}/out")
+    rows = kept.groupBy(F.col("__part").alias("part"), F.col("__reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("o_custkey").startswith("RID_CUST_"), 1)).alias("tokens"))
+    return rows.unionByName(spark.createDataFrame([("skipped", why, n, 0) for why, n in made.skipped.items()], rows.schema))
+
+
+def published_orders(spark, d):
+    """The current release after three: one of orders and customers, one of later orders alone, and one that never got its pointer."""
+    o, c = t(spark, d, "orders"), t(spark, d, "customer")
+    p, keys = Publication(spark, work_path(spark, "publication")), {"orders": "o_orderkey", "customer": "c_custkey"}
+    p.publish({"orders": o.where("o_orderstatus = 'F'"), "customer": c}, keys, "2024-01-01T00:00:00Z")
+    p.publish({"orders": o.where("o_orderstatus <> 'F'")}, {"orders": "o_orderkey"}, "2024-01-02T00:00:00Z")
+    p.seal(p.stage({"orders": o}), {"orders": "o_orderkey"}, "2024-01-03T00:00:00Z")
+    now = p.manifest(p.current())
+    rows = p.read("orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+    return rows.withColumn("release", F.lit(now.number)).withColumn("tables", F.lit(",".join(sorted(now.tables))))

@@ -21,6 +21,8 @@ _CHAIN = """WITH RECURSIVE o AS MATERIALIZED (SELECT CAST(user_id AS VARCHAR) AS
     UNION ALL
     SELECT o.run, o.seq, o.event_id, o.ts, h.hash, sha256(h.hash || '{"event":' || o.body || ',"prev_hash":"' || h.hash || '","run":"' || o.run || '","seq":' || o.seq || '}') FROM h JOIN o ON o.run = h.run AND o.seq = h.seq + 1)"""
 
+_HELD = "CASE WHEN o_orderkey % 97 = 0 OR o_custkey IS NULL THEN 'orphan' WHEN left(o_orderpriority, 1) NOT IN ('1', '2', '3', '4') THEN 'generalize:o_orderpriority' END"
+
 RECORDS_SQL: dict[str, str] = {
     "manifest_digest": _tree(),
     "manifest_difference": """
@@ -36,4 +38,16 @@ RECORDS_SQL: dict[str, str] = {
         UNION ALL SELECT run, seq, 'repeated' FROM o WHERE k % 97 <> 0 AND k % 89 = 0
         UNION ALL SELECT run, seq, 'unsealed' FROM o WHERE k % 97 = 0 AND seq % 10 = 9""",
     "stream_event_chain": f"{_CHAIN} SELECT run, seq, event_id, hash FROM h WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
+    "audited_scrub_orders": f"""
+        WITH o AS (SELECT {_HELD} AS held, year(o_orderdate) <= 1997 AS dated FROM orders)
+        SELECT 'id' AS scope, 'o_orderkey' AS field, count(*) FILTER (held IS NULL) AS n FROM o
+        UNION ALL SELECT 'id', 'o_custkey', count(*) FILTER (held IS NULL) FROM o
+        UNION ALL SELECT 'generalize', 'o_orderpriority', count(*) FILTER (held IS NULL) FROM o
+        UNION ALL SELECT 'date', 'o_orderdate', count(*) FILTER (held IS NULL AND dated) FROM o
+        UNION ALL SELECT 'rows', 'kept', count(*) FILTER (held IS NULL) FROM o
+        UNION ALL SELECT 'rows', 'quarantined', count(*) FILTER (held IS NOT NULL) FROM o""",
+    "audited_scrub_lines": f"""
+        SELECT CASE WHEN held IS NULL THEN 'kept' ELSE 'quarantine' END AS part, coalesce(held, 'kept') AS reason, count(*) AS n, count(*) FILTER (held IS NULL) AS tokens FROM (SELECT {_HELD} AS held FROM orders) GROUP BY 1, 2
+        UNION ALL SELECT 'skipped', why, (SELECT count(*) FROM orders WHERE o_orderkey % 50 = 0), 0 FROM (VALUES ('blank'), ('not_json'), ('no_object')) v(why)""",
+    "published_orders": "SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, 2 AS release, 'orders' AS tables FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1",
 }

@@ -141,7 +141,7 @@ def test_payload_cells_cannot_be_moved(spark):
 
 def test_stream_and_batch_chains_agree(spark, tmp_path):
     rng = random.Random(2)
-    events = [(f"r{i % 3}", f"e{i}", i, {"a": f"t{i}", "b": i}) for i in range(200)]
+    events = [(f"r{i % 3}", f"e{i}", 1000 + i, {"a": f"t{i}", "b": i}) for i in range(200)]
     late = sorted(events, key=lambda e: e[2] + rng.random() * 20)  # at most 20 seconds late
     parts = [late[k : k + 50] + late[max(0, k - 10) : k] for k in range(0, 200, 50)]
     for n, part in enumerate(parts):
