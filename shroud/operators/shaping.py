@@ -45,6 +45,26 @@ def blank_row_segments(df: DataFrame, group: str, row_no: str, columns: Sequence
     return marked.withColumn("segment", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("not _blank").drop("_blank", "_start")
 
 
+def sheet_blocks(cells: DataFrame, sheet: str = "sheet", row: str = "row_no", column: str = "column_index", value: str = "value", strips: bool = True) -> DataFrame:
+    """(sheet, table, row, column, value): the tables of sheets of long cells, numbered from 1 by strip and place.
+
+    A sheet falls into strips between blank rows, and a strip into blocks between columns that are blank in all of
+    it; ``strips``: else a sheet is one strip. Rows of a block without a cell of its own are left out. Blank cells
+    of the input say nothing, so sheets may be sparse. The windows sort rows and columns of a sheet as whole
+    numbers, each once, not its cells.
+    """
+    full = cells.select(F.col(sheet).alias("sheet"), F.col(row).alias("r"), F.col(column).alias("c"), F.col(value).cast("string").alias("value")).where(~is_blank(F.col("value")))
+    island = lambda keys, at: F.col(at) - F.row_number().over(Window.partitionBy(*keys).orderBy(at))
+    rows = full.select("sheet", "r").distinct().withColumn("strip", island(["sheet"], "r") if strips else F.lit(0))
+    placed = full.join(rows, ["sheet", "r"])
+    columns = placed.select("sheet", "strip", "c").distinct().withColumn("block", island(["sheet", "strip"], "c"))
+    blocks = columns.groupBy("sheet", "strip", "block").agg(F.min("c").alias("left"))
+    blocks = blocks.withColumn("table", F.row_number().over(Window.partitionBy("sheet").orderBy("strip", "left")))
+    at = placed.join(columns, ["sheet", "strip", "c"]).join(blocks, ["sheet", "strip", "block"])
+    lines = at.select("sheet", "table", "r").distinct().withColumn("row", F.row_number().over(Window.partitionBy("sheet", "table").orderBy("r")))
+    return at.join(lines, ["sheet", "table", "r"]).select("sheet", "table", "row", (F.col("c") - F.col("left")).alias("column"), "value")
+
+
 def promote_header(df: DataFrame, row_no: str, columns: Sequence[str], footer: str | None = None) -> DataFrame:
     """The first row with more than one value names the columns, rows before it and footers go; else the first row."""
     filled = sum((~is_blank(F.col(f"`{c}`").cast("string"))).cast("int") for c in columns)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shroud.functions import dates, hashing, numeric, persisted, text
 from shroud.functions.patterns import BLOCKING, GUARD_US, SPAN_RULES, pack
-from shroud.operators import audit, detect, digest_tree, event_log, guard, lineage, nested, policy, privacy, profile, review, scoring, scrub, shaping, transform, verify
+from shroud.operators import audit, detect, digest_tree, event_log, guard, lineage, nested, policy, privacy, profile, redact, review, scoring, scrub, shaping, transform, verify
 from shroud.sources.publish import Publication
 from shroud.sources.work import work_path
 from shroud.streaming import log, streams
@@ -679,3 +679,40 @@ def published_orders(spark, d):
     now = p.manifest(p.current())
     rows = p.read("orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
     return rows.withColumn("release", F.lit(now.number)).withColumn("tables", F.lit(",".join(sorted(now.tables))))
+
+
+def redact_log_lines(spark, d):
+    """Events as log lines: subjects as keyed tags, keys and identifiers as their names."""
+    k = F.col("event_id").cast("string")
+    odd = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" mail u"), k, F.lit("@example.org on 2024-05-20"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit(" key sk-ant-api03-"), F.sha2(k, 256))).otherwise(F.lit(" from 10.0.0.7 by Dr. Ann Lee"))
+    line = F.concat(F.lit("run for SUBJ-"), F.col("user_id").cast("string"), F.lit(": "), F.col("event_type"), odd)
+    return t(spark, d, "events").select("event_id", redact.redact_line(line, KEY).alias("line"))
+
+
+def _phrases(spark, d):
+    """Literals: a piece of each benchmark text."""
+    return t(spark, d, "benchmark").select(F.substring("text", 11, 18).alias("literal"))
+
+
+def redact_literal_documents(spark, d):
+    """Documents in which every listed literal is replaced by its own keyed tag."""
+    made = redact.redact_literals(_documents(spark, d).select("doc_id", "text"), "doc_id", "text", _phrases(spark, d), "literal", KEY)
+    return made.select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+def prompt_literals(spark, d):
+    """Planted literals that documents, as prompts, still hold."""
+    return redact.prompt_violations(_documents(spark, d), "doc_id", "text", _phrases(spark, d), "literal").withColumnRenamed("id", "doc_id")
+
+
+def sheet_blocks(spark, d):
+    """Line items as sheets by order: a blank row after the third line, columns that are blank in some strips."""
+    l, no = t(spark, d, "lineitem"), F.col("l_linenumber")  # noqa: E741
+    cells = F.array(
+        F.struct(F.lit(0).alias("column_index"), F.col("l_returnflag").alias("value")),
+        F.struct(F.lit(1).alias("column_index"), F.when(F.col("l_orderkey") % 2 == 0, F.lit(" ")).otherwise(F.col("l_linestatus")).alias("value")),
+        F.struct(F.lit(2).alias("column_index"), F.when(F.col("l_partkey") % 3 > 0, F.col("l_linestatus")).alias("value")),
+        F.struct(F.lit(4).alias("column_index"), F.when(F.col("l_suppkey") % 2 == 0, F.col("l_suppkey").cast("string")).alias("value")),
+    )
+    rows = l.select(F.col("l_orderkey").alias("sheet"), (no + (no > 3).cast("int")).alias("row_no"), F.explode(cells).alias("x")).select("sheet", "row_no", "x.*")
+    return shaping.sheet_blocks(rows)

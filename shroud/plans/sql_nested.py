@@ -74,7 +74,43 @@ _SCANNED = [
 ]
 _spared = {"DATE_ISO": " AND key <> 'ts' AND conv_id % 7 <> 0", "DATE_TEXT": " AND key <> 'ts'"}
 
+_KEY_PADS = [bytes(b ^ x for b in b"public test key".ljust(64, b"\0")).hex() for x in (0x36, 0x5C)]
+
+
+def _tag(label: str, value: str) -> str:
+    return f"'<{label}_' || substr(sha256(unhex('{_KEY_PADS[1]}') || unhex(sha256(unhex('{_KEY_PADS[0]}') || encode({value})))), 1, 8) || '>'"
+
+
+_LOGGED = [
+    ("ANTHROPIC_KEY", r"sk-ant-[A-Za-z]+\d*-[A-Za-z0-9_\-]{20,}"),
+    ("OPENAI_KEY", r"sk-(?:proj-)?[A-Za-z0-9]{40,}"),
+    ("NVIDIA_KEY", r"nvapi-[A-Za-z0-9_\-]{30,}"),
+    ("GOOGLE_KEY", r"AIza[A-Za-z0-9_\-]{35}"),
+    *(x for x in _SCANNED if not x[0].startswith("SUBJECT")),
+    ("NUMERIC_ID_SHORT", r"\b\d{6,7}\b"),
+    ("DATE_MDY", r"\b\d{1,2}/\d{1,2}/\d{2,4}\b"),
+    ("PERSON_NAME_GENERIC", r"\b[A-Z][a-z]{2,15}\s+[A-Z][a-z]{2,15}\b"),
+]
+_line = "line"
+for _name, _pattern in _LOGGED:
+    _line = f"regexp_replace({_line}, {q(_pattern)}, '<{_name}>', 'g')"
+_ODD = "CASE event_id % 3 WHEN 0 THEN ' mail u' || event_id || '@example.org on 2024-05-20' WHEN 1 THEN ' key sk-ant-api03-' || sha256(CAST(event_id AS VARCHAR)) ELSE ' from 10.0.0.7 by Dr. Ann Lee' END"
+_PHRASES = "(SELECT DISTINCT substr(text, 11, 18) AS literal FROM benchmark WHERE length(substr(text, 11, 18)) >= 4)"
+
 NESTED_SQL: dict[str, str] = {
+    "redact_log_lines": f"SELECT event_id, {_line} AS line FROM (SELECT event_id, 'run for ' || {_tag('SUBJ', "'SUBJ-' || user_id")} || ': ' || event_type || {_ODD} AS line FROM events)",
+    "redact_literal_documents": f"""
+        WITH p AS (SELECT list({{'find': literal, 'put': {_tag('LIT', 'literal')}}}) AS all_of FROM {_PHRASES})
+        SELECT doc_id, sha256(list_reduce(list_concat([{{'find': text, 'put': ''}}], all_of), lambda acc, x: {{'find': replace(acc.find, x.find, x.put), 'put': ''}}).find) AS digest FROM documents, p""",
+    "prompt_literals": f"SELECT doc_id, left(literal, 2) || repeat('*', length(literal) - 4) || right(literal, 2) AS literal FROM documents JOIN (SELECT DISTINCT lower(literal) AS literal FROM {_PHRASES}) ON contains(lower(text), literal)",
+    "sheet_blocks": """
+        WITH c AS (SELECT l_orderkey AS sheet, l_linenumber + CAST(l_linenumber > 3 AS INT) AS r, unnest([0, 1, 2, 4]) AS c,
+          unnest([l_returnflag, CASE WHEN l_orderkey % 2 = 0 THEN ' ' ELSE l_linestatus END, CASE WHEN l_partkey % 3 > 0 THEN l_linestatus END, CASE WHEN l_suppkey % 2 = 0 THEN CAST(l_suppkey AS VARCHAR) END]) AS value FROM lineitem),
+        f AS (SELECT *, r - dense_rank() OVER (PARTITION BY sheet ORDER BY r) AS strip FROM c WHERE trim(value) <> ''),
+        g AS (SELECT *, c - dense_rank() OVER (PARTITION BY sheet, strip ORDER BY c) AS part FROM f),
+        h AS (SELECT *, min(c) OVER (PARTITION BY sheet, strip, part) AS first FROM g),
+        i AS (SELECT *, dense_rank() OVER (PARTITION BY sheet ORDER BY strip, first) AS no FROM h)
+        SELECT sheet, CAST(no AS INTEGER) AS "table", CAST(dense_rank() OVER (PARTITION BY sheet, no ORDER BY r) AS INTEGER) AS "row", c - first AS "column", value FROM i""",
     "scrub_nested_conversations": f"WITH {_CONVERSATIONS}, l AS ({_LEAVES}) SELECT conv_id, path, key, v AS text FROM ({scrubbed('SELECT * FROM l', keep="key IN ('session_id', 'reviewer', 'ts')")})",
     "tree_scan_json": f"WITH {_CONVERSATIONS}, l AS MATERIALIZED ({_LEAVES}) " + " UNION ALL ".join(f"SELECT conv_id, path, key AS \"column\", {q(name)} AS pattern FROM l WHERE regexp_matches(v, {q(p)}){_spared.get(name, '')}" for name, p in _SCANNED),
     "canonical_props": """SELECT event_id, '{"props":' || replace(props, ' ', '') || ',"type":"' || event_type || '","z":[1,{"a":null,"b":"x"}]}' AS doc FROM events""",
