@@ -186,7 +186,11 @@ def contaminated(
     return best.select(F.col("doc").alias(id_col), F.col("item").alias(item_id), "score")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that hold a test item; the ids to drop are the join's build side."""
-    leaks = write_table(contaminated(docs, items, id_col, **options).select(id_col).distinct(), "leaks")
-    return docs.join(leaks.hint("shuffle_hash"), id_col, "left_anti").select(docs.columns)
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the documents that hold a test item, told by the digests of their texts, so ids may be null or repeat."""
+    digest = "_digest"
+    while digest in docs.columns:
+        digest += "_"
+    keyed = docs.withColumn(digest, F.sha2(F.col(text_col), 256))
+    leaks = write_table(contaminated(keyed.select(digest, text_col), items, digest, text_col, **options).select(digest).distinct(), "leaks")
+    return keyed.join(leaks.hint("shuffle_hash"), digest, "left_anti").select(docs.columns)

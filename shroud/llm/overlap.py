@@ -28,12 +28,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shroud.llm.components import components
 from shroud.llm.scratch import write_table
-from shroud.llm.simhash import fingerprint, keep_least, shingle_hashes
+from shroud.llm.simhash import fingerprint, shingle_hashes
 from shroud.llm.simhash import link as gray_links
 
 #: Rounding of ``least * n``; limits are lowered by it, and the exact test decides.
@@ -60,16 +60,22 @@ def shingle_set(text: str | None, words: int, seed: int) -> tuple[int, np.ndarra
 
 
 def nodes(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int) -> DataFrame:
-    """(id, node, fp) a row of ``docs``; ``fp`` is the fingerprint of the node's distinct shingles."""
+    """(_id, node, fp) a row of ``docs``; ``_id`` is (none, id, digest of the text), which tells unlike texts of one
+    id apart and sorts null ids last; ``fp`` is the fingerprint of the node's distinct shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in slices(batches, "_text"):
             made = [(node, fingerprint(h)) for node, h in (shingle_set(t, words, seed) for t in batch["_text"])]
             node, fp = np.array(made, np.uint64).reshape(-1, 2).view(np.int64).T
-            yield pd.DataFrame({"_id": batch["_id"], "node": node, "fp": fp})
+            yield pd.DataFrame({"_id": batch["_id"], "digest": batch["digest"], "node": node, "fp": fp})
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(run, f"_id {rows.schema['_id'].dataType.simpleString()}, node long, fp long")
+    rows = docs.select(F.col(id_col).alias("_id"), text_digest(F.col(text_col)).alias("digest"), F.col(text_col).alias("_text"))
+    made = rows.mapInPandas(run, f"_id {rows.schema['_id'].dataType.simpleString()}, digest long, node long, fp long")
+    return made.select(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "digest").alias("_id"), "node", "fp")
+
+
+def text_digest(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
 
 
 def proposed_pairs(rows: DataFrame, radius: int) -> DataFrame:
@@ -159,17 +165,35 @@ def link(docs: DataFrame, text_col: str, words: int, least: float, seed: int, pr
     return components(edges.unionByName(confirmed(pairs, sets, least)))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = 3, seed: int = 42) -> DataFrame:
-    """(id, component_id) a row of ``docs``; ``component_id`` is the smallest id of its component."""
+def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, least: float, radius: int, seed: int) -> DataFrame:
+    """(_id, least) a row of ``docs``; ``least`` is the smallest ``_id`` of its component."""
     rows = write_table(nodes(docs, id_col, text_col, words, seed), "nodes")
     smallest = rows.groupBy("node").agg(F.min("_id").alias("least"))
     roots = link(docs, text_col, words, least, seed, proposed_pairs(rows, radius))
     joined = write_table(smallest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
-    components_ = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = joined.select("node", "root").join(components_, "root").select("node", "component_id")
-    return rows.join(of_node, "node").select(F.col("_id").alias(id_col), "component_id")
+    components_ = joined.groupBy("root").agg(F.min("least").alias("least"))
+    of_node = joined.select("node", "root").join(components_, "root").select("node", "least")
+    return rows.join(of_node, "node").select("_id", "least")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = 3, seed: int = 42) -> DataFrame:
+    """(id, component_id) a row of ``docs``; ``component_id`` is the smallest id of its component."""
+    return grouped(docs, id_col, text_col, words, least, radius, seed).select(F.col("_id.id").alias(id_col), F.col("least.id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = 3, seed: int = 42) -> DataFrame:
-    """``docs`` with the smallest id of each component, once; rows with a null id cannot be told apart and stay."""
-    return keep_least(docs, write_table(near_duplicates(docs, id_col, text_col, words, least, radius, seed), "groups"), id_col)
+    """``docs`` with one row of each component, that of the smallest id and, of one id, the smallest text digest; rows with a null id stay.
+
+    The rows to keep are the build side of the join, so texts are shuffled once and not sorted; only where a
+    row repeats are its copies sorted to take one.
+    """
+    groups = write_table(grouped(docs, id_col, text_col, words, least, radius, seed), "groups")
+    keep = groups.where((F.col("_id") == F.col("least")) & F.col("_id.id").isNotNull()).groupBy(F.col("_id.id").alias("_kept"), F.col("_id.digest").alias("_of")).count()
+    digest, side = text_digest(F.col(text_col)), keep.select("_kept", "_of").hint("shuffle_hash")
+    kept = docs.join(side, (docs[id_col] == side["_kept"]) & (text_digest(docs[text_col]) == side["_of"]), "left_semi")
+    if not keep.where("count > 1").isEmpty():
+        mark = "_digest"
+        while mark in docs.columns:
+            mark += "_"
+        kept = kept.withColumn(mark, digest).dropDuplicates([id_col, mark])
+    return kept.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

@@ -3,7 +3,8 @@
 A forest of shallow trees is grown on text statistics; every path from a root is a conjunctive rule.
 A logistic model with a lasso penalty weighs the rules, and those that keep a weight are compiled
 into one Spark column expression over the statistics. Both fits run on Spark over all labelled
-training rows. Statistics count characters and words of the whole text and never see labels, ids,
+training rows, dealt by id over a fixed number of partitions, a parameter, so that the model depends on the
+rows alone: not on files, settings or the order of tasks. Statistics count characters and words of the whole text and never see labels, ids,
 languages or sources.
 
 Defined cases: null texts are empty, and empty texts have statistics of zero and are scored. Labels
@@ -131,6 +132,10 @@ def tree_rules(node, path: Rule = ()) -> Iterator[Rule]:
         yield from tree_rules(child, tuple(sorted((*kept, (f, above, t)))))
 
 
+#: Partitions of the fits, and decimals of the kept weights: sums of tasks may differ in their last bits.
+PARTS, DECIMALS = 8, 6
+
+
 def fit(labelled: DataFrame, stats_col: str = "stats", label_col: str = "label", trees: int = 20, depth: int = 3, penalty: float = 0.0005, seed: int = 17) -> RuleEnsemble:
     """Fit on all rows of ``labelled`` (stats, label 0 or 1)."""
     counts = {r[label_col]: r["count"] for r in labelled.groupBy(label_col).count().collect()}
@@ -147,25 +152,24 @@ def fit(labelled: DataFrame, stats_col: str = "stats", label_col: str = "label",
         p = ones / total
         return RuleEnsemble(float(np.log(p / (1 - p))), ())
     lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, standardization=False, maxIter=60).fit(held)
-    kept = tuple((r, float(w)) for r, w in zip(rules, lasso.coefficients.toArray(), strict=True) if w)
-    return RuleEnsemble(float(lasso.intercept), kept)
+    kept = tuple((r, float(w)) for r, w in zip(rules, lasso.coefficients.toArray().round(DECIMALS), strict=True) if w)
+    return RuleEnsemble(round(float(lasso.intercept), DECIMALS), kept)
 
 
 def held_out(id_col: str = "doc_id", modulus: int = 3, remainder: int = 1) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def train(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", **options) -> RuleEnsemble:
+def train(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", parts: int = PARTS, **options) -> RuleEnsemble:
     """Fit on the rows of ``stats`` (id, stats) that have a label and aren't held out.
 
-    Trees draw rows by their place, so the rows are dealt and sorted by id before they are written:
-    the same rows give the same model, however tasks ran.
+    Trees draw rows by partition and place, so the rows are dealt by id over ``parts`` partitions and sorted
+    before each fit, whatever the session's own number is; raise ``parts`` with the labels.
     """
-    parts = max(1, int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg((F.avg(label_col) >= 0.5).cast("double").alias("label"))
     rows = stats.where(~held_out(id_col)).join(known, id_col).select(F.col(id_col).alias("_id"), "stats", "label")
-    rows = rows.repartition(parts, "_id").sortWithinPartitions("_id", "stats")
-    return fit(write_table(rows, "labelled"), **options)
+    rows = write_table(rows, "labelled")
+    return fit(rows.repartition(parts, "_id").sortWithinPartitions("_id", "stats"), **options)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", **options) -> tuple[DataFrame, RuleEnsemble]:
