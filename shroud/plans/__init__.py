@@ -6,11 +6,12 @@ import inspect
 
 from shroud.plans import queries as _queries
 from shroud.plans import sql as _sql
+from shroud.plans.sql_headers import HEADERS_SQL
 from shroud.plans.sql_nested import NESTED_SQL
 from shroud.plans.sql_records import RECORDS_SQL
 
 QUERIES = {name: f for name, f in vars(_queries).items() if inspect.isfunction(f) and f.__module__ == _queries.__name__ and not name.startswith("_") and name != "t"}
 
-ORACLE_SQL = _sql.ORACLE_SQL | NESTED_SQL | RECORDS_SQL
+ORACLE_SQL = _sql.ORACLE_SQL | NESTED_SQL | RECORDS_SQL | HEADERS_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

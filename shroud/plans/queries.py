@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shroud.functions import dates, hashing, numeric, persisted, text
 from shroud.functions.patterns import BLOCKING, GUARD_US, SPAN_RULES, pack
-from shroud.operators import audit, detect, digest_tree, event_log, guard, lineage, nested, policy, privacy, profile, redact, review, scoring, scrub, shaping, transform, verify
+from shroud.operators import audit, detect, digest_tree, event_log, guard, header_review, lineage, nested, policy, privacy, profile, redact, review, scoring, scrub, shaping, transform, verify
 from shroud.sources.publish import Publication
 from shroud.sources.work import work_path
 from shroud.streaming import log, streams
@@ -535,7 +535,9 @@ def joined_policy_view(spark, d):
 
 
 def dictionary_drift(spark, d):
-    return scoring.drift(t(spark, d, "customer"), t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    """Listed customers without an early order, as columns that are documented and in no dataset."""
+    listed = t(spark, d, "customer").where("c_custkey % 7 <> 0")
+    return scoring.drift(listed, t(spark, d, "orders").where("o_orderdate < timestamp '1993-01-01'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 def strengthen_actions(spark, d):
@@ -716,3 +718,35 @@ def sheet_blocks(spark, d):
     )
     rows = l.select(F.col("l_orderkey").alias("sheet"), (no + (no > 3).cast("int")).alias("row_no"), F.explode(cells).alias("x")).select("sheet", "row_no", "x.*")
     return shaping.sheet_blocks(rows)
+
+
+FORM_HEADERS = ("SUBJID", "VISDAT", "hemoglobin", "interviewer_remarks", "fname", "Visit Date", " ", "GPS lat", "e_mail_ok", "whatsapp", "sign_off", "visit_date", "weight_kg", "pincode", "notes", "age")
+
+
+def review_headers_forms(spark, d):
+    """Forms of the headers of neighbouring orders, with printed questions for some and human keeps for a few."""
+    form = F.floor(F.col("o_orderkey") / 8)
+    name = F.element_at(F.array(*[F.lit(h) for h in FORM_HEADERS]), ((F.col("o_orderkey") + form) % 16 + 1).cast("int"))
+    o = t(spark, d, "orders").select(form.alias("form"), F.col("o_orderkey").alias("position"), name.alias("header"), "o_orderstatus")
+    k = F.col("position")
+    sot = F.when(k % 11 == 0, "drop").when(k % 7 == 0, "keep")
+    signals = o.where("o_orderstatus = 'F'").select("form", "header", F.lit(True).alias("has_question"), (k % 5 == 0).alias("is_phi"), sot.alias("sot_phi"))
+    return header_review.review_headers(o.drop("o_orderstatus"), signals, o.where(k % 13 == 0).select("form", "header"))
+
+
+def rule_safety(spark, d):
+    """Proposed rules for headers, some too broad, broken, costly or off the rulebook."""
+    k, seg = F.col("c_custkey"), F.lower("c_mktsegment")
+    pattern = F.element_at(F.array(F.concat(F.lit("^c_"), seg), F.lit(".*"), F.lit("("), F.lit("zzz"), F.lit("c|visit"), F.lit("(a+)+b")), (k % 6 + 1).cast("int"))
+    action = F.element_at(F.array(F.lit("drop"), F.lit("keep"), F.lit("zap")), (F.col("c_nationkey") % 3 + 1).cast("int"))
+    proposals = t(spark, d, "customer").select(k.alias("proposal_id"), F.concat(F.lit("c_"), seg).alias("header"), pattern.alias("pattern"), action.alias("action"), F.concat(F.lit("r"), (F.col("c_nationkey") % 4).cast("string")).alias("rule_id"))
+    book = t(spark, d, "region").where("r_regionkey < 3").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("rule_id"), F.when(F.col("r_regionkey") == 1, "keep").otherwise("drop").alias("action"))
+    return header_review.rule_safety(proposals, book)
+
+
+def gate_lexicon_parts(spark, d):
+    """Titles of parts under a clinical lexicon and a list of names, both made of their words."""
+    texts = t(spark, d, "part").select(F.initcap(F.substring_index(F.lower("p_type"), " ", 2)).alias("text")).unionByName(t(spark, d, "part").select(F.concat(F.lit("Lot "), (F.col("p_partkey") + 1_000_000).cast("string")).alias("text")))
+    tokens = t(spark, d, "part").select(F.explode(F.split(F.lower("p_type"), " ")).alias("word"))
+    phrases = texts.where("text like 'Promo B%'").select(F.col("text").alias("phrase"))
+    return header_review.gate(texts, "text", tokens.where("length(word) % 2 = 0"), phrases, tokens.where("word like 'p%'").withColumnRenamed("word", "name"))

@@ -268,7 +268,7 @@ ORACLE_SQL: dict[str, str] = {
     "action_counts": f"SELECT action, count(*) AS n FROM ({_DECIDED}) GROUP BY 1",
     "tool_coverage": "SELECT count(*) FILTER (o_orderkey % 2 = 0) AS rules, count(*) FILTER (o_orderstatus = 'F') AS model, CAST(0 AS BIGINT) AS review FROM orders",
     "joined_policy_view": "SELECT c_custkey, c_mktsegment, c_custkey IN (SELECT o_custkey FROM orders) AS in_schema FROM customer",
-    "dictionary_drift": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "dictionary_drift": "SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1993-01-01')",
     "strengthen_actions": f"""
         WITH r AS (SELECT *, CASE action WHEN 'keep' THEN 1 WHEN 'year_only' THEN 2 WHEN 'hash' THEN 7 WHEN 'human_review' THEN 8 ELSE 9 END AS a,
           CASE WHEN "column" % 3 <> 0 THEN 0 WHEN expected = 'keep' THEN 1 WHEN expected = 'hash' THEN 7 ELSE 9 END AS e FROM ({_DECIDED}))

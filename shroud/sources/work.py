@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names; a temporary one only where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='shroud-')}"
+    """A new path in the folder that ``spark.checkpoint.dir`` names; where none is set, a local master gets a temporary one and a cluster is an error."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='shroud-')}"
     return f"{base.rstrip('/')}/work/{name}-{uuid.uuid4().hex}"
