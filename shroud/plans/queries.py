@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shroud.functions import dates, hashing, numeric, persisted, text
 from shroud.functions.patterns import BLOCKING, GUARD_US, SPAN_RULES, pack
-from shroud.operators import audit, detect, digest_tree, event_log, guard, header_review, lineage, nested, policy, privacy, profile, redact, review, scoring, scrub, shaping, transform, verify
+from shroud.operators import audit, detect, digest_tree, event_log, guard, header_review, lineage, nested, policy, privacy, profile, redact, review, scoring, scrub, shaping, study_config, support, transform, verify
 from shroud.sources.publish import Publication
 from shroud.sources.work import work_path
 from shroud.streaming import log, streams
@@ -750,3 +750,49 @@ def gate_lexicon_parts(spark, d):
     tokens = t(spark, d, "part").select(F.explode(F.split(F.lower("p_type"), " ")).alias("word"))
     phrases = texts.where("text like 'Promo B%'").select(F.col("text").alias("phrase"))
     return header_review.gate(texts, "text", tokens.where("length(word) % 2 = 0"), phrases, tokens.where("word like 'p%'").withColumnRenamed("word", "name"))
+
+
+def _support(spark, d):
+    """Data sets by market segment, each with a column a region, and a dictionary a region with its nations; region 2's has a
+    second, changed copy, and region 3's gives one code two labels."""
+    regions = F.explode(F.sequence(F.lit(0), F.lit(4)))
+    sets = t(spark, d, "customer").select(F.col("c_mktsegment").alias("dataset")).distinct()
+    headers = sets.select("dataset", F.sha2("dataset", 256).alias("dataset_sha"), regions.alias("r"))
+    headers = headers.select("dataset", "dataset_sha", F.concat("dataset", F.lit("/"), F.col("r").cast("string")).alias("header_id"), F.concat(F.lit("NationR"), F.col("r").cast("string")).alias("raw_name"))
+    n, key = t(spark, d, "nation"), F.col("n_nationkey")
+    copy = F.explode(F.when(F.col("n_regionkey") == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    rows = n.select("*", copy.alias("copy"), F.explode(F.when((F.col("n_regionkey") == 3) & (key % 2 == 0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("twice"))
+    label = F.when((F.col("copy") == 1) | (F.col("twice") == 1), F.lower("n_name")).otherwise(F.col("n_name"))
+    values = F.array(F.concat(F.lit("nation r"), F.col("n_regionkey").cast("string")), key.cast("string"), label, F.lit("a code"))
+    cells = rows.select(F.concat(F.lit("dict"), F.col("n_regionkey").cast("string"), F.lit("-"), F.col("copy").cast("string")).alias("artifact"), (key * 10 + F.col("twice")).alias("row"), F.posexplode(values).alias("column", "value"))
+    return headers, cells, cells.select("artifact").distinct().select("artifact", F.sha2("artifact", 256).alias("artifact_sha"))
+
+
+def dependency_links(spark, d):
+    """Links of dictionaries to data sets under decisions: every fifth ignored, some stale since the dictionary changed."""
+    headers, cells, artifacts = _support(spark, d)
+    links = support.dictionary_links(headers, cells, artifacts)
+    old = support.dictionary_links(headers, cells, artifacts.withColumn("artifact_sha", F.when(F.col("artifact") == "dict1-0", F.lit("older")).otherwise(F.col("artifact_sha"))))
+    decisions = old.where("artifact in ('dict0-0', 'dict1-0')").select("link_id", "basis", F.lit("ignored").alias("level"))
+    return support.decided(links, decisions).select("dataset", "artifact", F.array_join("header_ids", ",").alias("header_ids"), "current", "decided", "eligible")
+
+
+def support_maps(spark, d):
+    """Code maps on which all eligible dictionaries agree."""
+    headers, cells, artifacts = _support(spark, d)
+    links = support.decided(support.dictionary_links(headers, cells, artifacts), spark.createDataFrame([], "link_id string, basis string, level string"))
+    return support.support_maps(support.code_entries(links, headers, cells))
+
+
+STUDY = (
+    ("packaged", {"subject_id_fields": ["SUBJID"], "date_fields": ["DAT$"], "drop_fields": ["NAME$", "total"], "generalize_fields": {"PRIORITY$": {"1-URGENT": "now"}}, "plausible_max_year": 2026}),
+    ("study", {"subject_id_fields": ["o_custkey"], "date_fields": ["date$"], "generalize_fields": {"PRIORITY$": {"1-URGENT": "urgent", "2-HIGH": "high"}}, "plausible_max_year": 1997}),
+)
+
+
+def scrub_packaged_orders(spark, d):
+    """Orders under a packaged configuration, a study's own on top and one made from classified headers."""
+    raw, _ = study_config.merge(STUDY)
+    made = study_config.synthesize([("o_custkey", "pseudonymize"), ("o_orderkey", "pseudonymize"), ("o_orderstatus", "keep")])
+    plan = scrub.scrub(_orders_text(spark, d), study_config.build(study_config.extend(raw, made)), KEY)
+    return plan.kept.drop(scrub.MARKER).unionByName(plan.quarantine.select("o_orderkey", "o_custkey", "o_orderstatus", F.lit("held").alias("o_orderdate"), F.col("reason").alias("o_orderpriority")))

@@ -2,6 +2,17 @@
 
 from __future__ import annotations
 
+_PADS = [bytes(b ^ x for b in b"public test key".ljust(64, b"\0")).hex() for x in (0x36, 0x5C)]
+
+
+def _mac(value: str) -> str:
+    return f"sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode({value}))))"
+
+
+def _rid(label: str, value: str) -> str:
+    return f"'RID_{label}_' || translate(substr({_mac(f"('{label}:' || {value})")}, 1, 12), '0123456789abcdef', 'abcdefghijklmnop')"
+
+
 #: (place, header, normalised, action, risky, strong)
 _HEADERS = """(VALUES (0, 'SUBJID', 'subjid', 'pseudonymize', false, false), (1, 'VISDAT', 'visdat', 'jitter_date', false, false), (2, 'hemoglobin', 'hemoglobin', 'keep', false, false),
     (3, 'interviewer_remarks', 'interviewer_remarks', 'suppress', true, false), (4, 'fname', 'fname', 'drop', true, true), (5, 'Visit Date', 'visit_date', 'jitter_date', false, false), (6, ' ', '', 'keep', false, false),
@@ -35,4 +46,18 @@ HEADERS_SQL: dict[str, str] = {
             len(tokens) BETWEEN 2 AND 4 AND (SELECT count(*) FROM w WHERE list_contains(tokens, word) AND word LIKE 'p%') > 0 AS named FROM x)
         SELECT text, '' AS blocked, CASE WHEN NOT clinical AND named AND regexp_matches(text, '\\b[A-Z][a-z]{2,15}\\s+[A-Z][a-z]{2,15}\\b') THEN 'PERSON_NAME_GENERIC' ELSE '' END AS warned FROM y
         UNION ALL SELECT DISTINCT 'Lot ' || (p_partkey + 1000000), '', 'NUMERIC_ID_SHORT' FROM part""",
+    "dependency_links": """
+        SELECT dataset, 'dict' || n_regionkey || '-' || copy AS artifact, dataset || '/' || n_regionkey AS header_ids, n_regionkey = 0 AS current, CASE WHEN n_regionkey = 0 THEN 'ignored' END AS decided, n_regionkey <> 0 AS eligible
+        FROM (SELECT DISTINCT c_mktsegment AS dataset FROM customer), (SELECT DISTINCT n_regionkey FROM nation), (VALUES (0), (1)) c(copy) WHERE copy = 0 OR n_regionkey = 2""",
+    "support_maps": """
+        SELECT 'nationr' || n_regionkey AS map_name, CAST(n_nationkey AS VARCHAR) AS code, n_name AS label, (SELECT count(DISTINCT c_mktsegment) FROM customer) AS sources FROM nation
+        WHERE n_regionkey NOT IN (2, 3) OR (n_regionkey = 2 AND (SELECT bool_and(n_name = lower(n_name)) FROM nation WHERE n_regionkey = 2)) OR (n_regionkey = 3 AND NOT EXISTS (SELECT 1 FROM nation WHERE n_regionkey = 3 AND n_nationkey % 2 = 0 AND n_name <> lower(n_name)))""",
+    "scrub_packaged_orders": f"""
+        WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 97 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS subject, o_orderstatus, CAST(o_orderdate AS DATE) AS day,
+          CASE left(o_orderpriority, 1) WHEN '1' THEN 'urgent' WHEN '2' THEN 'high' END AS priority FROM orders),
+        p AS (SELECT *, CASE WHEN subject IS NULL THEN 'orphan' WHEN priority IS NULL THEN 'generalize:o_orderpriority' END AS held FROM o)
+        SELECT CASE WHEN held IS NULL THEN {_rid('O_ORDERKEY', 'CAST(o_orderkey AS VARCHAR)')} ELSE CAST(o_orderkey AS VARCHAR) END AS o_orderkey,
+          CASE WHEN held IS NULL THEN {_rid('O_CUSTKEY', 'subject')} ELSE subject END AS o_custkey, o_orderstatus,
+          CASE WHEN held IS NOT NULL THEN 'held' WHEN year(day) > 1997 THEN '' ELSE strftime(day + CAST(CAST('0x' || substr({_mac('subject')}, 1, 8) AS BIGINT) % 61 - 30 AS INTEGER), '%Y-%m-%d') END AS o_orderdate,
+          coalesce(held, priority) AS o_orderpriority FROM p""",
 }
