@@ -282,10 +282,12 @@ def fit(sequences: list[list[str]], labels: list[list[int]], lex: np.ndarray, ro
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = 150, longest: int = 20_000) -> Model:
     """The model of ``docs``, all of which are training documents."""
-    counted = lexicon(docs, text, lang).toPandas()
-    languages = sorted(counted["lang"].unique(), key=str.encode)
+    counted = lexicon(docs, text, lang).toArrow()  # at most BUCKETS rows a language
+    names = counted["lang"].combine_chunks().dictionary_encode()
+    languages = sorted(names.dictionary.to_pylist(), key=str.encode)
+    column = np.array([languages.index(n) for n in names.dictionary.to_pylist()], np.int64)
     counts = np.zeros((BUCKETS, len(languages)))
-    counts[counted["bucket"].to_numpy(np.int64), np.searchsorted(np.array(languages, object), counted["lang"].to_numpy(object)) if languages else []] = counted["n"]
+    counts[counted["bucket"].to_numpy(), column[names.indices.to_numpy()]] = counted["n"].to_numpy()
     odds = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * BUCKETS))
     lex = np.clip(odds - odds.mean(axis=1, keepdims=True), -4, 4).astype(np.float32) if languages else odds.astype(np.float32)
     texts = [x for x in sample_texts(docs, text, lang, sample, longest) if x[0] in languages]
