@@ -203,7 +203,22 @@ def guard_top20_by_source(spark, d):
     return guard.top_findings(found)
 
 
+def _noted(spark, d):
+    """Documents, every seventh with a label and a code of a kind by its number, so that labelled and conditional patterns have something to find."""
+    k = F.col("doc_id")
+    notes = (" MRN: AB-4471", " acct 99X71 member id ZZ12", " aged 93, tag QX 4711", " imei 490154203237518 uid K-7781", " provider 1234567893 vin 1HGCM82633A004352")
+    note = F.element_at(F.array(*[F.lit(n) for n in notes]), (k % 5 + 1).cast("int"))
+    return _documents(spark, d).select("doc_id", "source", F.when(k % 7 != 0, F.col("text")).otherwise(F.concat("text", note)).alias("text"))
+
+
 def guard_report(spark, d):
+    """Every source under the whole pack: clean or blocked."""
+    docs = _noted(spark, d)
+    return guard.export_report(guard.cell_findings(docs, "source", {"text": None}, GUARD_US), docs.select(F.col("source").alias("file")))
+
+
+def guard_report_portable(spark, d):
+    """The same under the patterns that need no label, column or look-around."""
     docs = _documents(spark, d)
     found = guard.cell_findings(docs, "source", {"text": None}, TEXT_GUARD)
     return guard.export_report(found, docs.select(F.col("source").alias("file")))
@@ -416,7 +431,7 @@ def session_events(spark, d):
 
 def guard_all_patterns(spark, d):
     """The whole pack over the documents, labelled and conditional patterns too."""
-    found = guard.cell_findings(_documents(spark, d), "source", {"text": None}, GUARD_US)
+    found = guard.cell_findings(_noted(spark, d), "source", {"text": None}, GUARD_US)
     return found.groupBy(F.col("file").alias("source"), "pid").agg(F.count(F.lit(1)).alias("texts"))
 
 

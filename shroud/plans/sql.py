@@ -138,7 +138,7 @@ ORACLE_SQL: dict[str, str] = {
         n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY pid, match) AS n FROM (SELECT DISTINCT file, pid, match FROM f))
         SELECT file, pid, CASE WHEN length(match) <= 4 THEN repeat('*', length(match)) ELSE left(match, 2) || repeat('*', length(match) - 4) || right(match, 2) END AS sample,
           CAST(n AS INTEGER) AS n FROM n WHERE n <= 20""",
-    "guard_report": f"""
+    "guard_report_portable": f"""
         WITH f AS ({_found('documents', 'source', 'text')}), c AS (SELECT file, count(*) AS n FROM f GROUP BY file)
         SELECT d.file, CASE WHEN n > 0 THEN 'blocked' ELSE 'clean' END AS status, coalesce(n, 0) AS findings
         FROM (SELECT DISTINCT source AS file FROM documents) d LEFT JOIN c ON d.file = c.file""",

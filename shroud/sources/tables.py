@@ -25,7 +25,9 @@ def read_csv_rejects(spark: SparkSession, path: str, columns: Sequence[str], sep
     """Lines with another number of cells than ``columns``."""
     schema = ", ".join([*(f"`{c}` string" for c in columns), f"{CORRUPT} string"])
     rows = spark.read.schema(schema).option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
-    return rows.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    # Spark does not read the rejected lines alone, so a cell is read, and nothing of it kept
+    line = F.concat(F.substring(F.coalesce(F.col(f"`{columns[0]}`"), F.lit("")), 1, 0), F.col(CORRUPT))
+    return rows.where(F.col(CORRUPT).isNotNull()).select(line.alias(CORRUPT))
 
 
 def read_jsonl(spark: SparkSession, path: str, strict: bool = False, schema: str | None = None) -> DataFrame:
