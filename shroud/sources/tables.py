@@ -24,8 +24,8 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", columns: Sequence[s
 def read_csv_rejects(spark: SparkSession, path: str, columns: Sequence[str], sep: str = ",") -> DataFrame:
     """Lines with another number of cells than ``columns``."""
     schema = ", ".join([*(f"`{c}` string" for c in columns), f"{CORRUPT} string"])
-    rows = spark.read.schema(schema).option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
-    # Spark does not read the rejected lines alone, so a cell is read, and nothing of it kept
+    rows = spark.read.schema(schema).option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).csv(path)
+    # all cells must be parsed for one too many to show, and Spark does not read rejected lines alone: a cell is read, nothing of it kept
     line = F.concat(F.substring(F.coalesce(F.col(f"`{columns[0]}`"), F.lit("")), 1, 0), F.col(CORRUPT))
     return rows.where(F.col(CORRUPT).isNotNull()).select(line.alias(CORRUPT))
 
