@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,3 +63,9 @@ def luhn_valid(digits: Column) -> Column:
 
 def mask_small(count: Column, least: int = 5) -> Column:
     return F.when(count >= least, count.cast("string")).otherwise(F.lit(f"<{least}"))
+
+
+def band_of(c: Column, bands: Mapping[str, str]) -> Column:
+    """The band of a value, told by its lower-cased text without outer space; null where none is listed."""
+    pairs = [x for k, v in bands.items() for x in (F.lit(k.strip().lower()), F.lit(v))]
+    return F.try_element_at(F.create_map(*pairs), F.lower(strip(c))) if pairs else F.lit(None).cast("string")

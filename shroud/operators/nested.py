@@ -144,3 +144,26 @@ def json_findings(df: DataFrame, json: str, keys: Sequence[str], date_columns: S
 def scrub_cells(df: DataFrame) -> DataFrame:
     """A dictionary table with identifiers replaced in every cell, all as text."""
     return df.select(*[scrub_persisted(F.col(f"`{c}`").cast("string")).alias(c) for c in df.columns])
+
+
+#: How the second pass of the gate reads its patterns: letters in either case, lines one by one, a dot also for line ends.
+SECOND_FLAGS = "(?ims)"
+
+
+def gate_findings(df: DataFrame, json: str, keys: Sequence[str], date_columns: Sequence[str] = (), dictionary: Column | None = None) -> DataFrame:
+    """(keys, path, column, pattern, pass) of the two passes over JSON leaves that a release must come through.
+
+    The second reads the blocking patterns in either case; in ``date_columns`` it spares numeric dates only, so a date with
+    a month's name there is found, where the first spares all dates.
+    """
+    first = json_findings(df, json, keys, date_columns, dictionary)
+    loose = [Pattern(p.name, SECOND_FLAGS + p.regex) for p in BLOCKING]
+    numeric, worded = [p for p in loose if p.name in DICTIONARY_DATES], [p for p in loose if p.name not in DICTIONARY_DATES]
+    second = json_findings(df, json, keys, date_columns, dictionary, numeric).unionByName(json_findings(df, json, keys, (), dictionary, worded))
+    return first.withColumn("pass", F.lit(1)).unionByName(second.withColumn("pass", F.lit(2)))
+
+
+def gate_verdicts(df: DataFrame, json: str, keys: Sequence[str], date_columns: Sequence[str] = (), dictionary: Column | None = None) -> DataFrame:
+    """(keys, passed): a document comes through where neither pass finds anything."""
+    found = gate_findings(df, json, keys, date_columns, dictionary).select(*keys).distinct().withColumn("_found", F.lit(True))
+    return df.select(*keys).distinct().join(found, list(keys), "left").select(*keys, F.col("_found").isNull().alias("passed"))

@@ -43,6 +43,13 @@ def redact_line(text: Column, key: bytes, subjects: Sequence[Pattern] = SUBJECT_
     return text
 
 
+def mask_telemetry(text: Column, patterns: Sequence[Pattern] = BLOCKING + WARN) -> Column:
+    """Every match of every pattern, in order, as ``[REDACTED]``."""
+    for p in patterns:
+        text = F.regexp_replace(text, p.regex, "[REDACTED]")
+    return text
+
+
 def find_literals(df: DataFrame, row_id: str, text: str, literals: DataFrame, literal: str, fold: bool = False, block: int = 50_000) -> DataFrame:
     """(id, digest, start, end, literal): at each place of each text the longest literal of a block that begins there.
 

@@ -92,8 +92,13 @@ def drift(documented: DataFrame, present: DataFrame, name: str) -> DataFrame:
     return documented.select(name).distinct().join(present.select(name), name, "left_anti")
 
 
-def strengthen(decisions: DataFrame, signals: DataFrame, keys: Sequence[str], rank: Sequence[str]) -> DataFrame:
-    """Actions that support signals make stricter, never weaker; ``rank`` goes from weakest to strictest."""
+def strengthen(decisions: DataFrame, signals: DataFrame, keys: Sequence[str], rank: Sequence[str], candidates: DataFrame | None = None, rule: str = "rule") -> DataFrame:
+    """Actions that support signals make stricter, never weaker; ``rank`` goes from weakest to strictest.
+
+    With ``candidates``, rules by ``rule``, a signal that cites none of them, or an action that has no rank, says nothing.
+    """
+    if candidates is not None:
+        signals = signals.join(candidates.select(rule).distinct(), rule, "left_semi")
     place = lambda c: F.coalesce(F.array_position(F.array(*[F.lit(r) for r in rank]), c).cast("int"), F.lit(0))
     strictest = signals.groupBy(*keys).agg(F.max_by("action", place(F.col("action"))).alias("_signal"))
     joined = decisions.join(strictest, list(keys), "left")
@@ -124,3 +129,27 @@ def as_written(before: DataFrame, after: DataFrame, columns: Sequence[str], rule
     one = a.join(b, "_k").agg(F.count(F.lit(1)).alias("n"), *[F.sum((~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))).cast("long")).alias(c) for c in columns])
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(rules[c]).alias("rule"), F.col("n").alias("cells"), F.coalesce(F.col(c), F.lit(0)).alias("changed")) for c in columns])
     return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def context_hygiene(prompts: DataFrame, prompt_id: str, text: str, violations: DataFrame, scrubbed: Column) -> DataFrame:
+    """One row over logged prompts that have a text: how many and how long they are, what was removed before, and how many planted
+    literals (``violations``: a row a prompt and literal) they still hold; clean if none."""
+    seen = prompts.where(F.coalesce(F.length(text), F.lit(0)) > 0)
+    sums = seen.agg(F.count(F.lit(1)).alias("prompts_audited"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("prompt_chars_audited"), F.coalesce(F.sum(scrubbed), F.lit(0)).cast("long").alias("identifiers_removed"))
+    held = violations.join(seen.select(prompt_id), prompt_id, "left_semi").agg(F.count(F.lit(1)).alias("literals_found"))
+    return sums.withColumn("_one", F.lit(1)).join(held.withColumn("_one", F.lit(1)), "_one").drop("_one").withColumn("clean", F.col("literals_found") == 0)
+
+
+def reviewer_coverage(reviews: DataFrame) -> DataFrame:
+    """One row over reviews of files (verdict, missing, decisions_checked, verdicts_found): sums, and clean if every verdict is."""
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    unclean = F.coalesce(F.col("verdict"), F.lit("")) != "clean"
+    rows = reviews.agg(F.count(F.lit(1)).alias("files_checked"), F.coalesce(F.sum(unclean.cast("long")), F.lit(0)).alias("files_with_findings"), n("decisions_checked"), n("verdicts_found"), n("missing"))
+    return rows.withColumn("clean", F.col("files_with_findings") == 0)
+
+
+def unreviewed(decisions: DataFrame, verdicts: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, column, fault): decisions without a verdict, and decisions on files that are not there."""
+    missing = decisions.join(verdicts.select("file", "column"), ["file", "column"], "left_anti").withColumn("fault", F.lit("no_verdict"))
+    absent = decisions.join(files.select("file"), "file", "left_anti").withColumn("fault", F.lit("no_file"))
+    return missing.select("file", "column", "fault").unionByName(absent.select("file", "column", "fault"))

@@ -33,7 +33,7 @@ class ScrubConfig:
     drop_fields: tuple[str, ...] = ()
     cap_fields: tuple[str, ...] = ()
     generalize_fields: Mapping[str, Mapping[str, str]] = field(default_factory=dict)
-    band_fields: Mapping[str, Sequence[tuple[float | None, str]]] = field(default_factory=dict)
+    band_fields: Mapping[str, Sequence[tuple[float | None, str]] | Mapping[str, str]] = field(default_factory=dict)  # ranges by upper end, or values by lower-cased text
     small_cell_fields: tuple[str, ...] = ()
     date_fields: tuple[str, ...] = ()
     id_fields: Mapping[str, str] = field(default_factory=dict)  # pattern -> label
@@ -128,7 +128,8 @@ def rung(config: ScrubConfig, name: str, columns: Sequence[str], key: bytes, sub
         found = F.element_at(F.create_map(*pairs), F.lower(numeric.strip(c))) if pairs else F.lit(None).cast("string")
         return Rung("generalize", F.when(blank, c).otherwise(found), ~blank & found.isNull(), ~blank)
     if (p := _first(config.band_fields, name)) is not None:
-        label = numeric.band(c, config.band_fields[p])
+        bands = config.band_fields[p]
+        label = numeric.band_of(c, bands) if isinstance(bands, Mapping) else numeric.band(c, bands)
         return Rung("band", F.when(blank, c).otherwise(label), ~blank & label.isNull(), ~blank)
     if _any(config.small_cell_fields, name):
         return Rung("small_cell", numeric.clamp(c, config.small_cell_threshold), counted=numeric.coerce_numeric(c) > config.small_cell_threshold)

@@ -88,7 +88,10 @@ def faults(raw: Mapping[str, Any]) -> list[str]:
             pattern(key, p)
             if key == "generalize_fields" and not isinstance(inner, Mapping):
                 found.append(f"{key}.{p}: not a mapping of codes")
-            if key == "band_fields":
+            if key == "band_fields" and isinstance(inner, Mapping):
+                if not inner or not all(isinstance(k, str) and isinstance(v, str) for k, v in inner.items()):
+                    found.append(f"{key}.{p}: not bands of values")
+            elif key == "band_fields":
                 edges = [e for e, _ in inner] if isinstance(inner, (list, tuple)) and all(isinstance(b, (list, tuple)) and len(b) == 2 for b in inner) else None
                 if not edges or any(e is None for e in edges[:-1]) or any(a >= b for a, b in zip([e for e in edges if e is not None], [e for e in edges if e is not None][1:], strict=False)):
                     found.append(f"{key}.{p}: not rising bands")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shroud.operators import lineage, privacy, review, shaping, transform, verify
+from shroud.operators import lineage, nested, privacy, redact, review, scoring, scrub, shaping, transform, verify
 from shroud.sources import tables
 from shroud.sources.work import work_path
 from shroud.streaming import streams
@@ -158,3 +158,55 @@ def file_digests(spark, d):
     side = lambda x: lineage.manifest(spark, f"{path}/{x}", "*.txt").select(F.lit("part").alias("path"), "sha256")
     same, other = lineage.snapshot_diff(side("a"), side("b")), lineage.snapshot_diff(side("a"), side("c"))
     return other.withColumn("against", F.lit("changed")).unionByName(same.withColumn("against", F.lit("copy")))
+
+
+def band_status_orders(spark, d):
+    """Order states as bands of values; a state that no band lists holds its row."""
+    config = scrub.ScrubConfig(subject_id_fields=("o_custkey",), band_fields={"^o_orderstatus$": {"f": "closed", " O ": "open"}})
+    rows = _t(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("o_custkey"), F.col("o_orderkey").cast("string").alias("o_orderkey"), "o_orderstatus")
+    plan = scrub.scrub(rows, config, b"public test key")
+    return plan.kept.select("o_orderkey", "o_orderstatus").unionByName(plan.quarantine.select("o_orderkey", F.col("reason").alias("o_orderstatus")))
+
+
+def strengthen_cited(spark, d):
+    """Support signals strengthen only where they cite a candidate rule."""
+    o, k = _t(spark, d, "orders"), F.col("o_orderkey")
+    signals = o.select("o_orderkey", _pick(k, "drop", "keep", "hash").alias("action"), F.concat(F.lit("r"), (k % 5).cast("string")).alias("rule"))
+    rules = _t(spark, d, "region").where("r_regionkey < 3").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("rule"))
+    decisions = o.select("o_orderkey", _pick(k, "keep", "hash").alias("action"))
+    return scoring.strengthen(decisions, signals, ["o_orderkey"], ("keep", "hash", "drop"), rules).select("o_orderkey", "action", "changed")
+
+
+def context_hygiene(spark, d):
+    """Conversations as prompts: their size, what was scrubbed, and planted names that they still hold."""
+    c = _t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "turn", F.concat("text", F.when(F.col("turn") == 0, F.concat(F.lit(" Customer#"), F.lpad((F.col("conv_id") % 50).cast("string"), 9, "0"))).otherwise("")).alias("text"))
+    found = redact.prompt_violations(c, "id", "text", _t(spark, d, "customer").where("c_custkey < 20").select(F.concat(F.lit("customer#"), F.lpad("c_custkey", 9, "0")).alias("literal")), "literal")
+    return scoring.context_hygiene(c, "id", "text", found, F.col("turn") % 3)
+
+
+def reviewer_coverage(spark, d):
+    """Reviews of files, a customer's orders each: what was checked and found."""
+    o = _t(spark, d, "orders")
+    reviews = o.groupBy("o_custkey").agg(F.when(F.bool_or(F.col("o_orderstatus") == "P"), "findings").otherwise("clean").alias("verdict"), F.sum((F.col("o_orderkey") % 9 == 0).cast("long")).alias("missing"), F.count(F.lit(1)).alias("decisions_checked"), F.sum((F.col("o_orderstatus") == "F").cast("long")).alias("verdicts_found"))
+    return scoring.reviewer_coverage(reviews)
+
+
+def unreviewed_decisions(spark, d):
+    """Decisions without a verdict, and on files that are not there."""
+    rows = _t(spark, d, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("column"))
+    return scoring.unreviewed(rows, rows.where("column % 4 <> 0"), _t(spark, d, "customer").where("c_custkey % 6 <> 0").select(F.col("c_custkey").alias("file")))
+
+
+def masked_telemetry(spark, d):
+    k = F.col("event_id")
+    line = F.concat(F.lit("user "), (k + 1_000_000).cast("string"), _pick(k, " at 10.0.0.7", " mail a@b.example.org", " on 1/2/2020 by Ann Lee", " idle"))
+    return _t(spark, d, "events").select("event_id", redact.mask_telemetry(line).alias("line"))
+
+
+def joint_gate_events(spark, d):
+    """Events as JSON through both passes of the gate: words in either case, and dates with a month's name in a column of moved dates."""
+    k = F.col("event_id")
+    note = _pick(k, "quiet", "mrn 1234567", "seen by dr. Ann Lee", "subj-12", "SUBJ-12")
+    doc = F.to_json(F.struct(F.struct(note.alias("note")).alias("body"), F.array(_pick(k, "2024-05-20", "Jan 2, 2020", "none", "none", "none", "none", "none")).alias("VISDAT")))
+    rows = _t(spark, d, "events").select("event_id", doc.alias("doc"))
+    return nested.gate_verdicts(rows, "doc", ["event_id"], ("VISDAT",))

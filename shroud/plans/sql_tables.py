@@ -39,4 +39,22 @@ TABLES_SQL: dict[str, str] = {
     "reversal_map": "SELECT DISTINCT c_mktsegment AS value, 'P' || substr(sha256('study-salt:' || c_mktsegment), 1, 8) AS token FROM customer",
     "expired_events": "SELECT event_id FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 10 DAY",
     "file_digests": "SELECT 'part' AS path, 'changed' AS change, 'changed' AS against FROM nation LIMIT 1",
+    "band_status_orders": "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'closed' WHEN 'O' THEN 'open' ELSE 'band:o_orderstatus' END AS o_orderstatus FROM orders",
+    "strengthen_cited": """
+        WITH x AS (SELECT o_orderkey AS k, o_orderkey % 2 AS now, CASE WHEN o_orderkey % 5 < 3 THEN CASE o_orderkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END ELSE 0 END AS told FROM orders)
+        SELECT k AS o_orderkey, ['keep', 'hash', 'drop'][greatest(now, told) + 1] AS action, told > now AS changed FROM x""",
+    "context_hygiene": """
+        WITH c AS (SELECT turn, conv_id % 50 AS n, text || CASE WHEN turn = 0 THEN ' Customer#' || lpad(CAST(conv_id % 50 AS VARCHAR), 9, '0') ELSE '' END AS text FROM conversations),
+        f AS (SELECT (SELECT count(*) FROM customer WHERE c_custkey < 20 AND contains(lower(c.text), 'customer#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0'))) AS n, turn, text FROM c)
+        SELECT count(*) AS prompts_audited, CAST(sum(length(text)) AS BIGINT) AS prompt_chars_audited, CAST(sum(turn % 3) AS BIGINT) AS identifiers_removed, CAST(sum(n) AS BIGINT) AS literals_found, sum(n) = 0 AS clean FROM f""",
+    "reviewer_coverage": """
+        SELECT count(DISTINCT o_custkey) AS files_checked, count(DISTINCT o_custkey) FILTER (o_orderstatus = 'P') AS files_with_findings, count(*) AS decisions_checked, count(*) FILTER (o_orderstatus = 'F') AS verdicts_found,
+          count(*) FILTER (o_orderkey % 9 = 0) AS missing, count(*) FILTER (o_orderstatus = 'P') = 0 AS clean FROM orders""",
+    "unreviewed_decisions": """
+        SELECT o_custkey AS file, o_orderkey AS "column", 'no_verdict' AS fault FROM orders WHERE o_orderkey % 4 = 0
+        UNION ALL SELECT o_custkey, o_orderkey, 'no_file' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 6 <> 0)""",
+    "masked_telemetry": """
+        SELECT event_id, 'user ' || CASE WHEN length(CAST(event_id + 1000000 AS VARCHAR)) IN (6, 7) THEN '[REDACTED]' ELSE CAST(event_id + 1000000 AS VARCHAR) END
+          || [' at [REDACTED]', ' mail [REDACTED]', ' on [REDACTED] by [REDACTED]', ' idle'][event_id % 4 + 1] AS line FROM events""",
+    "joint_gate_events": "SELECT event_id, event_id % 5 = 0 AND event_id % 7 <> 1 OR event_id % 5 = 3 AND event_id % 7 <> 1 AS passed FROM events",
 }
