@@ -213,4 +213,4 @@ def test_stages_on_awkward_documents(spark, awkward, nothing, tmp_path):
 
 def test_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11)) and set(queries.ORACLE_SQL) <= set(queries.QUERIES) and len(corpus_pipeline.STAGES) == 5
+    assert numbers == list(range(1, 14)) and set(queries.ORACLE_SQL) <= set(queries.QUERIES) and len(corpus_pipeline.STAGES) == 5
