@@ -105,6 +105,11 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
 
 
+def write_lines(lines: DataFrame, header: str, path: str, mode: str = "overwrite") -> None:
+    """Lines as they are, a header ahead of those of each file; no task holds more than it reads. Lines hold no U+0001 and no line breaks."""
+    lines.toDF(header).write.mode(mode).option("header", True).option("sep", "\u0001").option("quote", "").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
 def write_split(kept: DataFrame, quarantine: DataFrame, path: str, strict: bool = False) -> int:
     """Kept rows and, by reason, quarantined ones; returns how many were held and raises on any if strict."""
     write_jsonl(kept, f"{path}/kept")

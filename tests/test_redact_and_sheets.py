@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shroud.operators import redact, shaping
+from shroud.sources import tables
 
 KEY = b"test key"
 
@@ -111,3 +112,11 @@ def test_sheet_blocks_equal_plain_ones(spark):
     assert {s: sorted(x) for s, x in got.items()} == {s: sorted(b) for s, g in sheets.items() if (b := plain_blocks(g))}
     whole = shaping.sheet_blocks(df.where("sheet = 102"), strips=False)
     assert {r["table"] for r in whole.collect()} == {1, 2}
+
+
+def test_lines_are_written_by_many_tasks_each_with_a_header(spark, tmp_path):
+    lines = spark.range(0, 90, 1, 3).select(F.concat(F.col("id").cast("string"), F.lit(',x "y" '), F.when(F.col("id") % 10 == 0, ",more").otherwise("")))
+    tables.write_lines(lines, "key,cell", f"{tmp_path}/t")
+    files = list((tmp_path / "t").glob("part-*"))
+    assert len(files) == 3 and all(f.read_text().startswith("key,cell\n") and f.read_text().count("\n") == 31 for f in files)
+    assert {r[0] for r in tables.read_csv_rejects(spark, f"{tmp_path}/t", ["key", "cell"]).select(tables.CORRUPT).collect()} == {f'{i},x "y" ,more' for i in range(0, 90, 10)}
