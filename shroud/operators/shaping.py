@@ -50,19 +50,22 @@ def sheet_blocks(cells: DataFrame, sheet: str = "sheet", row: str = "row_no", co
 
     A sheet falls into strips between blank rows, and a strip into blocks between columns that are blank in all of
     it; ``strips``: else a sheet is one strip. Rows of a block without a cell of its own are left out. Blank cells
-    of the input say nothing, so sheets may be sparse. The windows sort rows and columns of a sheet as whole
-    numbers, each once, not its cells.
+    of the input say nothing, so sheets may be sparse; cells without a row or column have no place and are left out.
+    Cells are shuffled once, by sheet, and sorted by row, by column and by table and row; a sheet is one task's,
+    which spills where it is large. Tasks are as many as ``spark.sql.shuffle.partitions`` says, as a task keeps
+    several sorts and cells compress too well for their size to tell.
     """
-    full = cells.select(F.col(sheet).alias("sheet"), F.col(row).alias("r"), F.col(column).alias("c"), F.col(value).cast("string").alias("value")).where(~is_blank(F.col("value")))
-    island = lambda keys, at: F.col(at) - F.row_number().over(Window.partitionBy(*keys).orderBy(at))
-    rows = full.select("sheet", "r").distinct().withColumn("strip", island(["sheet"], "r") if strips else F.lit(0))
-    placed = full.join(rows, ["sheet", "r"])
-    columns = placed.select("sheet", "strip", "c").distinct().withColumn("block", island(["sheet", "strip"], "c"))
-    blocks = columns.groupBy("sheet", "strip", "block").agg(F.min("c").alias("left"))
-    blocks = blocks.withColumn("table", F.row_number().over(Window.partitionBy("sheet").orderBy("strip", "left")))
-    at = placed.join(columns, ["sheet", "strip", "c"]).join(blocks, ["sheet", "strip", "block"])
-    lines = at.select("sheet", "table", "r").distinct().withColumn("row", F.row_number().over(Window.partitionBy("sheet", "table").orderBy("r")))
-    return at.join(lines, ["sheet", "table", "r"]).select("sheet", "table", "row", (F.col("c") - F.col("left")).alias("column"), "value")
+    cells = cells.select(F.col(sheet).alias("sheet"), F.col(row).alias("r"), F.col(column).alias("c"), F.col(value).cast("string").alias("value"))
+    full = cells.where(~is_blank(F.col("value")) & F.col("r").isNotNull() & F.col("c").isNotNull()).repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sheet")
+    strip = F.col("r") - F.dense_rank().over(Window.partitionBy("sheet").orderBy("r")) if strips else F.lit(0)
+    by_column = Window.partitionBy("sheet").orderBy("strip", "c")
+    so_far = by_column.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.lag(F.struct("strip", "c")).over(by_column)
+    starts = before.isNull() | (before["strip"] != F.col("strip")) | (F.col("c") - before["c"] > 1)
+    marked = full.withColumn("strip", strip).withColumn("left", F.when(starts, F.col("c")))
+    placed = marked.select("sheet", "r", "c", "value", F.count("left").over(so_far).cast("int").alias("table"), F.last("left", True).over(so_far).alias("left"))
+    at = F.dense_rank().over(Window.partitionBy("sheet", "table").orderBy("r"))
+    return placed.select("sheet", "table", at.alias("row"), (F.col("c") - F.col("left")).alias("column"), "value")
 
 
 def promote_header(df: DataFrame, row_no: str, columns: Sequence[str], footer: str | None = None) -> DataFrame:

@@ -114,6 +114,13 @@ def test_sheet_blocks_equal_plain_ones(spark):
     assert {r["table"] for r in whole.collect()} == {1, 2}
 
 
+def test_sheet_blocks_shuffle_cells_once(spark):
+    cells = [(1, 1, 0, "a"), (1, 1, 0, "b"), (1, 1, 2, "c"), (1, None, 0, "no row"), (1, 2, None, "no column"), (1, 3, 0, "d"), (None, 5, 4, "e")]
+    made = shaping.sheet_blocks(spark.createDataFrame(cells, "sheet int, row_no int, column_index int, value string"))
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {tuple(r) for r in made.collect()} == {(1, 1, 1, 0, "a"), (1, 1, 1, 0, "b"), (1, 2, 1, 0, "c"), (1, 3, 1, 0, "d"), (None, 1, 1, 0, "e")}
+
+
 def test_lines_are_written_by_many_tasks_each_with_a_header(spark, tmp_path):
     lines = spark.range(0, 90, 1, 3).select(F.concat(F.col("id").cast("string"), F.lit(',x "y" '), F.when(F.col("id") % 10 == 0, ",more").otherwise("")))
     tables.write_lines(lines, "key,cell", f"{tmp_path}/t")
