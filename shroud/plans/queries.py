@@ -654,18 +654,17 @@ def event_log_faults(spark, d):
 
 
 def stream_event_chain(spark, d):
-    """The log of a stream whose events come up to an hour late in four files, every tenth of them twice."""
+    """The log of a stream whose events come up to an hour late in four parts, every tenth of them twice."""
     path, moved = work_path(spark, "log"), F.col("at") + F.make_dt_interval(secs=F.col("id").cast("long") * 7919 % 3600)
     seen = event_log.arrivals(t(spark, d, "events"), F.col("user_id"), F.col("event_id"), F.col("ts"), ["event_id", "event_type"])
     whole = seen.agg(F.min("at").alias("a"), F.max("at").alias("b")).first()
-    part = F.width_bucket(F.unix_micros(moved).cast("double"), F.lit(whole["a"].timestamp() * 1e6), F.lit((whole["b"].timestamp() + 3600) * 1e6 + 1), F.lit(4)).cast("int")
-    came = seen.withColumn("part", part)
-    came = came.unionByName(came.where(F.col("id").cast("long") % 10 == 0)).unionByName(came.where(F.col("id").cast("long") % 20 == 0).withColumn("part", F.least(F.col("part") + 1, F.lit(4))))
-    for n in range(1, 5):  # files come in this order
-        came.where(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(f"{path}/in/{n}")
-    raw = spark.readStream.schema(seen.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    q = log.chain_stream(raw, "1 hour").writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
+    k, part = F.col("id").cast("long"), F.width_bucket(F.unix_micros(moved).cast("double"), F.lit(whole["a"].timestamp() * 1e6), F.lit((whole["b"].timestamp() + 3600) * 1e6 + 1), F.lit(4)).cast("int")
+    parts = F.array_compact(F.array(part, F.when(k % 10 == 0, part), F.when(k % 20 == 0, F.least(part + 1, F.lit(4)))))
+    for n in range(1, 5):  # parts come in this order, and each is read before the next is there
+        seen.withColumn("part", F.explode(parts)).where(F.col("part") == n).drop("part").write.parquet(f"{path}/in/{n}")
+        raw = spark.readStream.schema(seen.schema).option("recursiveFileLookup", True).parquet(f"{path}/in")
+        q = log.chain_stream(raw, "1 hour").writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
     return spark.read.schema(event_log.COLUMNS).parquet(f"{path}/out").select("run", "seq", F.col("id").cast("long").alias("event_id"), "hash")
 
 
