@@ -14,7 +14,8 @@ its exact intersection, so no pair is missed and none is linked wrongly.
 Nodes are first compared with one representative of each shingle, so a large group of near copies
 becomes one component from a few pairs a member. Pairs that are still in different components follow,
 by a join on the shingle that takes only those whose sizes are near and whose shingles from this one on
-are enough: at the first shingle that two partners share, all that they share is still to come. Shingles
+are enough: at the first shingle that two partners share, all that they share is still to come. It also takes
+only those whose parity sketches differ in few enough bits, a bound that drops no partners. Shingles
 that more than ``HOT`` nodes meet by are salted. Components are joined on Spark.
 
 Defined cases: texts shorter than a shingle are one shingle, null and wordless texts are one node.
@@ -40,6 +41,8 @@ from shroud.llm.simhash import link as gray_links
 SLACK = 1e-9
 #: Nodes that meet by one shingle in one task; more are dealt to several.
 HOT = 256
+#: Words of 64 bits of a node's parity sketch.
+SKETCH = 8
 #: Characters of texts that a task holds shingles of at once, but for one longer text.
 SLICE = 1 << 21
 
@@ -139,13 +142,28 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common")) >= least).select("a", "b")
 
 
+def sketch(hashes: Column) -> list[Column]:
+    """Words of a bitmap that holds, for each bit, whether an odd number of ``hashes`` fall on it.
+
+    Two sets' sketches differ in at most as many bits as one set has and the other lacks.
+    """
+
+    def word(j: int) -> Column:
+        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+        mine = lambda h: F.pmod(F.shiftright(h, 6), F.lit(SKETCH)) == j
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.when(mine(h), bit(h)).otherwise(F.lit(0).cast("long"))))
+
+    return [word(j).alias(f"w{j}") for j in range(SKETCH)]
+
+
 def link(docs: DataFrame, text_col: str, words: int, least: float, seed: int, proposed: DataFrame, stars: int = 1) -> DataFrame:
     """(node, root) of every node that has a partner; pairs ``proposed`` are compared first."""
     need = F.ceil(F.col("n") * least - SLACK)
     held = shared_shingles(docs, text_col, words, seed).groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "hash"))).alias("h"))
     sets = write_table(held.where(F.size("h") >= need).select("node", "n", F.col("h.hash").alias("shared")), "shared")
     first = F.slice("shared", 1, (F.size("shared") - need + 1).cast("int"))
-    tokens = write_table(sets.select("node", "n", F.size("shared").alias("s"), F.posexplode(first).alias("pos", "token")), "tokens")
+    words_ = [f"w{j}" for j in range(SKETCH)]
+    tokens = write_table(sets.select("node", "n", F.size("shared").alias("s"), first.alias("first"), *sketch(F.col("shared"))).select("node", "n", "s", *words_, F.posexplode("first").alias("pos", "token")), "tokens")
     near = F.least("n", "m") >= F.greatest("n", "m") * least - SLACK
     edges = write_table(confirmed(proposed, sets, least), "pairs")
     for i in range(stars):
@@ -157,10 +175,12 @@ def link(docs: DataFrame, text_col: str, words: int, least: float, seed: int, pr
     rooted = tokens.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     hot = tokens.groupBy("token").count().where(F.col("count") > HOT)
     salts = F.coalesce(F.ceil(F.col("count") / HOT), F.lit(1))
-    dealt = write_table(rooted.join(hot, "token", "left").select("token", "node", "n", "root", (F.col("s") - F.col("pos")).alias("rest"), salts.alias("salts")), "dealt")
-    one = dealt.select("token", F.col("node").alias("a"), "n", "root", "rest", F.pmod(F.xxhash64("node"), "salts").alias("salt"))
-    other = dealt.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("rest").alias("left"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-    enough = F.least("rest", "left") >= F.ceil((F.col("n") + F.col("m")) * least / (1 + least) - SLACK)
+    dealt = write_table(rooted.join(hot, "token", "left").select("token", "node", "n", "root", "s", *words_, (F.col("s") - F.col("pos")).alias("rest"), salts.alias("salts")), "dealt")
+    one = dealt.select("token", F.col("node").alias("a"), "n", "root", "rest", "s", *words_, F.pmod(F.xxhash64("node"), "salts").alias("salt"))
+    other = dealt.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("rest").alias("left"), F.col("s").alias("z"), *[F.col(w).alias(f"v{w}") for w in words_], F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    common = F.ceil((F.col("n") + F.col("m")) * least / (1 + least) - SLACK)
+    differ = sum(F.bit_count(F.col(w).bitwiseXOR(F.col(f"v{w}"))) for w in words_)
+    enough = (F.least("rest", "left") >= common) & (F.col("s") + F.col("z") - differ >= 2 * common)
     pairs = one.join(other, ["token", "salt"]).where((F.col("root") < F.col("other")) & near & enough).select("a", "b").distinct()
     return components(edges.unionByName(confirmed(pairs, sets, least)))
 

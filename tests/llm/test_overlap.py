@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shroud.llm import overlap
@@ -105,3 +108,37 @@ def test_proposals_are_those_of_the_gray_index(spark):
             if int(fp[a] ^ fp[b]).bit_count() <= 3:
                 of[find(a)] = find(b)
     assert pairs and all((proposed[a] == proposed[b]) == (find(a) == find(b)) for a in fp for b in fp)
+
+
+def test_edited_copies_below_the_limit_are_told_apart_by_sketches(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(80):  # five edits each: two texts that share one are 0.76 alike, those that share two 0.81
+        words = list(base)
+        for at in (10, 40, 70, 100, 130):
+            words[at] = f"x{rng.randrange(20)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked, real = [], overlap.confirmed
+    monkeypatch.setattr(overlap, "confirmed", lambda pairs, sets, least: asked.append(pairs.count()) or real(pairs, sets, least))
+    got = {r["doc_id"]: r["component_id"] for r in overlap.near_duplicates(docs).collect()}
+    sets = [overlap.shingle_set(t, 5, 42)[1] for t in texts]
+    near = [(i, j) for j in range(80) for i in range(j) if (c := len(np.intersect1d(sets[i], sets[j]))) / (len(sets[i]) + len(sets[j]) - c) >= 0.8]
+    want = list(range(80))
+    for _ in near:
+        for i, j in near:
+            want[i] = want[j] = min(want[i], want[j])
+    assert got == dict(enumerate(want))
+    assert asked[-1] <= 150
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_do(spark):
+    rng = random.Random(6)
+    draw = lambda k: [rng.randrange(-(1 << 63), 1 << 63) for _ in range(k)]
+    rows = [((shared := draw(rng.randrange(300))) + draw(rng.randrange(20)), shared + draw(rng.randrange(20))) for _ in range(40)]
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    bits = lambda r: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(r["a"], r["b"], strict=True))
+    for (a, b), r in zip(rows, df.select(F.array(*overlap.sketch(F.col("a"))).alias("a"), F.array(*overlap.sketch(F.col("b"))).alias("b")).collect(), strict=True):
+        d = len(set(a) ^ set(b))
+        assert bits(r) <= d and bits(r) >= d - 10 and (d - bits(r)) % 2 == 0
